@@ -30,7 +30,7 @@ def parse_match_date(text, *, strict: bool = True) -> Column:
     if strict:
         short, long_ = F.to_date(t, "dd/MM/yy"), F.to_date(t, "dd/MM/yyyy")
     else:
-        short, long_ = F.try_to_date(t, F.lit("dd/MM/yy")), F.try_to_date(t, F.lit("dd/MM/yyyy"))
+        short, long_ = F.try_to_date(t, "dd/MM/yy"), F.try_to_date(t, "dd/MM/yyyy")
     short = F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short)
     return F.when(F.length(t) < 10, short).otherwise(long_)
 
@@ -84,12 +84,12 @@ def rebuild_date(month, day, season, *, literal_end_year: bool = True) -> Column
     """date from month name, day and season: August..December use the
     start year, other months the end year. Invalid -> NULL."""
     m = _c(month)
-    mnum = F.month(F.try_to_date(F.concat(m, F.lit("/1/2000")), F.lit("MMMM/d/yyyy")))
+    mnum = F.month(F.try_to_date(F.concat(m, F.lit("/1/2000")), "MMMM/d/yyyy"))
     year = F.when((mnum >= 8) & (mnum <= 12), season_start_year(season)).otherwise(
         season_end_year(season, literal=literal_end_year)
     )
     text = F.concat_ws("/", m, _c(day).cast("string"), year.cast("string"))
-    return F.try_to_date(text, F.lit("MMMM/d/yyyy"))
+    return F.try_to_date(text, "MMMM/d/yyyy")
 
 
 def fixture_date_text(date_time_text) -> Column:
