@@ -181,9 +181,9 @@ from (
   from agrid g)"""
 
 
-def with_views(body: str, *names: str) -> str:
+def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``body`` with the CTEs it needs (dependencies resolved in the
-    order views are defined)."""
+    order views are defined), then the ``extra`` (name, sql) CTEs."""
     allv = {**VIEWS, **HELPERS}
     deps = {
         "raw_matches": ["matches"], "fixtures": ["matches"], "predictions": ["matches"],
@@ -204,5 +204,6 @@ def with_views(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    ctes = ",\n".join(f"{n} AS ({allv[n]})" for n in order)
+    pairs = [(n, allv[n]) for n in order] + list(extra or [])
+    ctes = ",\n".join(f"{n} AS ({q})" for n, q in pairs)
     return f"WITH {ctes}\n{body}"

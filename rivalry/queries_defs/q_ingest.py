@@ -147,23 +147,29 @@ def src7(spark, sf):
     )
 
 
-@query("src8_write_json")
-def src8(spark, sf):
+def _drift_rules(spark, sf):
     from rivalry.operators.quality import generate_rules, profile
 
-    rules = generate_rules(profile(td.matches(spark, sf)))
-    path = SRC.write_json(rules, SRC.scratch_dir(spark, "rules"))
+    d = td.drift_rows(spark, sf)
+    return generate_rules(profile(d.filter(F.col("part") == "reference")))
+
+
+def _drift_rules_sql() -> str:
+    from rivalry.queries_defs.q_quality import REF, _rules_sql
+
+    return with_views(_rules_sql("drift_rows", REF), "drift_rows")
+
+
+@query("src8_write_json", _drift_rules_sql())
+def src8(spark, sf):
+    path = SRC.write_json(_drift_rules(spark, sf), SRC.scratch_dir(spark, "rules"))
     return spark.read.schema(SRC.RULE_SCHEMA).json(path)
 
 
-@query("src9_read_rules")
+@query("src9_read_rules", _drift_rules_sql())
 def src9(spark, sf):
-    from rivalry.operators.quality import generate_rules, profile
-
-    rules = generate_rules(profile(td.matches(spark, sf)))
-    path = SRC.write_json(SRC.rules_document(rules, "matches"), SRC.scratch_dir(spark, "suite"))
-    doc = spark.read.json(path)
-    return SRC.explode_rules_document(doc)
+    path = SRC.write_json(SRC.rules_document(_drift_rules(spark, sf), "drift_rows"), SRC.scratch_dir(spark, "suite"))
+    return SRC.explode_rules_document(spark.read.json(path))
 
 
 # ------------------------------------------------------------ projections

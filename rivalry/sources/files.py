@@ -189,9 +189,14 @@ RULE_SCHEMA = T.StructType(
         T.StructField("rule_id", T.LongType()),
         T.StructField("rule_type", T.StringType()),
         T.StructField("column", T.StringType()),
-        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("type_name", T.StringType()),
+        T.StructField("mostly", T.DoubleType()),
+        T.StructField("min_value", T.DoubleType()),
+        T.StructField("max_value", T.DoubleType()),
+        T.StructField("value_set", T.StringType()),
     ]
 )
+RULE_FIELDS = [f.name for f in RULE_SCHEMA.fields]
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -202,10 +207,12 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def rules_document(rules: DataFrame, suite_name: str) -> DataFrame:
     """SRC8/SRC9 document form: one row {suite, expectations: [...]}."""
-    ordered = F.array_sort(F.collect_list(F.struct("rule_id", "rule_type", "column", "params")))
+    ordered = F.array_sort(F.collect_list(F.struct(*RULE_FIELDS)))
     return rules.agg(ordered.alias("expectations")).select(F.lit(suite_name).alias("suite"), "expectations")
 
 
 def explode_rules_document(doc: DataFrame) -> DataFrame:
     """SRC9 full listing: rules document -> one row per rule."""
-    return doc.select(F.explode("expectations").alias("e")).select("e.*")
+    return doc.select(F.explode("expectations").alias("e")).select(
+        *[F.col(f"e.{f.name}").cast(f.dataType).alias(f.name) for f in RULE_SCHEMA.fields]
+    )
