@@ -39,4 +39,5 @@ def load_all() -> None:
         q_quality,
         q_reports,
         q_models,
+        q_stream,
     )
