@@ -10,14 +10,19 @@ straggler. Here the work is split the way Spark's own sort splits it:
    partitions and every partition has a bounded size.
 2. One vectorised pass per partition (``mapInPandas``) computes the local
    row number, running sums, lags and forward fill of each key segment.
-3. The result is checkpointed into the shared checkpoint folder, so both
-   consumers below see the same partition assignment.
-4. A carry table (one row per partition and key it contains) gives, through
-   a window over that small table, what each key segment inherits from the
-   earlier partitions. Only segments that continue a key from an earlier
-   partition keep a row, and each partition has at most one such segment
-   (its first key), so the carry table has fewer rows than there are
-   partitions and is safe to broadcast.
+   The same pass emits two summary rows per partition: its first key, and
+   its last key with that segment's count, sums, last values and last
+   non-NULL fill value. Only a partition's last segment can continue into
+   the next partition, so these summaries are all the carry needs.
+3. A window over the summary rows (at most two per partition) gives what
+   each partition's first key segment inherits from earlier partitions.
+   At most one carry row per partition survives, so the carry table is
+   bounded by the partition count and safe to broadcast.
+4. The data rows join the carry, and the finished scan is checkpointed into
+   the shared checkpoint folder: consumers read one fixed copy, and a lost
+   executor never re-runs the scan. The pass output is persisted only while
+   the scan runs (its two readers then see the same partition assignment;
+   a lost block is recomputed from the same range-shuffle dependency).
 """
 
 from __future__ import annotations
@@ -72,12 +77,22 @@ def ordered_scan(
         dt = fields[src].dataType
         sum_types[out] = T.LongType() if isinstance(dt, _INTEGRAL) else T.DoubleType()
 
-    extra = [T.StructField("_pid", T.IntegerType(), False), T.StructField("_lrn", T.LongType(), False)]
+    extra = [
+        T.StructField("_pid", T.IntegerType(), False),
+        T.StructField("_lrn", T.LongType(), False),
+        T.StructField("_scan_kind", T.IntegerType(), False),  # 0 data, 1 first-key summary, 2 last-key summary
+        T.StructField("_scnt", T.LongType(), True),
+    ]
     extra += [T.StructField(f"_ls_{o}", sum_types[o], True) for o in sums]
+    extra += [T.StructField(f"_ss_{o}", sum_types[o], True) for o in sums]
     for c, depth in lags.items():
         extra += [T.StructField(f"_ll_{c}_{k}", fields[c].dataType, True) for k in range(1, depth + 1)]
+        extra.append(T.StructField(f"_st_{c}", T.ArrayType(fields[c].dataType), True))
     extra += [T.StructField(f"_lf_{o}", fields[src].dataType, True) for o, src in ffill.items()]
-    local_schema = T.StructType(list(schema.fields) + extra)
+    extra += [T.StructField(f"_sf_{o}", fields[src].dataType, True) for o, src in ffill.items()]
+    # summary rows leave data columns NULL: declare every input column nullable
+    local_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + extra)
+    out_names = [f.name for f in local_schema.fields]
 
     max_depth = max([1, *lags.values()])
     columns = list(schema.names)
@@ -89,10 +104,13 @@ def ordered_scan(
         halo = None  # last rows of the previous batch's last key
         carry_rn = 0
         carry_sum: dict[str, float] = {}
+        first_key = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             pdf = pdf.reset_index(drop=True)
+            if first_key is None:
+                first_key = pdf.loc[0, keys].tolist() if keys else []
             h = 0 if halo is None else len(halo)
             work = pdf if h == 0 else pd.concat([halo, pdf], ignore_index=True)
             kd = work[keys]
@@ -106,6 +124,7 @@ def ordered_scan(
             rn = grp.cumcount().to_numpy() + 1
             rn = rn + np.where(cont, carry_rn - h, 0)
             out["_lrn"] = rn[h:].astype(np.int64)
+            out["_scan_kind"] = np.int32(0)
             sum_now = {}
             for o, src in sums.items():
                 vals = work[src].fillna(0)
@@ -137,40 +156,62 @@ def ordered_scan(
                 halo[f"_lf_{o}"] = ff_now[o].to_numpy()[idx]
             carry_rn = int(rn[-1])
             carry_sum = {o: sum_now[o][-1] for o in sums}
+            out = out.reindex(columns=out_names)
+            for c in lags:
+                out[f"_st_{c}"] = pd.Series([None] * len(out), dtype=object)
             yield out
+        if first_key is None:
+            return
+        # two summary rows: the partition's first key, and its last key with
+        # the segment's totals, last values and last non-null fill value
+        last_key = halo.loc[len(halo) - 1, keys].tolist() if keys else []
+        summ = pd.DataFrame({n: [None, None] for n in out_names})
+        for i, k in enumerate(keys):
+            summ[k] = [first_key[i], last_key[i]]
+        summ["_pid"] = np.int32(pid)
+        summ["_lrn"] = np.int64(0)
+        summ["_scan_kind"] = np.array([1, 2], dtype=np.int32)
+        summ["_scnt"] = [None, carry_rn]
+        for o in sums:
+            summ[f"_ss_{o}"] = [None, carry_sum[o]]
+        for c, depth in lags.items():
+            tail = halo[c].tolist()[-depth:]
+            summ[f"_st_{c}"] = [None, tail]
+        for o in ffill:
+            summ[f"_sf_{o}"] = [None, halo[f"_lf_{o}"].iloc[-1]]
+        yield summ
+
+    from pyspark import StorageLevel
 
     ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    local = cut_lineage(ranged.mapInPandas(local_pass, local_schema))
-
-    # carry table: what each (partition, key) segment inherits
-    last_struct = []
-    for c, depth in lags.items():
-        # own value plus local lags of the segment's last row, oldest first
-        seq = [F.col(f"_ll_{c}_{k}") for k in range(depth - 1, 0, -1)] + [F.col(c)]
-        last_struct.append(F.array(*seq).alias(f"_t_{c}"))
-    for o in ffill:
-        last_struct.append(F.col(f"_lf_{o}").alias(f"_tf_{o}"))
-    aggs = [F.max("_lrn").alias("_cn")]
-    aggs += [F.sum(F.coalesce(F.col(src), F.lit(0))).alias(f"_ts_{o}") for o, src in sums.items()]
-    if last_struct:
-        aggs.append(F.max_by(F.struct(*last_struct), F.col("_lrn")).alias("_last"))
-    seg = local.groupBy("_pid", *keys).agg(*aggs)
-
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [F.col("_pid"), *[F.col(k) for k in keys], F.sum("_cn").over(before).alias("_pcn")]
-    carry_cols += [F.sum(f"_ts_{o}").over(before).alias(f"_ps_{o}") for o in sums]
+    # read twice (summaries and data): keep it for the duration of this scan
+    local = ranged.mapInPandas(local_pass, local_schema).persist(StorageLevel.MEMORY_AND_DISK)
+
+    # carry: what each partition's first key segment inherits from the last
+    # key segments of earlier partitions (at most two summary rows each)
+    summ = local.filter(F.col("_scan_kind") > 0)
+    order_w = Window.partitionBy(*keys).orderBy("_pid", "_scan_kind")
+    before = order_w.rowsBetween(Window.unboundedPreceding, -1)
+    carry_cols = [F.col("_pid"), *[F.col(k) for k in keys], F.col("_scan_kind"),
+                  F.sum("_scnt").over(before).alias("_pcn")]
+    carry_cols += [F.sum(f"_ss_{o}").over(before).alias(f"_ps_{o}") for o in sums]
     for c, depth in lags.items():
-        # every earlier segment has >= 1 row, so `depth` segments back suffice
-        near = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(-depth, -1)
-        n_own = F.least(F.col("_cn"), F.lit(depth)).cast("int")
-        tail = F.slice(F.col(f"_last._t_{c}"), F.lit(depth + 1) - n_own, n_own)
-        carry_cols.append(F.flatten(F.collect_list(tail).over(near)).alias(f"_pt_{c}"))
+        near = order_w.rowsBetween(-2 * depth, -1)
+        tails = F.flatten(F.collect_list(F.col(f"_st_{c}")).over(near))
+        carry_cols.append(
+            F.slice(tails, F.greatest(F.size(tails) - F.lit(depth) + 1, F.lit(1)), depth).alias(f"_pt_{c}")
+        )
     for o in ffill:
-        carry_cols.append(F.last(F.col(f"_last._tf_{o}"), ignorenulls=True).over(before).alias(f"_pf_{o}"))
-    carry = seg.select(*carry_cols).filter(F.col("_pcn").isNotNull())
+        carry_cols.append(F.last(F.col(f"_sf_{o}"), ignorenulls=True).over(before).alias(f"_pf_{o}"))
+    carry = (
+        summ.select(*carry_cols)
+        .filter((F.col("_scan_kind") == 1) & F.col("_pcn").isNotNull())
+        .drop("_scan_kind")
+    )
 
-    # fewer carry rows than partitions: a bounded broadcast
-    joined = local.join(F.broadcast(carry), on=["_pid", *keys], how="left")
+    # at most one carry row per partition: a bounded broadcast
+    data = local.filter(F.col("_scan_kind") == 0)
+    joined = data.join(F.broadcast(carry), on=["_pid", *keys], how="left")
 
     result = [F.col(c) for c in columns]
     if row_number:
@@ -187,4 +228,6 @@ def ordered_scan(
             )
     for o in ffill:
         result.append(F.coalesce(F.col(f"_lf_{o}"), F.col(f"_pf_{o}")).alias(o))
-    return joined.select(*result)
+    out = cut_lineage(joined.select(*result))
+    local.unpersist(blocking=False)
+    return out

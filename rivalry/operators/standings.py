@@ -117,26 +117,27 @@ def asof_positions(matches: DataFrame, scan: DataFrame, *, cols: MatchCols = DEF
     """
     day = [c for c in cols.order if c != cols.match_id][0]
     # state of each team at the end of each day it played
+    # primitive max_by values keep this a hash aggregate
     snap = scan.groupBy(*cols.keys, "team", day).agg(
-        F.max_by(F.struct("cum_pts", (F.col("cum_gf") - F.col("cum_ga")).alias("gd")), "g").alias("s")
-    ).select(*cols.keys, "team", day, F.col("s.cum_pts").alias("p_snap"), F.col("s.gd").alias("d_snap"))
+        F.max_by("cum_pts", "g").alias("p_snap"),
+        F.max_by(F.col("cum_gf") - F.col("cum_ga"), F.col("g")).alias("d_snap"),
+    )
     dates = matches.select(*cols.keys, day).distinct()
     teams = scan.select(*cols.keys, "team").distinct()
     grid = dates.join(teams, on=list(cols.keys))
-    # a snapshot of day d applies from the next match day on: order snapshot
-    # rows before grid rows of the same day, grid rows read the carried value
+    # a snapshot of day d applies from the next match day on: a grid row
+    # (order 1) sorts before the same day's snapshot (order 2), so the value
+    # it carries comes from earlier days only
     probe = grid.select(
-        *cols.keys, "team", day, F.lit(1).alias("_kind"),
+        *cols.keys, "team", day, F.lit(1).alias("_probe_order"),
         F.lit(None).cast("long").alias("p_snap"), F.lit(None).cast("long").alias("d_snap"),
     )
-    snaps = snap.select(*cols.keys, "team", day, F.lit(2).alias("_kind"), "p_snap", "d_snap")
+    snaps = snap.select(*cols.keys, "team", day, F.lit(2).alias("_probe_order"), "p_snap", "d_snap")
     both = probe.unionByName(snaps)
     carried = ordered_scan(
-        both, [*cols.keys, "team"], [day, "_kind"], row_number=None,
+        both, [*cols.keys, "team"], [day, "_probe_order"], row_number=None,
         ffill={"p_before": "p_snap", "d_before": "d_snap"},
-    ).filter(F.col("_kind") == 1)
-    # carried values of kind-1 rows include same-day snapshots only if those
-    # sort first; _kind 1 < 2, so a grid row sees snapshots of earlier days
+    ).filter(F.col("_probe_order") == 1)
     state = carried.select(
         *cols.keys, "team", day,
         F.coalesce("p_before", F.lit(0)).alias("p"), F.coalesce("d_before", F.lit(0)).alias("d"),

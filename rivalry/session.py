@@ -68,9 +68,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (reliable
     checkpoint), so later consumers see one fixed copy and a lost executor
-    does not force a recompute of the upstream shuffle."""
+    does not force a recompute of the upstream shuffle.
+
+    A reliable checkpoint writes the data in a second job after the one that
+    computes it; persisting first lets that second job read the computed
+    blocks instead of recomputing the plan. The cache is dropped once the
+    checkpoint files exist."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist(blocking=False)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
