@@ -18,11 +18,11 @@ straggler. Here the work is split the way Spark's own sort splits it:
    each partition's first key segment inherits from earlier partitions.
    At most one carry row per partition survives, so the carry table is
    bounded by the partition count and safe to broadcast.
-4. The data rows join the carry, and the finished scan is checkpointed into
-   the shared checkpoint folder: consumers read one fixed copy, and a lost
-   executor never re-runs the scan. The pass output is persisted only while
-   the scan runs (its two readers then see the same partition assignment;
-   a lost block is recomputed from the same range-shuffle dependency).
+4. The pass output is checkpointed into the shared checkpoint folder, so
+   the carry and the data path read one fixed copy (same partition
+   assignment) and a lost executor never re-runs the pass. The data rows
+   then join the carry; re-evaluating that join per consumer only re-reads
+   the checkpoint and the summary rows.
 """
 
 from __future__ import annotations
@@ -181,11 +181,9 @@ def ordered_scan(
             summ[f"_sf_{o}"] = [None, halo[f"_lf_{o}"].iloc[-1]]
         yield summ
 
-    from pyspark import StorageLevel
-
     ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    # read twice (summaries and data): keep it for the duration of this scan
-    local = ranged.mapInPandas(local_pass, local_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    # read by the carry and by the data path: one fixed, reliable copy
+    local = cut_lineage(ranged.mapInPandas(local_pass, local_schema))
 
     # carry: what each partition's first key segment inherits from the last
     # key segments of earlier partitions (at most two summary rows each)
@@ -228,6 +226,4 @@ def ordered_scan(
             )
     for o in ffill:
         result.append(F.coalesce(F.col(f"_lf_{o}"), F.col(f"_pf_{o}")).alias(o))
-    out = cut_lineage(joined.select(*result))
-    local.unpersist(blocking=False)
-    return out
+    return joined.select(*result)

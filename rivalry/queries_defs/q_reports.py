@@ -13,7 +13,6 @@ from rivalry.operators import projections as P
 from rivalry.operators import report as R
 from rivalry.operators.teamgames import MatchCols, team_games_scan
 from rivalry.oracle_views import with_views
-from rivalry.plans.features import block_state
 from rivalry.queries_defs.q_ingest import AS_OF
 from rivalry.sources import testdata as td
 
@@ -24,7 +23,7 @@ from (select match_id, home_team, away_team, fixture_date, fixture_time from (
         select b.match_id, b.home_team, b.away_team,
           cast(strptime(substr(f.date_text, 1, 10), '%d/%m/%Y') as date) as fixture_date,
           cast(cast(substr(f.date_text, 12, 2) as int) as varchar) || substr(f.date_text, 14, 3) as fixture_time
-        from bstate b join fixtures f on f.season = b.season and f.home_team = b.home_team
+        from matches b join fixtures f on f.season = b.season and f.home_team = b.home_team
           and f.away_team = b.away_team and f.match_number = b.match_id where f.result is null)
       where fixture_date >= date '{AS_OF}' order by fixture_date, fixture_time, match_id limit 12) u
 join predictions p on p.match_id = u.match_id join fixtures f on f.match_number = u.match_id"""
@@ -41,7 +40,8 @@ _DISPLAY = f"strftime(fixture_date, '%A') || ' ' || {_ord('day(fixture_date)')}
 
 
 def _upcoming(spark, sf):
-    st = block_state(td.matches(spark, sf)).select("match_id", "season", "home_team", "away_team")
+    # the report pairs fixtures with match rows; no feature column is read
+    st = td.matches(spark, sf).select("match_id", "season", "home_team", "away_team")
     fx_all = td.fixtures(spark, sf)
     fx = P.filter_unplayed(fx_all).drop("result").withColumnRenamed("match_number", "match_id")
     cur = J.fixture_join(st, fx, on=["season", "home_team", "away_team", "match_id"]).select(
@@ -62,7 +62,7 @@ def _upcoming(spark, sf):
     with_views(
         f"select home_team as home, home_prediction as h, away_prediction as a, away_team as away, {_DISPLAY} as date, "
         f"fixture_time as time, location as stadium, match_id from ({_UPCOMING_SQL})",
-        "bstate", "fixtures", "predictions",
+        "matches", "fixtures", "predictions",
     ),
 )
 def rp1(spark, sf):
@@ -74,7 +74,7 @@ def rp1(spark, sf):
     with_views(
         "select match_id, home_team as home, cast(home_prediction as varchar) || '-' || cast(away_prediction as varchar) as prediction, "
         f"away_team as away, {_DISPLAY} as date, fixture_time as time, location as stadium from ({_UPCOMING_SQL})",
-        "bstate", "fixtures", "predictions",
+        "matches", "fixtures", "predictions",
     ),
 )
 def rp2(spark, sf):
@@ -111,7 +111,7 @@ left join picked pa on pa.fixture_id = g.match_id and pa.side = 'away' and pa.po
 
 
 def _rp3_sql() -> str:
-    body = with_views("select 1", "bstate", "fixtures", "predictions")
+    body = with_views("select 1", "matches", "fixtures", "predictions")
     ctes = body[len("WITH "):body.rindex("\nselect 1")]
     return "WITH " + ctes + ",\n" + _RP3_SQL.strip()[len("with "):]
 
