@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.functions.scalars import merge_maps
+from rivalry.operators.scan import ordered_scan
 
 
 def class_metrics(df: DataFrame, *, actual: str, predicted: str) -> DataFrame:
@@ -38,17 +39,38 @@ def class_metrics(df: DataFrame, *, actual: str, predicted: str) -> DataFrame:
     )
 
 
-def regression_metrics(df: DataFrame, *, actual: str, predicted: str, exact_median: bool = True) -> DataFrame:
+def exact_median(df: DataFrame, value) -> DataFrame:
+    """Exact median of ``value`` without gathering the values in one task:
+    counts per distinct value, a distributed prefix sum over the sorted
+    values (:func:`ordered_scan`), then the value(s) holding the middle
+    rank(s). One row ``median`` (NULL for no rows)."""
+    v = value if not isinstance(value, str) else F.col(value)
+    counts = df.select(v.cast("double").alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(
+        F.count(F.lit(1)).alias("c")
+    )
+    n = counts.agg(F.sum("c")).scalar()
+    scanned = ordered_scan(counts, [], ["v"], row_number=None, sums={"cum": "c"})
+    lo_rank = F.floor((n + 1) / 2)
+    hi_rank = F.floor(n / 2) + 1
+    holds = lambda k: (F.col("cum") - F.col("c") < k) & (k <= F.col("cum"))
+    return scanned.agg(
+        ((F.max(F.when(holds(lo_rank), F.col("v"))) + F.max(F.when(holds(hi_rank), F.col("v")))) / 2).alias("median")
+    )
+
+
+def regression_metrics(df: DataFrame, *, actual: str, predicted: str, exact_median_ae: bool = True) -> DataFrame:
     """EV2: R^2, median absolute error and mean absolute error in one row.
-    The exact median buffers the errors of each aggregation task; for very
-    large inputs pass ``exact_median=False`` (approx_percentile sketch)."""
+    The median is exact and distributed (:func:`exact_median`);
+    ``exact_median_ae=False`` uses the approx_percentile sketch instead."""
     err = F.abs(F.col(actual) - F.col(predicted))
-    med = F.median(err) if exact_median else F.percentile_approx(err, 0.5, 10000)
     stats = df.agg(
-        F.avg(actual).alias("ybar"), F.sum((F.col(actual) - F.col(predicted)) ** 2).alias("ss_res"),
+        F.sum((F.col(actual) - F.col(predicted)) ** 2).alias("ss_res"),
         F.sum(F.col(actual) ** 2).alias("sy2"), F.sum(actual).alias("sy"), F.count(F.lit(1)).alias("n"),
-        med.cast("double").alias("median_ae"), F.avg(err).alias("mean_ae"),
+        F.avg(err).alias("mean_ae"),
+        *([] if exact_median_ae else [F.percentile_approx(err, 0.5, 10000).cast("double").alias("median_ae")]),
     )
+    if exact_median_ae:
+        stats = stats.select("*", exact_median(df, err).select(F.col("median").alias("m")).scalar().alias("median_ae"))
     ss_tot = F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n")
     return stats.select(
         F.when(ss_tot > 0, 1 - F.col("ss_res") / ss_tot).otherwise(F.lit(None).cast("double")).alias("r2"),

@@ -28,6 +28,10 @@ def fixture_detail(upcoming: DataFrame) -> DataFrame:
                     .alias("prediction"), "away", "date", "time", "stadium")
 
 
+# a report's fixture list is broadcast up to this many rows (checked)
+MAX_BROADCAST_FIXTURES = 100_000
+
+
 def last5_both(upcoming: DataFrame, history: DataFrame, *, n: int = 5) -> DataFrame:
     """RP3: for each upcoming fixture, the last ``n`` results of the home and
     the away team strictly before the fixture date, side by side by position
@@ -43,11 +47,18 @@ def last5_both(upcoming: DataFrame, history: DataFrame, *, n: int = 5) -> DataFr
         F.explode(F.array(F.struct(F.lit("home").alias("side"), F.col("home_team").alias("team")),
                           F.struct(F.lit("away").alias("side"), F.col("away_team").alias("team")))).alias("s"),
     ).select("match_id", "fixture_date", "s.side", "s.team")
+    # size check on the (report-sized) fixture side: broadcast it when it is
+    # under the bound, so the large history is streamed, never shuffled
+    small = upcoming.count() <= MAX_BROADCAST_FIXTURES
     h = history.alias("h")
-    s = sides.alias("s")
-    before = s.join(h, (F.col("s.team") == F.col("h.team")) & (F.col("h.match_date") < F.col("s.fixture_date")), "left")
+    s = (F.broadcast(sides) if small else sides).alias("s")
+    # inner join: the small fixture side is the build side (broadcast), the
+    # history streams once; sides with no earlier match fall out here and
+    # show 'Not Available' below
+    before = s.join(h, (F.col("s.team") == F.col("h.team")) & (F.col("h.match_date") < F.col("s.fixture_date")),
+                    "inner")
     last_g = before.groupBy("s.match_id", "s.side", "s.team").agg(F.max("h.g").alias("nb"))
-    lg = last_g.alias("l")
+    lg = (F.broadcast(last_g) if small else last_g).alias("l")
     picked = lg.join(
         h, (F.col("l.team") == F.col("h.team")) & (F.col("h.g") > F.col("l.nb") - n) & (F.col("h.g") <= F.col("l.nb")),
         "inner",
