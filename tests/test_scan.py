@@ -45,3 +45,47 @@ def test_scan_matches_bruteforce_with_hot_key(spark):
     a = got["ff"].fillna(-1).to_numpy()
     b = want["ff"].fillna(-1).to_numpy()
     assert (a == b).all()
+
+
+def test_scan_across_arrow_batches(spark):
+    """Tiny Arrow batches force the cross-batch halo and carry paths."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    pdf = pd.DataFrame(
+        {
+            "k": np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b", "c"], n)),
+            "o": rng.permutation(n).astype("int64"),
+            "v": rng.integers(0, 5, n).astype("int64"),
+            "s": rng.choice(["W", "D", "L"], n),
+            "m": np.where(rng.random(n) < 0.98, np.nan, rng.integers(1, 9, n)),
+        }
+    )
+    df = spark.createDataFrame(pdf, "k string, o long, v long, s string, m double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = ordered_scan(
+            df, ["k"], ["o"], row_number="rn", sums={"cs": "v"}, lags={"s": 5}, ffill={"ff": "m"},
+            num_partitions=7,
+        ).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = _brute(pdf)
+    g = want.groupby("k", sort=False)
+    for k in (4, 5):
+        want[f"s_lag{k}"] = g["s"].shift(k)
+    got = got.sort_values(["k", "o"]).reset_index(drop=True)
+    assert (got["rn"].to_numpy() == want["rn"].to_numpy()).all()
+    assert (got["cs"].to_numpy() == want["cs"].to_numpy()).all()
+    for j in range(1, 6):
+        assert (got[f"s_lag{j}"].fillna("-").to_numpy() == want[f"s_lag{j}"].fillna("-").to_numpy()).all(), j
+    assert (got["ff"].fillna(-1).to_numpy() == want["ff"].fillna(-1).to_numpy()).all()
+
+
+def test_scan_without_keys(spark):
+    """A global order (no key) is still split over partitions."""
+    pdf = pd.DataFrame({"o": np.arange(500, 0, -1, dtype="int64"), "v": np.ones(500, dtype="int64")})
+    got = ordered_scan(spark.createDataFrame(pdf), [], ["o"], row_number="rn", sums={"cs": "v"},
+                       num_partitions=5).toPandas().sort_values("o")
+    assert got["rn"].tolist() == list(range(1, 501))
+    assert got["cs"].tolist() == list(range(1, 501))
