@@ -461,10 +461,10 @@ _REPORT_ROWS = (
 @query(
     "dr6_drift_report",
     with_views(
-        f"select \"column\", kind, test, score, cast(null as double) as p_value, 0.1 as threshold, score >= 0.1 as drifted "
+        f"select \"column\", kind, test, score, cast(null as double) as p_value, cast(0.1 as double) as threshold, score >= 0.1 as drifted "
         f"from ({_REPORT_ROWS}) union all "
         "select '__dataset__', 'dataset', 'share', round(sum(case when score >= 0.1 then 1 else 0 end) / count(*), 9), "
-        f"cast(sum(case when score >= 0.1 then 1 else 0 end) as double), 0.5, "
+        f"cast(sum(case when score >= 0.1 then 1 else 0 end) as double), cast(0.5 as double), "
         f"sum(case when score >= 0.1 then 1 else 0 end) / count(*) >= 0.5 from ({_REPORT_ROWS})",
         "drift_rows",
     ),

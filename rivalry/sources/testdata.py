@@ -3,7 +3,7 @@
 The test tables are TPC-H-like; these views reshape them into the inputs the
 operators expect (matches, text-dated raw results, fixture lists, model-run
 logs, drift samples, versioned artifact paths, attributions). The same
-definitions exist as SQL in ``rivalry.catalog`` for the DuckDB oracle.
+definitions exist as SQL in ``rivalry.oracle_views`` for the DuckDB oracle.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select(
-        F.col("n_name").alias("location"), (F.col("n_nationkey") * 1234 + 15000).alias("capacity")
+        F.col("n_name").alias("location"), (F.col("n_nationkey") * 1234 + 15000).cast("long").alias("capacity")
     )
 
 
