@@ -50,11 +50,11 @@ def exact_median(df: DataFrame, value) -> DataFrame:
     )
     n = counts.agg(F.sum("c")).scalar()
     scanned = ordered_scan(counts, [], ["v"], row_number=None, sums={"cum": "c"})
-    lo_rank = F.floor((n + 1) / 2)
-    hi_rank = F.floor(n / 2) + 1
-    holds = lambda k: (F.col("cum") - F.col("c") < k) & (k <= F.col("cum"))
-    return scanned.agg(
-        ((F.max(F.when(holds(lo_rank), F.col("v"))) + F.max(F.when(holds(hi_rank), F.col("v")))) / 2).alias("median")
+    # middle ranks as columns first: aggregate arguments stay plain columns
+    ranked = scanned.withColumn("_lo", F.floor((n + 1) / 2)).withColumn("_hi", F.floor(n / 2) + 1)
+    holds = lambda k: (F.col("cum") - F.col("c") < F.col(k)) & (F.col(k) <= F.col("cum"))
+    return ranked.agg(
+        ((F.max(F.when(holds("_lo"), F.col("v"))) + F.max(F.when(holds("_hi"), F.col("v")))) / 2).alias("median")
     )
 
 
