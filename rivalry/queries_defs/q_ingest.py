@@ -45,8 +45,9 @@ def src1(spark, sf):
         F.col("ftag").alias("FTAG"), F.col("fthg").alias("FTHG"), F.col("away_team").alias("AwayTeam"),
         F.col("home_team").alias("HomeTeam"), F.col("date_text").alias("Date"), code.alias("code"),
     )
-    a.write.partitionBy("code").option("header", True).csv(f"{base}/layout_a")
-    b.write.partitionBy("code").option("header", True).csv(f"{base}/layout_b")
+    # one landed file per season, as the source publishes them
+    a.repartition("code").write.partitionBy("code").option("header", True).csv(f"{base}/layout_a")
+    b.repartition("code").write.partitionBy("code").option("header", True).csv(f"{base}/layout_b")
     scanned = SRC.scan_seasons(
         spark, [f"{base}/layout_a/*/*.csv", f"{base}/layout_b/*/*.csv"],
         required=["season", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR"],
@@ -83,9 +84,12 @@ def src2(spark, sf):
 )
 def src3(spark, sf):
     loc = td.locations(spark, sf).select(F.concat("location", F.lit(" é")).alias("location"), "capacity")
-    path = SRC.scratch_dir(spark, "latin1")
-    loc.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    out = SRC.scan_encoded(spark, path, columns=["location", "capacity"], encoding="ISO-8859-1")
+    path = SRC.scratch_dir(spark, "encodings")
+    # half the files were saved in Latin-1, half in UTF-8
+    latin = F.col("capacity") % 2 == 0
+    loc.filter(latin).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/latin1")
+    loc.filter(~latin).write.option("header", True).csv(f"{path}/utf8")
+    out = SRC.scan_encoded(spark, [f"{path}/latin1", f"{path}/utf8"], columns=["location", "capacity"])
     return out.select("location", F.col("capacity").cast("long").alias("capacity"))
 
 

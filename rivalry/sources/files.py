@@ -98,9 +98,29 @@ def season_calendar(start: Column, end: Column) -> Column:
     )
 
 
-def scan_encoded(spark: SparkSession, path: str, *, columns: Sequence[str], encoding: str = "ISO-8859-1") -> DataFrame:
-    """SRC3: read a CSV written in a non-UTF-8 encoding, only ``columns``."""
-    return spark.read.option("header", True).option("encoding", encoding).csv(path).select(*columns)
+def scan_encoded(spark: SparkSession, paths, *, columns: Sequence[str], fallback: str = "ISO-8859-1",
+                 schema: str | None = None) -> DataFrame:
+    """SRC3: read CSV files as UTF-8; files that do not decode (their values
+    carry U+FFFD replacement characters) are read again with ``fallback``,
+    keeping only ``columns``.
+
+    Detection is one filtered pass; only the list of failing file paths
+    (bounded by the number of files) reaches the driver."""
+    def reader(enc: str):
+        r = spark.read.option("header", True).option("encoding", enc)
+        return r.schema(schema) if schema else r
+
+    plist = [paths] if isinstance(paths, str) else list(paths)
+    utf = reader("UTF-8").csv(plist).select(*columns, F.col("_metadata.file_path").alias("_file"))
+    broken = F.lit(False)
+    for c in columns:
+        broken = broken | F.coalesce(F.col(c).cast("string").contains("\ufffd"), F.lit(False))
+    bad = utf.filter(broken).select("_file").distinct()
+    bad_files = [r._file for r in bad.collect()]
+    if not bad_files:
+        return utf.drop("_file")
+    good = utf.filter(~F.col("_file").isin(bad_files)).drop("_file")
+    return good.unionByName(reader(fallback).csv(bad_files).select(*columns))
 
 
 FIXTURE_COLUMNS = (
