@@ -7,7 +7,8 @@ straggler. Here the work is split the way Spark's own sort splits it:
 
 1. ``repartitionByRange`` over ``keys + order``: each partition holds a
    contiguous slice of the global order, so a hot key is spread over many
-   partitions and every partition has a bounded size.
+   partitions and every partition has a bounded size (AQE may merge adjacent
+   slices up to the advisory partition size; they stay contiguous).
 2. One vectorised pass per partition (``mapInPandas``) computes the local
    row number, running sums, lags and forward fill of each key segment.
    The same pass emits two summary rows per partition: its first key, and
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivalry.session import cut_lineage, shuffle_partitions
+from rivalry.session import cut_lineage
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -68,7 +69,6 @@ def ordered_scan(
     lags = dict(lags or {})
     ffill = dict(ffill or {})
     spark = df.sparkSession
-    parts = num_partitions or shuffle_partitions(spark)
     schema = df.schema
     fields = {f.name: f for f in schema.fields}
 
@@ -181,7 +181,14 @@ def ordered_scan(
             summ[f"_sf_{o}"] = [None, halo[f"_lf_{o}"].iloc[-1]]
         yield summ
 
-    ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    # without an explicit count, AQE may merge adjacent ranges up to the
+    # advisory partition size; merged ranges stay contiguous and ordered,
+    # which is all the carry below relies on
+    if num_partitions:
+        ranged = df.repartitionByRange(num_partitions, *keys, *order)
+    else:
+        ranged = df.repartitionByRange(*keys, *order)
+    ranged = ranged.sortWithinPartitions(*keys, *order)
     # read by the carry and by the data path: one fixed, reliable copy
     local = cut_lineage(ranged.mapInPandas(local_pass, local_schema))
 

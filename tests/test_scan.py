@@ -89,3 +89,42 @@ def test_scan_without_keys(spark):
                        num_partitions=5).toPandas().sort_values("o")
     assert got["rn"].tolist() == list(range(1, 501))
     assert got["cs"].tolist() == list(range(1, 501))
+
+
+def test_scan_with_coalesced_ranges(spark):
+    """Default partitioning: AQE merges adjacent range partitions; the
+    merged ranges must still chain correctly."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    pdf = pd.DataFrame(
+        {
+            "k": np.where(rng.random(n) < 0.4, "hot", rng.choice(list("abcdefgh"), n)),
+            "o": rng.permutation(n).astype("int64"),
+            "v": rng.integers(0, 5, n).astype("int64"),
+            "s": rng.choice(["W", "D", "L"], n),
+            "m": np.where(rng.random(n) < 0.97, np.nan, rng.integers(1, 9, n)),
+        }
+    )
+    df = spark.createDataFrame(pdf, "k string, o long, v long, s string, m double")
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        out = ordered_scan(df, ["k"], ["o"], row_number="rn", sums={"cs": "v"}, lags={"s": 3}, ffill={"ff": "m"})
+        parts = out.select("_pid").distinct().count() if "_pid" in out.columns else None
+        got = out.toPandas()
+    finally:
+        for k, v in old.items():
+            if v is not None:
+                spark.conf.set(k, v)
+    del parts
+    want = _brute(pdf)
+    got = got.sort_values(["k", "o"]).reset_index(drop=True)
+    assert (got["rn"].to_numpy() == want["rn"].to_numpy()).all()
+    assert (got["cs"].to_numpy() == want["cs"].to_numpy()).all()
+    for j in range(1, 4):
+        assert (got[f"s_lag{j}"].fillna("-").to_numpy() == want[f"s_lag{j}"].fillna("-").to_numpy()).all(), j
+    assert (got["ff"].fillna(-1).to_numpy() == want["ff"].fillna(-1).to_numpy()).all()
