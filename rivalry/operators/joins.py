@@ -49,9 +49,12 @@ def fixture_join(features: DataFrame, fixtures: DataFrame, *, on: Sequence[str])
 
 
 def dimension_lookup(df: DataFrame, dim: DataFrame, *, on: str, dim_rows: int | None = None) -> DataFrame:
-    """Left join of a dimension (e.g. stadiums by location). Hinted for
-    broadcast only when its row count is known and bounded."""
-    side = F.broadcast(dim) if dim_rows is not None and dim_rows <= DIMENSION_MAX_ROWS else dim
+    """Left join of a dimension (e.g. stadiums by location). The
+    dimension is broadcast only under a row bound: ``dim_rows`` when the
+    caller knows it, else a count of the dimension (one small job); above
+    the bound it is a regular join."""
+    rows = dim_rows if dim_rows is not None else dim.count()
+    side = F.broadcast(dim) if rows <= DIMENSION_MAX_ROWS else dim
     return df.join(side, on=on, how="left")
 
 

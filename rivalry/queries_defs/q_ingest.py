@@ -336,8 +336,8 @@ def j3(spark, sf):
 )
 def j4(spark, sf):
     fx = td.fixtures(spark, sf).select("match_number", "location")
-    # the dimension is the nation table: a fixed 25-row bound
-    return J.dimension_lookup(fx, td.locations(spark, sf), on="location", dim_rows=25)
+    # the dimension is counted and broadcast only under the row bound
+    return J.dimension_lookup(fx, td.locations(spark, sf), on="location")
 
 
 @query(

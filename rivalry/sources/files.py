@@ -62,16 +62,16 @@ def scan_seasons(
     ``required`` may include ``season_col``; it is taken from the path.
     """
     marker = marker or next(c for c in required if c != season_col)
-    lines = (
-        spark.read.option("encoding", encoding).text(paths if isinstance(paths, str) else list(paths))
-        .select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
-        .filter(F.length(F.trim("value")) > 0)
+    raw = spark.read.option("encoding", encoding).text(paths if isinstance(paths, str) else list(paths))
+    # one header row per file: the file listing bounds the header table
+    n_files = len(raw.inputFiles())
+    lines = raw.select(F.col("value"), F.col("_metadata.file_path").alias("_file")).filter(
+        F.length(F.trim("value")) > 0
     )
     cells = F.transform(F.split(F.col("value"), _CSV_SPLIT), _unquote)
     lines = lines.select("_file", cells.alias("_cells"))
     is_header = F.array_contains(F.col("_cells"), marker)
     headers = lines.filter(is_header).groupBy("_file").agg(F.first("_cells").alias("_header"))
-    n_files = 1 if isinstance(paths, str) else len(paths)
     if n_files <= MAX_BROADCAST_FILES:
         headers = F.broadcast(headers)
     data = lines.filter(~is_header).join(headers, on="_file", how="inner")
