@@ -37,13 +37,23 @@ def trim_multiple(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], m
 
 def rank_average(df: DataFrame, value: str, *, out: str = "rank", descending: bool = True,
                  keys: Sequence[str] = ()) -> DataFrame:
-    """Rank of ``value`` (descending by default); ties share the mean of
-    the ranks they span. One window per key group: meant for small tables
-    such as feature importances (one row per feature)."""
-    o = F.desc(value) if descending else F.asc(value)
-    w = Window.partitionBy(*keys).orderBy(o)
-    ties = Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    """Rank of a numeric ``value`` (descending by default) within
+    ``keys``; ties share the mean of the ranks they span.
+
+    Distributed: counts per (keys, value), a prefix sum over the ordered
+    distinct values (:func:`ordered_scan`, no single-task window), then the
+    ranks joined back by value. A tie group is one row of the count table."""
+    keys = list(keys)
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    order_col = (-F.col(value)) if descending else F.col(value)
+    counts = counts.withColumn("_o", order_col)
+    scanned = ordered_scan(counts, keys, ["_o"], row_number=None, sums={"_cum": "_c"})
+    ranks = scanned.select(
+        *keys, value, ((F.col("_cum") - F.col("_c") + 1) + (F.col("_c") - 1) / 2.0).alias(out)
+    )
+    r = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, value]], out)
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, value]]
+    return df.join(r, on=cond, how="inner").drop(*[f"_r_{c}" for c in [*keys, value]])
 
 
 def top_features(importances: DataFrame, *, feature: str = "feature", value: str = "importance",
