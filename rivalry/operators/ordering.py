@@ -44,16 +44,18 @@ def rank_average(df: DataFrame, value: str, *, out: str = "rank", descending: bo
     distinct values (:func:`ordered_scan`, no single-task window), then the
     ranks joined back by value. A tie group is one row of the count table."""
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    # NULL values stay unranked and do not take rank positions
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     order_col = (-F.col(value)) if descending else F.col(value)
     counts = counts.withColumn("_o", order_col)
     scanned = ordered_scan(counts, keys, ["_o"], row_number=None, sums={"_cum": "_c"})
     ranks = scanned.select(
-        *keys, value, ((F.col("_cum") - F.col("_c") + 1) + (F.col("_c") - 1) / 2.0).alias(out)
+        *keys, value,
+        F.when(F.col(value).isNotNull(), (F.col("_cum") - F.col("_c") + 1) + (F.col("_c") - 1) / 2.0).alias(out)
     )
     r = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, value]], out)
     cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, value]]
-    return df.join(r, on=cond, how="inner").drop(*[f"_r_{c}" for c in [*keys, value]])
+    return df.join(r, on=cond, how="left").drop(*[f"_r_{c}" for c in [*keys, value]])
 
 
 def top_features(importances: DataFrame, *, feature: str = "feature", value: str = "importance",
