@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.operators.scan import ordered_scan
+from rivalry.session import cut_lineage
 
 FORM_DEPTH = 5
 
@@ -100,10 +101,23 @@ def game_counts(scan: DataFrame, *, cols: MatchCols = DEFAULT) -> DataFrame:
     return scan.groupBy(*cols.keys, "team").agg(F.max("g").alias("n"))
 
 
+# a per-(keys, team) table is broadcast up to this many rows (counted)
+GROUPS_BROADCAST_MAX = 1_000_000
+
+
+def sized_group_table(table: DataFrame) -> DataFrame:
+    """Write a per-group table once and broadcast it when its counted row
+    count is under the bound. Few groups means hot join keys, and exactly
+    then the table is small and broadcast; many groups means no key is hot,
+    and the sort-merge join (with AQE skew splitting) is used."""
+    held = cut_lineage(table)
+    return F.broadcast(held) if held.count() <= GROUPS_BROADCAST_MAX else held
+
+
 def team_games(matches: DataFrame, *, cols: MatchCols = DEFAULT, form_depth: int = FORM_DEPTH) -> DataFrame:
     """The long table plus ``n``, the team's game count in its group."""
     scan = team_games_scan(matches, cols=cols, form_depth=form_depth)
-    return scan.join(game_counts(scan, cols=cols), on=[*cols.keys, "team"], how="inner")
+    return scan.join(sized_group_table(game_counts(scan, cols=cols)), on=[*cols.keys, "team"], how="inner")
 
 
 def _attach_side(m: DataFrame, counts: DataFrame, states: DataFrame, *, prefix: str, team_col: str,
@@ -146,7 +160,7 @@ def attach_block_state(indexed: DataFrame, scan: DataFrame, *, cols: MatchCols =
     before it, which covers all five letters. Both sides probe the same
     state table (same plan, so its exchange can be reused).
     """
-    counts = game_counts(scan, cols=cols)
+    counts = sized_group_table(game_counts(scan, cols=cols))
     states = scan.select(
         *cols.keys, "team", "g", "cum_gf", "cum_ga", "cum_pts", "res",
         *[f"res_lag{k}" for k in range(1, FORM_DEPTH)],
