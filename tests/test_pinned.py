@@ -196,3 +196,25 @@ def test_league_keys_generalise(spark):
     cols = MatchCols(keys=("league", "season"))
     idx = match_index(m, cols=cols).groupBy("league").agg(F.max("i").alias("n")).collect()
     assert {r.league: r.n for r in idx} == {"E0": 12, "D1": 12}
+
+
+def test_fixture_scan_falls_back_to_next_file(spark, tmp_path):
+    cols = ("match_number int, round_number int, date_text string, location string, home_team string, "
+            "away_team string, result string")
+    played = spark.createDataFrame([(1, 1, "11/08/2023 20:00", "X", "A", "B", "0 - 3")], cols)
+    upcoming = spark.createDataFrame([(2, 1, "10/08/2024 15:00", "Y", "C", "D", None)], cols)
+    cur, nxt = str(tmp_path / "cur"), str(tmp_path / "next")
+    played.write.option("header", True).csv(cur)
+    upcoming.write.option("header", True).csv(nxt)
+    got = SRC.scan_fixtures(spark, cur, next_path=nxt, schema=cols).collect()
+    assert [(r.home_team, r.away_team) for r in got] == [("C", "D")]
+
+
+def test_refresh_partition_semantics(spark):
+    from rivalry.operators.sets import refresh_partition
+
+    full = spark.createDataFrame([("s1", 1, "a"), ("s2", 2, "b"), ("s2", 3, None)], "season string, x int, y string")
+    assert refresh_partition(full, None, season="s2").count() == 3  # source missing: unchanged
+    new = spark.createDataFrame([("s2", 9, "z"), ("s2", 9, "z"), ("s2", 8, None)], "season string, x int, y string")
+    got = sorted((r.season, r.x) for r in refresh_partition(full, new, season="s2").collect())
+    assert got == [("s1", 1), ("s2", 9)]
