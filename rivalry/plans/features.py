@@ -31,11 +31,7 @@ def block_state(matches: DataFrame, *, cols: MatchCols = DEFAULT, block: int = 1
     ``htgs atgs htgc atgc htp atp`` and form letters ``hm1..5 am1..5``."""
     indexed = match_index(matches, cols=cols, block=block)
     scan = team_games_scan(matches, cols=cols)
-    out = attach_block_state(indexed, scan, cols=cols)
-    return (
-        out.withColumnRenamed("htgs", "htgs")
-        .withColumnRenamed("atgs", "atgs")
-    )
+    return attach_block_state(indexed, scan, cols=cols)
 
 
 def asof_state(matches: DataFrame, *, cols: MatchCols = DEFAULT) -> tuple[DataFrame, DataFrame]:
