@@ -12,14 +12,19 @@ from rivalry.operators.scan import ordered_scan
 from rivalry.operators.teamgames import DEFAULT, MatchCols, team_games
 
 
-def next_fixtures(df: DataFrame, *, as_of: str, date_col: str, time_text_col: str, tie: str, n: int = 12) -> DataFrame:
-    """Fixtures on or after ``as_of`` sorted by date, then kick-off time
-    **as text** ('12:00' < '9:00'), then ``tie``; first ``n``. The limit is
-    the feature (a top-n report); Spark plans it as a TakeOrdered per task
-    and a final merge, so no task holds more than ``n`` rows."""
+def next_fixtures(df: DataFrame, *, as_of: str, date_col: str, time_text_col: str, tie: str, n: int = 12,
+                  time_as_text: bool = True) -> DataFrame:
+    """Fixtures on or after ``as_of`` sorted by date, then kick-off time,
+    then ``tie``; first ``n``. By default the time sorts **as text**
+    ('12:00' < '9:00', as the original does); ``time_as_text=False`` sorts
+    by the clock time. The limit is the feature (a top-n report); Spark plans
+    it as a per-task top-n and a final merge, so no task holds more than
+    ``n`` rows."""
+    t = F.col(time_text_col)
+    time_key = t if time_as_text else F.to_timestamp(F.lpad(t, 5, "0"), "HH:mm")
     return (
         df.filter(F.col(date_col) >= F.to_date(F.lit(as_of)))
-        .orderBy(F.col(date_col), F.col(time_text_col), F.col(tie))
+        .orderBy(F.col(date_col), time_key, F.col(tie))
         .limit(n)
     )
 

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-RULE_ORDER = {"columns_match_set": 0, "column_type": 1, "null_fraction": 2, "between": 3, "in_set": 4}
+RULE_ORDER = {"columns_match_set": 0, "column_type": 1, "null_fraction": 2, "between": 3, "in_set": 4,
+              "null_fraction_max": 5}
 
 
 def _is_numeric(dt) -> bool:
@@ -82,6 +83,7 @@ def generate_rules(
     missing_buffer: float = 10,
     min_buffer: float = 10,
     max_buffer: float = 10,
+    missing_upper: bool = False,
 ) -> DataFrame:
     """DQ1: rules from a profile, in suite order (the column set first, then
     per column: type, null fraction, range, value set). Columns:
@@ -94,6 +96,9 @@ def generate_rules(
     * value set: text columns with at most threshold distinct values
       (threshold applied in :func:`profile`), or numeric columns whose
       values are exactly {0, 1} with no NULL.
+    * ``missing_upper`` adds ``null_fraction_max``: the NULL share must stay
+      at most ``null_frac + buffer`` (the original bounds it from below only,
+      so extra NULLs pass).
     """
     p = prof
     rid = lambda kind: (F.col("position") + 1) * 10 + RULE_ORDER[kind]
@@ -125,6 +130,9 @@ def generate_rules(
         b = missing_buffer / 100.0
         mostly = F.when(F.col("null_frac") > b, F.col("null_frac") - b).otherwise(0.0)
         parts.append(rule("null_fraction", F.lit(True), mostly=mostly))
+    if missing and missing_upper:
+        b = missing_buffer / 100.0
+        parts.append(rule("null_fraction_max", F.lit(True), mostly=F.least(F.col("null_frac") + b, F.lit(1.0))))
     if min_max:
         span = F.col("max_value") - F.col("min_value")
         parts.append(
@@ -170,7 +178,7 @@ def validate(df: DataFrame, rules: DataFrame, *, raise_on_failure: bool = False)
             static[r.rule_id] = (False, None)
         elif r.rule_type == "column_type":
             static[r.rule_id] = (types[c] == r.type_name, 0)
-        elif r.rule_type == "null_fraction":
+        elif r.rule_type in ("null_fraction", "null_fraction_max"):
             aggs.append(F.sum(F.col(c).isNull().cast("long")).alias(k))
         elif r.rule_type == "between":
             bad = F.col(c).isNotNull() & ((F.col(c) < r.min_value) | (F.col(c) > r.max_value))
@@ -192,6 +200,11 @@ def validate(df: DataFrame, rules: DataFrame, *, raise_on_failure: bool = False)
             rows.append(F.struct(F.lit(r.rule_id).cast("long").alias("rule_id"),
                                  (share >= F.lit(r.mostly) - F.lit(1e-12)).alias("success"),
                                  (F.col("n") - F.col(k)).cast("long").alias("unexpected_count")))
+        elif r.rule_type == "null_fraction_max":
+            share = F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0)
+            rows.append(F.struct(F.lit(r.rule_id).cast("long").alias("rule_id"),
+                                 (share <= F.lit(r.mostly) + F.lit(1e-12)).alias("success"),
+                                 F.col(k).cast("long").alias("unexpected_count")))
         else:
             rows.append(F.struct(F.lit(r.rule_id).cast("long").alias("rule_id"), (F.col(k) == 0).alias("success"),
                                  F.col(k).cast("long").alias("unexpected_count")))

@@ -218,3 +218,23 @@ def test_refresh_partition_semantics(spark):
     new = spark.createDataFrame([("s2", 9, "z"), ("s2", 9, "z"), ("s2", 8, None)], "season string, x int, y string")
     got = sorted((r.season, r.x) for r in refresh_partition(full, new, season="s2").collect())
     assert got == [("s1", 1), ("s2", 9)]
+
+
+def test_null_upper_bound_rule(spark):
+    ref = spark.createDataFrame([(1.0,), (None,), (2.0,), (3.0,)], "x double")
+    rules = Q.generate_rules(Q.profile(ref), missing_upper=True)
+    assert rules.filter("rule_type = 'null_fraction_max'").count() == 1
+    worse = spark.createDataFrame([(None,), (None,), (None,), (1.0,)], "x double")
+    res = {r.rule_type: r.success for r in Q.validate(worse, rules).collect()}
+    assert res["null_fraction"] is True and res["null_fraction_max"] is False
+
+
+def test_next_fixtures_time_order(spark):
+    from rivalry.operators.ordering import next_fixtures
+
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 6), "12:30"), (2, dt.date(2024, 1, 6), "9:00")],
+                               "id int, d date, t string")
+    as_text = [r.id for r in next_fixtures(df, as_of="2024-01-01", date_col="d", time_text_col="t", tie="id").collect()]
+    as_time = [r.id for r in next_fixtures(df, as_of="2024-01-01", date_col="d", time_text_col="t", tie="id",
+                                           time_as_text=False).collect()]
+    assert as_text == [1, 2] and as_time == [2, 1]
