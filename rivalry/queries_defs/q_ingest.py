@@ -140,7 +140,13 @@ def src6(spark, sf):
     return SRC.latest_versioned(td.artifacts(spark, sf)).select("prefix", "latest_path", "latest_date")
 
 
-@query("src7_dated_path")
+@query(
+    "src7_dated_path",
+    with_views(
+        "select *, 'models/' || model_type || '_' || strftime(run_date, '%Y%m%d') || '.bin' as artifact from model_runs",
+        "model_runs",
+    ),
+)
 def src7(spark, sf):
     runs = td.model_runs(spark, sf)
     path = SRC.scratch_dir(spark, "runs")
@@ -262,7 +268,10 @@ def prj8(spark, sf):
     return m.select("match_id", P.encode_result(F.col("ftr")).alias("ftr_code"))
 
 
-@query("prj9_cast_categories")
+@query(
+    "prj9_cast_categories",
+    with_views("select match_id, season, home_team, away_team from matches", "matches"),
+)
 def prj9(spark, sf):
     out = P.cast_categories(td.matches(spark, sf), target="ftr")
     cats = P.categorical_columns(out)
