@@ -67,3 +67,25 @@ def test_oracle_subset(spark, sf_dir, name):
     assert sorted(dcols) == cols
     want = sorted(tuple(str(_norm(dict(zip(dcols, r))[c])) for c in cols) for r in cur.fetchall())
     assert got == want
+
+
+def test_reference_column_names(spark, sf_dir):
+    """The same features from a table laid out with the original's column
+    names and text dates (parsed with F1)."""
+    from rivalry.functions.scalars import parse_match_date
+    from rivalry.operators.teamgames import MatchCols
+
+    raw = td.raw_matches(spark, sf_dir).select(
+        "season", F.col("match_id").alias("Id"), F.col("date_text").alias("Date"),
+        F.col("home_team").alias("HomeTeam"), F.col("away_team").alias("AwayTeam"),
+        F.col("fthg").alias("FTHG"), F.col("ftag").alias("FTAG"), F.col("ftr").alias("FTR"),
+    ).withColumn("Day", parse_match_date("Date"))
+    cols = MatchCols(match_id="Id", order=("Day", "Id"), home="HomeTeam", away="AwayTeam", hg="FTHG", ag="FTAG",
+                     result="FTR")
+    got = build_features(raw, cols=cols, date_col="Day").withColumnRenamed("Id", "match_id").withColumnRenamed(
+        "HomeTeam", "home_team").withColumnRenamed("AwayTeam", "away_team").withColumnRenamed(
+        "FTR", "ftr").withColumnRenamed("Day", "match_date")
+    want = build_features(td.matches(spark, sf_dir))
+    cols_cmp = sorted(want.columns)
+    assert sorted(got.columns) == cols_cmp
+    assert got.select(*cols_cmp).exceptAll(want.select(*cols_cmp)).count() == 0
