@@ -76,7 +76,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base}/rivalry-cut/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
