@@ -238,3 +238,28 @@ def test_next_fixtures_time_order(spark):
     as_time = [r.id for r in next_fixtures(df, as_of="2024-01-01", date_col="d", time_text_col="t", tie="id",
                                            time_as_text=False).collect()]
     assert as_text == [1, 2] and as_time == [2, 1]
+
+
+def test_models_beat_majority_baseline(spark):
+    """Fixed seed: when the lower-numbered team always wins, the result model
+    beats the majority class and the goal model beats predicting the mean."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(600):
+        a, b = rnd.sample(range(6), 2)
+        hg, ag = (2, 0) if a < b else (0, 1)
+        rows.append((i, f"T{a}", f"T{b}", float(rnd.random()), 0 if a < b else 2, hg, ag))
+    df = spark.createDataFrame(rows, "id long, home_team string, away_team string, noise double, ftr int, "
+                                     "fthg long, ftag long")
+    train, test = M.split(df, key="id", ratio=0.8, seed=42)
+    clf = M.train_result(train, target="ftr", categorical=["home_team", "away_team"], numeric=["noise"],
+                         num_trees=20, seed=42)
+    acc = M.result_accuracy(clf.transform(test), target="ftr")
+    majority = test.groupBy("ftr").count().agg(F.max("count")).first()[0] / test.count()
+    assert acc > majority + 0.2
+    reg = M.train_goals(train, target="fthg", categorical=["home_team", "away_team"], numeric=["noise"], max_iter=10)
+    pred = reg.transform(test)
+    m = EV.regression_metrics(pred, actual="fthg", predicted="fthg_raw").first()
+    assert m.r2 > 0.5
