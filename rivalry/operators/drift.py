@@ -202,52 +202,127 @@ def drift_report(
     threshold, drifted``) plus a summary row (column '__dataset__': score =
     share of drifted columns, drifted = share >= 0.5).
 
-    Column kinds come from the schema and the distinct-value counts (one
-    aggregate); each column's statistic is its own small distributed job."""
+    Passes over the data do not grow with the column count: one aggregate
+    for sizes, distinct counts, reference deviations and maxima; then all
+    numeric columns stacked as (column, value) through one ordered scan
+    keyed by column (KS, Wasserstein), and all categorical columns stacked
+    through one grouped count (chi-square, z, Jensen-Shannon)."""
     cols = list(columns or [c for c in df.columns if c != part])
     numeric_types = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.ShortType, T.ByteType, T.DecimalType)
     types = {f.name: f.dataType for f in df.schema.fields}
-    meta = df.agg(
-        F.sum((F.col(part) == ref).cast("long")).alias("n_ref"),
-        *[F.countDistinct(c).alias(f"d_{i}") for i, c in enumerate(cols)],
-    ).first()
+    is_ref = F.col(part) == ref
+    aggs = [F.sum(is_ref.cast("long")).alias("n_ref")]
+    for i, c in enumerate(cols):
+        aggs.append(F.countDistinct(c).alias(f"d_{i}"))
+        if isinstance(types[c], numeric_types):
+            aggs.append(F.stddev_pop(F.when(is_ref, F.col(c).cast("double"))).alias(f"s_{i}"))
+            aggs.append(F.max(c).cast("string").alias(f"m_{i}"))
+        else:
+            aggs.append(F.max(c).cast("string").alias(f"m_{i}"))
+    meta = df.agg(*aggs).first()  # one row of per-column scalars
     small = meta["n_ref"] <= small_limit
-    rows = []
+    numeric, categorical = [], []
+    kinds, tests = {}, {}
     for i, c in enumerate(cols):
-        distinct = meta[f"d_{i}"]
-        numeric = isinstance(types[c], numeric_types) and distinct > 5
+        is_num = isinstance(types[c], numeric_types) and meta[f"d_{i}"] > 5
+        kinds[c] = "numeric" if is_num else "categorical"
         if small:
-            if numeric:
-                st = ks_statistic(df, c, part=part, ref=ref).select(
-                    F.lit("ks").alias("test"), F.col("ks").alias("score"), "n_ref", "n_cur",
-                    F.lit(0).cast("long").alias("dof"))
-            elif distinct == 2:
-                st = z_proportion(df, c, part=part, ref=ref).select(
-                    F.lit("z").alias("test"), F.col("z").alias("score"), "n_ref", "n_cur",
-                    F.lit(0).cast("long").alias("dof"))
-            else:
-                st = chi_square(df, c, part=part, ref=ref).select(
-                    F.lit("chisquare").alias("test"), F.col("chi2").alias("score"),
-                    F.lit(0).cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n_cur"),
-                    F.col("dof").cast("long").alias("dof"))
-            st = st.withColumn("p_value", p_value_udf("test", "score", "n_ref", "n_cur", "dof")).withColumn(
-                "drifted", F.col("p_value") < p
-            ).withColumn("threshold", F.lit(p))
+            tests[c] = "ks" if is_num else ("z" if meta[f"d_{i}"] == 2 else "chisquare")
         else:
-            if numeric:
-                st = wasserstein_normed(df, c, part=part, ref=ref).select(
-                    F.lit("wasserstein").alias("test"), F.col("wasserstein").alias("score"))
-            else:
-                st = js_distance(df, c, part=part, ref=ref).select(
-                    F.lit("jensenshannon").alias("test"), F.col("js").alias("score"))
-            st = st.withColumn("p_value", F.lit(None).cast("double")).withColumn(
-                "drifted", F.col("score") >= distance
-            ).withColumn("threshold", F.lit(distance))
-        rows.append(st.select(F.lit(c).alias("column"), F.lit("numeric" if numeric else "categorical").alias("kind"),
-                              "test", "score", "p_value", "threshold", "drifted"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+            tests[c] = "wasserstein" if is_num else "jensenshannon"
+        (numeric if is_num else categorical).append((i, c))
+
+    per_col = []
+    null_d = F.lit(None).cast("double")
+    if numeric:
+        long = df.select(
+            F.col(part),
+            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                for _, c in numeric])).alias("x"),
+        ).select(part, "x.*").filter(F.col("value").isNotNull())
+        counts = long.groupBy("column", "value").agg(
+            F.sum(is_ref.cast("long")).alias("c_ref"), F.sum((~is_ref).cast("long")).alias("c_cur")
+        )
+        tot = counts.groupBy("column").agg(F.sum("c_ref").alias("n1"), F.sum("c_cur").alias("n2"))
+        e = ordered_scan(counts, ["column"], ["value"], row_number=None,
+                         sums={"cum_ref": "c_ref", "cum_cur": "c_cur"}, lags={"value": 1})
+        # one row per numeric column: a bounded broadcast
+        e = e.join(F.broadcast(tot), "column")
+        gap = F.abs(F.col("cum_ref") / F.col("n1") - F.col("cum_cur") / F.col("n2"))
+        prev_gap = F.abs((F.col("cum_ref") - F.col("c_ref")) / F.col("n1")
+                         - (F.col("cum_cur") - F.col("c_cur")) / F.col("n2"))
+        step = F.col("value") - F.col("value_lag1")
+        stats = e.groupBy("column").agg(
+            F.max(gap).alias("ks"),
+            F.sum(F.when(F.col("value_lag1").isNotNull(), prev_gap * step).otherwise(0.0)).alias("w"),
+            F.first("n1").alias("n1"), F.first("n2").alias("n2"),
+        )
+        std = F.lit(None).cast("double")
+        for i, c in numeric:
+            std = F.when(F.col("column") == c, F.lit(meta[f"s_{i}"])).otherwise(std)
+        test = F.lit(None).cast("string")
+        for _, c in numeric:
+            test = F.when(F.col("column") == c, F.lit(tests[c])).otherwise(test)
+        per_col.append(stats.select(
+            "column", test.alias("test"),
+            F.when(test == "ks", F.col("ks")).otherwise(F.col("w") / std).alias("score"),
+            F.col("n1").cast("long").alias("n_ref"), F.col("n2").cast("long").alias("n_cur"),
+            F.lit(0).cast("long").alias("dof"),
+        ))
+    if categorical:
+        long = df.select(
+            F.col(part),
+            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                for _, c in categorical])).alias("x"),
+        ).select(part, "x.*").filter(F.col("value").isNotNull())
+        counts = long.groupBy("column", "value").agg(
+            F.sum(is_ref.cast("long")).alias("c_ref"), F.sum((~is_ref).cast("long")).alias("c_cur")
+        )
+        tot = counts.groupBy("column").agg(F.sum("c_ref").alias("n1"), F.sum("c_cur").alias("n2"))
+        sh = counts.join(F.broadcast(tot), "column").withColumn("p", F.col("c_ref") / F.col("n1")).withColumn(
+            "q", F.col("c_cur") / F.col("n2"))
+        top = F.lit(None).cast("string")
+        for i, c in categorical:
+            top = F.when(F.col("column") == c, F.lit(meta[f"m_{i}"])).otherwise(top)
+        m = (F.col("p") + F.col("q")) / 2
+
+        def kl(x):
+            return F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
+
+        exp = F.col("p") * F.col("n2")
+        stats = sh.groupBy("column").agg(
+            F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(kl(F.col("p"))) + 0.5 * F.sum(kl(F.col("q"))))).alias("js"),
+            F.sum(F.when(F.col("c_ref") > 0, (F.col("c_cur") - exp) ** 2 / exp)).alias("chi2"),
+            (F.sum((F.col("c_ref") > 0).cast("long")) - 1).alias("dof"),
+            F.sum(F.when(F.col("value") == top, F.col("c_ref")).otherwise(0)).cast("double").alias("x1"),
+            F.sum(F.when(F.col("value") == top, F.col("c_cur")).otherwise(0)).cast("double").alias("x2"),
+            F.first("n1").alias("n1"), F.first("n2").alias("n2"),
+        )
+        pool = (F.col("x1") + F.col("x2")) / (F.col("n1") + F.col("n2"))
+        se = F.sqrt(pool * (1 - pool) * (1 / F.col("n1") + 1 / F.col("n2")))
+        z = F.when(se > 0, (F.col("x1") / F.col("n1") - F.col("x2") / F.col("n2")) / se).otherwise(0.0)
+        test = F.lit(None).cast("string")
+        for _, c in categorical:
+            test = F.when(F.col("column") == c, F.lit(tests[c])).otherwise(test)
+        per_col.append(stats.select(
+            "column", test.alias("test"),
+            F.when(test == "jensenshannon", F.col("js")).when(test == "z", z).otherwise(F.col("chi2")).alias("score"),
+            F.col("n1").cast("long").alias("n_ref"), F.col("n2").cast("long").alias("n_cur"),
+            F.col("dof").cast("long").alias("dof"),
+        ))
+    out = per_col[0]
+    for q in per_col[1:]:
+        out = out.unionByName(q)
+    kind = F.lit(None).cast("string")
+    for c in cols:
+        kind = F.when(F.col("column") == c, F.lit(kinds[c])).otherwise(kind)
+    if small:
+        pv = p_value_udf("test", "score", "n_ref", "n_cur", "dof")
+        out = out.withColumn("p_value", pv).withColumn("drifted", F.col("p_value") < p).withColumn("threshold", F.lit(p))
+    else:
+        out = out.withColumn("p_value", null_d).withColumn("drifted", F.col("score") >= distance).withColumn(
+            "threshold", F.lit(distance))
+    out = out.select("column", kind.alias("kind"), "test", "score", "p_value", "threshold", "drifted")
     summary = out.agg(
         (F.sum(F.col("drifted").cast("long")) / F.count(F.lit(1))).alias("score"),
         F.sum(F.col("drifted").cast("long")).cast("double").alias("n_drifted"),

@@ -263,3 +263,24 @@ def test_models_beat_majority_baseline(spark):
     pred = reg.transform(test)
     m = EV.regression_metrics(pred, actual="fthg", predicted="fthg_raw").first()
     assert m.r2 > 0.5
+
+
+def test_drift_report_small_sample_matches_column_statistics(spark):
+    import random
+
+    from rivalry.operators import drift as D
+
+    rnd = random.Random(1)
+    rows = []
+    for part, shift in (("reference", 0.0), ("current", 0.7)):
+        for _ in range(300):
+            rows.append((part, rnd.gauss(shift, 1.0), rnd.choice("abc" if part == "reference" else "abcc"),
+                         int(rnd.random() < (0.3 if part == "reference" else 0.5))))
+    df = spark.createDataFrame(rows, "part string, num double, cat string, flag int")
+    rep = {r.column: r for r in D.drift_report(df).collect()}
+    assert rep["num"].test == "ks" and rep["cat"].test == "chisquare" and rep["flag"].test == "z"
+    assert rep["num"].score == pytest.approx(D.ks_statistic(df, "num").first().ks)
+    assert rep["cat"].score == pytest.approx(D.chi_square(df, "cat").first().chi2)
+    assert rep["flag"].score == pytest.approx(D.z_proportion(df, "flag").first().z)
+    assert rep["num"].drifted and rep["num"].p_value < 0.05
+    assert rep["__dataset__"].score == pytest.approx(sum(rep[c].drifted for c in ("num", "cat", "flag")) / 3)
