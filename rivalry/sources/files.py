@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivalry.session import ensure_checkpoint_dir
+from rivalry.session import cut_lineage, ensure_checkpoint_dir
 
 # split on commas outside double quotes
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -68,15 +68,27 @@ def scan_seasons(
     lines = raw.select(F.col("value"), F.col("_metadata.file_path").alias("_file")).filter(
         F.length(F.trim("value")) > 0
     )
-    cells = F.transform(F.split(F.col("value"), _CSV_SPLIT), _unquote)
-    lines = lines.select("_file", cells.alias("_cells"))
-    is_header = F.array_contains(F.col("_cells"), marker)
-    headers = lines.filter(is_header).groupBy("_file").agg(F.first("_cells").alias("_header"))
+    # header lines: a cheap substring test first, the quote-aware split only
+    # for the few candidate lines
+    quick = F.transform(F.split(F.col("value"), _CSV_SPLIT), _unquote)
+    is_header = F.col("value").contains(marker) & F.array_contains(quick, marker)
+    # one pass finds the headers; the small table is written once so the
+    # width lookup and the join below both read that copy
+    headers = cut_lineage(lines.filter(is_header).groupBy("_file").agg(F.first(quick).alias("_header")))
+    # data lines: Spark's CSV parser (linear, quote aware), as wide as the
+    # widest header
+    width = headers.agg(F.max(F.size("_header"))).first()[0] or 0
     if n_files <= MAX_BROADCAST_FILES:
         headers = F.broadcast(headers)
-    data = lines.filter(~is_header).join(headers, on="_file", how="inner")
-    n = F.least(F.size("_header"), F.size("_cells"))
-    record = F.map_from_arrays(F.slice("_header", 1, n), F.slice("_cells", 1, n))
+    if width == 0:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in required))
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv(F.col("value"), schema, {"escape": '"', "mode": "PERMISSIVE"})
+    data = lines.filter(~is_header).join(headers, on="_file", how="inner").select(
+        "_file", "_header", parsed.alias("_p")
+    )
+    cells = F.array(*[F.col(f"_p.c{i}") for i in range(width)])
+    record = F.map_from_arrays(F.col("_header"), F.slice(cells, 1, F.size("_header")))
     data = data.select("_file", record.alias("_rec"))
     out = []
     for c in required:

@@ -284,3 +284,18 @@ def test_drift_report_small_sample_matches_column_statistics(spark):
     assert rep["flag"].score == pytest.approx(D.z_proportion(df, "flag").first().z)
     assert rep["num"].drifted and rep["num"].p_value < 0.05
     assert rep["__dataset__"].score == pytest.approx(sum(rep[c].drifted for c in ("num", "cat", "flag")) / 3)
+
+
+def test_scan_seasons_quotes_and_layouts(spark, tmp_path):
+    a = tmp_path / "9596"
+    b = tmp_path / "0001"
+    a.mkdir()
+    b.mkdir()
+    (a / "E0.csv").write_text('Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR\nE0,19/08/95,"Brighton, Hove",Leeds,1,0,H\n')
+    (b / "E0.csv").write_text('Date,FTR,AwayTeam,HomeTeam,FTAG,FTHG,Referee\n19/08/2000,D,"The ""Saints""",Leeds,2,2,X\n'
+                              '20/08/2000,A,Spurs,Leeds,1,,Y\n')
+    got = SRC.scan_seasons(spark, [str(a / "E0.csv"), str(b / "E0.csv")],
+                           required=["season", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR"]).collect()
+    rows = sorted((r.season, r.HomeTeam, r.AwayTeam, r.FTHG, r.FTR) for r in got)
+    # the row with an empty goal count is dropped (any NULL)
+    assert rows == [("1995-96", "Brighton, Hove", "Leeds", "1", "H"), ("2000-01", "Leeds", 'The "Saints"', "2", "D")]
