@@ -46,7 +46,8 @@ def attribution_top3(long: DataFrame) -> DataFrame:
 
 
 def attribution_summary(long: DataFrame) -> DataFrame:
-    """XP4: mean absolute contribution per feature with its rank (1 = largest)."""
+    """XP4: mean absolute contribution per feature (rank it with
+    :func:`rivalry.operators.ordering.rank_average` when needed)."""
     s = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     return s
 
@@ -55,7 +56,9 @@ def one_row_waterfall(long: DataFrame, row_id, *, base_value) -> DataFrame:
     """XP5: contributions of one row ordered by absolute size, plus a base
     row (``feature`` = '__base__'). ``base_value`` may be a scalar column."""
     one = long.filter(F.col("row_id") == F.lit(row_id)).select("feature", "contribution")
-    base = long.limit(1).select(F.lit("__base__").alias("feature"), F.lit(base_value).cast("double").alias("contribution"))
+    base = long.sparkSession.range(1).select(
+        F.lit("__base__").alias("feature"), F.lit(base_value).cast("double").alias("contribution")
+    )
     out = one.unionByName(base)
     return out.withColumn("abs_contribution", F.abs("contribution"))
 
