@@ -22,3 +22,21 @@ def test_match_view_scan_reads_pruned_columns(spark, sf_dir):
     # the orders scan is there and reads only the columns the view needs
     assert "o_orderkey" in plan
     assert "o_orderpriority" not in plan and "o_orderstatus" not in plan
+
+
+def test_drift_report_scans_do_not_grow_with_columns(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rivalry.operators.drift import drift_report
+    from rivalry.sources import testdata as td
+
+    d = td.drift_rows(spark, sf_dir)
+    wide = d.select("*", (F.col("num_col") * 2).alias("num2"), F.concat("cat_col", F.lit("x")).alias("cat2"),
+                    (1 - F.col("flag_col")).alias("flag2"))
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+    narrow_scans = scans(drift_report(d))
+    assert narrow_scans > 0
+    assert scans(drift_report(wide)) == narrow_scans
