@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import embed_dedup, minhash
-from rivalry.llm.common import table
+from rivalry.llm import embed_dedup, langid, minhash, token_files, toxicity
+from rivalry.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +35,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with 4-word shingle similarity >= 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=0.8)
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    """Learned from the documents outside the held-out fold, text and label only."""
+    return langid.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    out = langid.identify(docs.select("doc_id", "text"), language_model(docs), keep=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 3) != 1)
+    return toxicity.fit(docs.filter(fold(F.col("doc_id"), 3) != 1), labels)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir), keep=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    path = scratch_path(spark, "token-files")
+    manifest = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(manifest, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
