@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import embed_dedup, langid, minhash, token_files, toxicity
+from rivalry.llm import embed_dedup, langid, minhash, mixing, token_files, toxicity, warc
 from rivalry.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(manifest, path).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_source_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_copies=3, keep=["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p
+), m AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > low THEN low END AS refers_to
+FROM m
+"""
+
+
+@query("op4_warc_round_trip", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = scratch_path(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.records(warc.read_warc(manifest, path))
