@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import embed_dedup, langid, minhash, mixing, token_files, toxicity, warc
+from rivalry.llm import embed_dedup, langid, minhash, mixing, sentencepiece_viterbi, token_files, toxicity, warc
 from rivalry.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), path)
     return warc.records(warc.read_warc(manifest, path))
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back."""
+    pieces = sentencepiece_viterbi.load(public_tokenizer("piece_bpe_32k.model"), ranks=True)
+    ids = sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    back = sentencepiece_viterbi.decode(ids, pieces)
+    return back.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids",
+        F.col("decoded").eqNullSafe(F.translate("text", sentencepiece_viterbi.MARKER, " ")).alias("round_trip"))
