@@ -4,12 +4,17 @@
    its set size, a 128-bit fingerprint of its shingle set, band keys (each the
    hash of ``rows`` minima) and the low ``bits`` of all minima, packed.
 2. Documents with equal sets collapse to the one with the smallest id.
-3. In every band bucket, each member meets the bucket's smallest id; pairs
-   that are still in different components meet in a second pass. So a bucket
-   of near copies costs its size, not its square.
-4. A pair goes on if its sizes allow the similarity and its b-bit estimate,
-   corrected for chance agreement, is not far below it (``slack`` standard
-   errors). Only then are the two full sets compared.
+3. In every band bucket, each member meets the bucket's smallest id, its
+   pivot. The full sets give the exact intersection with the pivot and a
+   bitmap of what the member has beyond it.
+4. Members still in another component than their pivot meet the others of the
+   bucket, but only where a link is possible: what two members share within
+   the pivot is at most the smaller of their intersections with it, and beyond
+   it at most what their bitmaps allow. Variants of one text, each changed in
+   places of its own, drop out here without ever becoming a pair.
+5. Before any full sets are compared, the sizes must allow the similarity, and
+   the b-bit estimate, corrected for chance agreement, must not be far below it
+   (``slack`` standard errors).
 
 With 32 bands of 4 minima a pair of similarity 0.8 misses every bucket with
 probability (1 - 0.8^4)^32 = 5e-8, and the estimate's slack adds less than 1e-6.
@@ -20,7 +25,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,10 +111,22 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * _BASE + np.uint64(seed)) | np.uint64(1)
 
 
-def _jaccard_hit(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    # in hundredths of a percent, so that 0.8 is exactly 80 of 100
-    return both > 0 and 10_000 * both >= round(similarity * 10_000) * (len(x) + len(y) - both)
+_MASK = 16  # 64-bit words of the bitmap of a member's shingles beyond its pivot
+
+
+def compare(head: np.ndarray, other: np.ndarray) -> tuple[int, np.ndarray]:
+    """Size of the intersection of two sorted sets, and what only ``other`` has."""
+    if not len(head) or not len(other):
+        return 0, other
+    hit = head[np.minimum(np.searchsorted(head, other), len(head) - 1)] == other
+    return int(hit.sum()), other[~hit]
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(64 - 10)
+    out = np.zeros(_MASK, dtype=np.uint64)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
 
 
 def near_duplicates(
@@ -127,7 +143,8 @@ def near_duplicates(
     marks it.
 
     A NULL or wordless text has an empty set and links with nothing. Rows that
-    repeat an id share their component. A row with a NULL id counts only
+    repeat an id share their component; where their texts differ, the first in
+    order stands for the id when links are confirmed. A row with a NULL id counts only
     as a copy of a named row with the same set, else it keeps a NULL component
     and ``kept`` false. An empty input gives no rows. Other columns are
     ignored.
@@ -182,7 +199,7 @@ def near_duplicates(
     classes = cut_lineage(full.groupBy("n", "f1", "f2").agg(
         F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).filter("id is not null"))
 
-    keyed = classes.select("id", F.explode("bands").alias("key"))
+    keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     keyed = cut_lineage(keyed.join(shared.select("key", "pivot"), "key"))
     sig = classes.select("id", "n", "sig")
@@ -214,23 +231,36 @@ def near_duplicates(
 
     star = keyed.filter("id != pivot").select(F.col("pivot").alias("id_a"), F.col("id").alias("id_b")).distinct()
     star = star.join(side("a"), "id_a").join(side("b"), "id_b").filter(likely("a", "b")).select("id_a", "id_b")
-    links = confirmed(star, src, width, similarity)
-    comp = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    met = compared(star, src, width, similarity)
+    links = met.filter("link").select("id_a", "id_b")
+    comp = cut_lineage(components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
 
     # members of a bucket that did not join its pivot meet all others of the bucket
-    comp = cut_lineage(comp)
     member = keyed.join(comp.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     lead = comp.select(F.col("id").alias("pivot"), F.col("component_id").alias("lead"))
-    member = member.join(lead, "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot"))
-    stray = member.filter("comp != lead")
-    mixed = stray.select("key").distinct()
-    body = cut_lineage(member.select("key", "id", "comp", "lead").join(mixed, "key").join(sig, "id"))
-    a_side, b_side = side("a", body.drop("lead").filter(F.col("comp") != body["lead"])), side("b", body.drop("lead"))
-    cross = a_side.join(b_side, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & likely("a", "b"))
+    member = cut_lineage(member.join(lead, "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot")))
+    mixed = member.filter("comp != lead").select("key").distinct()
+    to_pivot = met.select(F.col("id_a").alias("pivot"), F.col("id_b").alias("id"), "inter", "extra", "mask")
+    is_pivot = F.col("id") == F.col("pivot")
+    body = member.join(mixed, "key").join(to_pivot, ["pivot", "id"], "left").join(classes.select("id", "n", "sig", "bands"), "id").select(
+        "key", "id", "comp", "n", "sig", (F.col("comp") != F.col("lead")).alias("stray"), F.slice("bands", F.lit(1), F.col("band")).alias("earlier"),
+        F.when(is_pivot, F.col("n")).otherwise(F.col("inter")).alias("inter"),
+        F.when(is_pivot, F.lit(0)).otherwise(F.col("extra")).alias("extra"),
+        F.when(is_pivot, F.array(*[F.lit(0).cast("long")] * _MASK)).otherwise(F.col("mask")).alias("mask"))
+    body = cut_lineage(body.withColumn("hidden", F.col("extra") - sum(F.bit_count(F.col("mask")[k]) for k in range(_MASK))))
+    a_side, b_side = side("a", body.filter("stray").drop("stray", "extra")), side("b", body.drop("extra"))
+    beyond = F.least("hidden_a", "hidden_b") + sum(F.bit_count(F.col("mask_a")[k].bitwiseAND(F.col("mask_b")[k])) for k in range(_MASK))
+    most = F.least("inter_a", "inter_b") + beyond
+    possible = most * F.lit(10_000) >= (F.col("n_a") + F.col("n_b") - most) * F.lit(round(similarity * 10_000))
+    cross = a_side.join(b_side, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & likely("a", "b")
+                        & F.coalesce(possible, F.lit(True)) & (~F.col("stray_b") | (F.col("id_a") < F.col("id_b")))
+                        # the first bucket that two members share speaks for the others
+                        & ~F.arrays_overlap("earlier_a", "earlier_b"))
     cross = cross.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
-    more = confirmed(cross, src, width, similarity)
-    both = links.union(more)
-    comp = components(both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    more = compared(cross, src, width, similarity).filter("link").select("id_a", "id_b")
+    # the first pass's components are stars already: the new links only join them
+    comp = components(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(
+        more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
 
     named = classes.select("n", "f1", "f2", "id").join(comp, "id", "left").select(
         "n", "f1", "f2", F.coalesce("component_id", "id").alias("component_id"))
@@ -249,8 +279,10 @@ def _lists(matrix: np.ndarray, empty: np.ndarray) -> pa.Array:
         mask=pa.array(empty))
 
 
-def confirmed(pairs: DataFrame, src: DataFrame, width: int, similarity: float, slice_size: int = 256) -> DataFrame:
-    """The pairs ``(id_a, id_b)`` whose full shingle sets reach the similarity.
+def compared(pairs: DataFrame, src: DataFrame, width: int, similarity: float, slice_size: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """The full sets of every pair ``(id_a, id_b)`` compared: ``inter``, their
+    intersection's size; ``extra``, how much ``b`` has beyond ``a``; ``mask``,
+    the bitmap of that; ``link``, whether they reach the similarity.
 
     The texts of a pair's ``b`` side travel once per pair and that of ``a``
     once per slice of at most about ``slice_size`` partners, so a document
@@ -258,27 +290,41 @@ def confirmed(pairs: DataFrame, src: DataFrame, width: int, similarity: float, s
     pairs = cut_lineage(pairs)
     fan = pairs.groupBy("id_a").agg(F.ceil(F.count(F.lit(1)) / slice_size).alias("slices"))
     pairs = cut_lineage(pairs.join(fan, "id_a").withColumn("slice", F.pmod(F.xxhash64("id_b"), F.col("slices"))).drop("slices"))
-    need = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
+    need = cut_lineage(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct())
+    # eight bytes an id: the texts that no pair needs stay where they are; beyond the bound both sides are shuffled
+    if need.count() <= broadcast_ids:
+        need = F.broadcast(need)
     # rows that repeat an id: the first text in order stands for the id
     texts = cut_lineage(src.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     heads = pairs.select("id_a", "slice").distinct().join(texts, F.col("id_a") == F.col("id")).select(
         "id_a", "slice", F.lit(None).cast("long").alias("id_b"), "text")
     rest = pairs.join(texts, F.col("id_b") == F.col("id")).select("id_a", "slice", "id_b", "text")
     flow = heads.unionByName(rest).repartition("id_a", "slice").sortWithinPartitions("id_a", "slice", F.col("id_b").asc_nulls_first())
+    # in ten-thousandths, so that 0.8 is exactly 8,000
+    need_10k = round(similarity * 10_000)
 
     def check(batches):
         np.seterr(over="ignore")
         head, head_set = None, None
         for batch in batches:
             ida, idb = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            found = []
+            found, masks = [], []
             for lo, hi, data, offsets in utf8_slices(batch.column(3)):
                 sets = shingle_sets(data, offsets, width)
                 for i in range(lo, hi):
+                    own = sets[i - lo]
                     if idb[i] is None:
-                        head, head_set = ida[i], sets[i - lo]
-                    elif head == ida[i] and _jaccard_hit(head_set, sets[i - lo], similarity):
-                        found.append((ida[i], idb[i]))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["id_a", "id_b"], dtype="int64"), preserve_index=False)
+                        head, head_set = ida[i], own
+                    elif head == ida[i]:
+                        inter, extra = compare(head_set, own)
+                        link = inter > 0 and 10_000 * inter >= need_10k * (len(head_set) + len(own) - inter)
+                        found.append((ida[i], idb[i], inter, len(extra), link))
+                        masks.append(bitmap(extra))
+            if found:
+                a, b, inter, extra, link = zip(*found)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(masks) + 1, dtype=np.int32) * _MASK), pa.array(np.concatenate(masks)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(inter, pa.int64()), pa.array(extra, pa.int64()),
+                    lists, pa.array(link, pa.bool_())], names=["id_a", "id_b", "inter", "extra", "mask", "link"])
 
-    return cut_lineage(flow.mapInArrow(check, "id_a long, id_b long"))
+    return cut_lineage(flow.mapInArrow(check, "id_a long, id_b long, inter long, extra long, mask array<long>, link boolean"))
