@@ -112,15 +112,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_warc(manifest, path))
 
 
+def piece_table(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids`` and ``round_trip``: whether decoding
+    gives the text back (the marker character counts as a space)."""
+    pieces = sentencepiece_viterbi.load(public_tokenizer("piece_bpe_32k.model"), ranks=True)
+    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, pieces), pieces)
+    same = F.col("decoded").eqNullSafe(F.translate("text", sentencepiece_viterbi.MARKER, " "))
+    return back.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0))).withColumn("round_trip", same)
+
+
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding gives the text back."""
-    pieces = sentencepiece_viterbi.load(public_tokenizer("piece_bpe_32k.model"), ranks=True)
-    ids = sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
-    back = sentencepiece_viterbi.decode(ids, pieces)
-    return back.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids",
-        F.col("decoded").eqNullSafe(F.translate("text", sentencepiece_viterbi.MARKER, " ")).alias("round_trip"))
+    return piece_table(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
 @query("op8_ann_forest")
