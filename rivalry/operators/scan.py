@@ -3,43 +3,35 @@ fill inside (possibly huge, possibly skewed) key groups.
 
 A plain ``Window.partitionBy(keys).orderBy(order)`` puts every row of a key
 into one task, so a season or a team holding a third of the data becomes one
-straggler. Here the work is split the way Spark's own sort splits it:
-
-1. ``repartitionByRange`` over ``keys + order``: each partition holds a
-   contiguous slice of the global order, so a hot key is spread over many
-   partitions and every partition has a bounded size (AQE may merge adjacent
-   slices up to the advisory partition size; they stay contiguous).
-2. One vectorised pass per partition (``mapInPandas``) computes the local
-   row number, running sums, lags and forward fill of each key segment.
-   The same pass emits two summary rows per partition: its first key, and
-   its last key with that segment's count, sums, last values and last
-   non-NULL fill value. Only a partition's last segment can continue into
-   the next partition, so these summaries are all the carry needs.
-3. A window over the summary rows (at most two per partition) gives what
-   each partition's first key segment inherits from earlier partitions.
-   At most one carry row per partition survives, so the carry table is
-   bounded by the partition count and safe to broadcast.
-4. The pass output is checkpointed into the shared checkpoint folder, so
-   the carry and the data path read one fixed copy (same partition
-   assignment) and a lost executor never re-runs the pass. The data rows
-   then join the carry; re-evaluating that join per consumer only re-reads
-   the checkpoint and the summary rows.
+straggler. Here a key is cut into bounded slices of its order first:
+
+1. ``repartitionByRange`` over ``keys + order`` gives every row the number of
+   a contiguous slice of the global order. A hot key spreads over many slices
+   (AQE may merge adjacent ones up to the advisory size; they stay
+   contiguous).
+2. Ordinary windows over ``(slice, keys)`` compute row numbers, sums, lags and
+   fills. Such a window group is at most one slice.
+3. The result is written to the shared folder, so that the carry and the data
+   path read one fixed copy. Of each slice only the first and the last key can
+   be continued from, or into, another slice: the last rows of their segments
+   (at most two per slice) give, by one small window per key, what a segment
+   inherits from earlier slices.
+4. The carry has fewer rows than there are slices, so broadcasting it is
+   bounded. Adding it is a narrow pass.
+
+All of it is built-in expressions: values keep their types, NULLs and NaNs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivalry.session import cut_lineage
 
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
 
 def _lag_name(col: str, k: int) -> str:
     return f"{col}_lag{k}"
@@ -59,172 +51,64 @@ def ordered_scan(
     """Scan ``df`` in ``order`` (ascending, unique within a key) per ``keys``.
 
     Adds ``row_number`` (1-based), ``sums`` (out name -> input column;
-    inclusive running sum, NULL counts as 0), ``lags`` (input column -> depth
-    L; adds ``<col>_lag1..L``, NULL before the first row) and ``ffill`` (out
-    name -> input column; last non-NULL value up to and including the row).
-    Key columns must not be NULL.
+    inclusive running sum in the type of Spark's ``sum``, NULL counts as 0),
+    ``lags`` (input column -> depth L; adds ``<col>_lag1..L``, NULL before the
+    first row) and ``ffill`` (out name -> input column; last non-NULL value up
+    to and including the row). A NULL key raises when the scan runs.
     """
     keys, order = list(keys), list(order)
     sums = dict(sums or {})
     lags = dict(lags or {})
     ffill = dict(ffill or {})
-    spark = df.sparkSession
-    schema = df.schema
-    fields = {f.name: f for f in schema.fields}
-
-    sum_types = {}
-    for out, src in sums.items():
-        dt = fields[src].dataType
-        sum_types[out] = T.LongType() if isinstance(dt, _INTEGRAL) else T.DoubleType()
-
-    extra = [
-        T.StructField("_pid", T.IntegerType(), False),
-        T.StructField("_lrn", T.LongType(), False),
-        T.StructField("_scan_kind", T.IntegerType(), False),  # 0 data, 1 first-key summary, 2 last-key summary
-        T.StructField("_scnt", T.LongType(), True),
+    columns = list(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    ranged = df.repartitionByRange(num_partitions, *keys, *order) if num_partitions else df.repartitionByRange(*keys, *order)
+    checked = [
+        F.coalesce(F.col(c), F.raise_error(F.lit(f"ordered_scan: NULL in key column {c}")).cast(types[c])).alias(c) if c in keys else F.col(c)
+        for c in columns
     ]
-    extra += [T.StructField(f"_ls_{o}", sum_types[o], True) for o in sums]
-    extra += [T.StructField(f"_ss_{o}", sum_types[o], True) for o in sums]
+    sliced = ranged.select(*checked, F.spark_partition_id().alias("_pid"))
+
+    here = Window.partitionBy("_pid", *keys).orderBy(*order)
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = [F.row_number().over(here).cast("long").alias("_lrn"), F.lead(F.lit(1)).over(here).isNull().alias("_tail")]
+    local += [F.coalesce(F.sum(src).over(so_far), F.lit(0)).alias(f"_ls_{o}") for o, src in sums.items()]
     for c, depth in lags.items():
-        extra += [T.StructField(f"_ll_{c}_{k}", fields[c].dataType, True) for k in range(1, depth + 1)]
-        extra.append(T.StructField(f"_st_{c}", T.ArrayType(fields[c].dataType), True))
-    extra += [T.StructField(f"_lf_{o}", fields[src].dataType, True) for o, src in ffill.items()]
-    extra += [T.StructField(f"_sf_{o}", fields[src].dataType, True) for o, src in ffill.items()]
-    # summary rows leave data columns NULL: declare every input column nullable
-    local_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + extra)
-    out_names = [f.name for f in local_schema.fields]
-
-    max_depth = max([1, *lags.values()])
-    columns = list(schema.names)
-
-    def local_pass(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        halo = None  # last rows of the previous batch's last key
-        carry_rn = 0
-        carry_sum: dict[str, float] = {}
-        first_key = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            if first_key is None:
-                first_key = pdf.loc[0, keys].tolist() if keys else []
-            h = 0 if halo is None else len(halo)
-            work = pdf if h == 0 else pd.concat([halo, pdf], ignore_index=True)
-            kd = work[keys]
-            gid = kd.ne(kd.shift()).any(axis=1).cumsum().to_numpy()
-            cont = np.zeros(len(work), dtype=bool)
-            if h:
-                cont = gid == gid[0]
-            grp = work.groupby(gid, sort=False)
-            out = pdf.copy()
-            out["_pid"] = np.int32(pid)
-            rn = grp.cumcount().to_numpy() + 1
-            rn = rn + np.where(cont, carry_rn - h, 0)
-            out["_lrn"] = rn[h:].astype(np.int64)
-            out["_scan_kind"] = np.int32(0)
-            sum_now = {}
-            for o, src in sums.items():
-                vals = work[src].fillna(0)
-                if h:
-                    vals = vals.copy()
-                    vals.iloc[:h] = 0
-                cs = vals.groupby(gid, sort=False).cumsum().to_numpy()
-                cs = cs + np.where(cont, carry_sum.get(o, 0), 0)
-                sum_now[o] = cs
-                out[f"_ls_{o}"] = cs[h:]
-            for c, depth in lags.items():
-                gc = work[c].groupby(gid, sort=False)
-                for k in range(1, depth + 1):
-                    out[f"_ll_{c}_{k}"] = gc.shift(k).to_numpy()[h:]
-            ff_now = {}
-            for o, src in ffill.items():
-                vals = work[src]
-                if h:
-                    vals = vals.copy()
-                    vals.iloc[:h] = halo[f"_lf_{o}"].to_numpy()
-                filled = vals.groupby(gid, sort=False).ffill()
-                ff_now[o] = filled
-                out[f"_lf_{o}"] = filled.to_numpy()[h:]
-            # keep the tail of the last key for the next batch
-            last = gid == gid[-1]
-            idx = np.flatnonzero(last)[-max_depth:]
-            halo = work.iloc[idx][columns].reset_index(drop=True)
-            for o in ffill:
-                halo[f"_lf_{o}"] = ff_now[o].to_numpy()[idx]
-            carry_rn = int(rn[-1])
-            carry_sum = {o: sum_now[o][-1] for o in sums}
-            out = out.reindex(columns=out_names)
-            for c in lags:
-                out[f"_st_{c}"] = pd.Series([None] * len(out), dtype=object)
-            yield out
-        if first_key is None:
-            return
-        # two summary rows: the partition's first key, and its last key with
-        # the segment's totals, last values and last non-null fill value
-        last_key = halo.loc[len(halo) - 1, keys].tolist() if keys else []
-        summ = pd.DataFrame({n: [None, None] for n in out_names})
-        for i, k in enumerate(keys):
-            summ[k] = [first_key[i], last_key[i]]
-        summ["_pid"] = np.int32(pid)
-        summ["_lrn"] = np.int64(0)
-        summ["_scan_kind"] = np.array([1, 2], dtype=np.int32)
-        summ["_scnt"] = [None, carry_rn]
-        for o in sums:
-            summ[f"_ss_{o}"] = [None, carry_sum[o]]
-        for c, depth in lags.items():
-            tail = halo[c].tolist()[-depth:]
-            summ[f"_st_{c}"] = [None, tail]
-        for o in ffill:
-            summ[f"_sf_{o}"] = [None, halo[f"_lf_{o}"].iloc[-1]]
-        yield summ
-
-    # without an explicit count, AQE may merge adjacent ranges up to the
-    # advisory partition size; merged ranges stay contiguous and ordered,
-    # which is all the carry below relies on
-    if num_partitions:
-        ranged = df.repartitionByRange(num_partitions, *keys, *order)
-    else:
-        ranged = df.repartitionByRange(*keys, *order)
-    ranged = ranged.sortWithinPartitions(*keys, *order)
+        local += [F.lag(c, k).over(here).alias(f"_ll_{c}_{k}") for k in range(1, depth + 1)]
+    local += [F.last(src, ignorenulls=True).over(so_far).alias(f"_lf_{o}") for o, src in ffill.items()]
     # read by the carry and by the data path: one fixed, reliable copy
-    local = cut_lineage(ranged.mapInPandas(local_pass, local_schema))
-
-    # carry: what each partition's first key segment inherits from the last
-    # key segments of earlier partitions (at most two summary rows each)
-    summ = local.filter(F.col("_scan_kind") > 0)
-    order_w = Window.partitionBy(*keys).orderBy("_pid", "_scan_kind")
-    before = order_w.rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [F.col("_pid"), *[F.col(k) for k in keys], F.col("_scan_kind"),
-                  F.sum("_scnt").over(before).alias("_pcn")]
-    carry_cols += [F.sum(f"_ss_{o}").over(before).alias(f"_ps_{o}") for o in sums]
+    scanned = cut_lineage(sliced.select(*columns, "_pid", *local))
+
+    # the last row of a segment holds all that a later segment of its key needs
+    tails = scanned.filter("_tail")
+    if keys:
+        ends = tails.groupBy("_pid").agg(F.min(F.struct(*keys)).alias("_lo"), F.max(F.struct(*keys)).alias("_hi"))
+        # one row per slice
+        tails = tails.join(F.broadcast(ends), "_pid").filter((F.struct(*keys) == F.col("_lo")) | (F.struct(*keys) == F.col("_hi")))
+    by_slice = Window.partitionBy(*keys).orderBy("_pid")
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    carry_cols = ["_pid", *keys, F.sum("_lrn").over(before).alias("_pcn")]
+    carry_cols += [F.sum(f"_ls_{o}").over(before).alias(f"_ps_{o}") for o in sums]
     for c, depth in lags.items():
-        near = order_w.rowsBetween(-2 * depth, -1)
-        tails = F.flatten(F.collect_list(F.col(f"_st_{c}")).over(near))
-        carry_cols.append(
-            F.slice(tails, F.greatest(F.size(tails) - F.lit(depth) + 1, F.lit(1)), depth).alias(f"_pt_{c}")
-        )
-    for o in ffill:
-        carry_cols.append(F.last(F.col(f"_sf_{o}"), ignorenulls=True).over(before).alias(f"_pf_{o}"))
-    carry = (
-        summ.select(*carry_cols)
-        .filter((F.col("_scan_kind") == 1) & F.col("_pcn").isNotNull())
-        .drop("_scan_kind")
-    )
-
-    # at most one carry row per partition: a bounded broadcast
-    data = local.filter(F.col("_scan_kind") == 0)
-    joined = data.join(F.broadcast(carry), on=["_pid", *keys], how="left")
-
+        # oldest to newest, as many as the segment has
+        last = F.array(*[F.col(f"_ll_{c}_{k}") for k in range(depth - 1, 0, -1)], F.col(c))
+        own = F.slice(last, F.greatest(F.lit(depth) - F.col("_lrn") + 1, F.lit(1)).cast("int"), depth)
+        near = F.flatten(F.collect_list(own).over(by_slice.rowsBetween(-depth, -1)))
+        carry_cols.append(near.alias(f"_pt_{c}"))
+    carry_cols += [F.last(f"_lf_{o}", ignorenulls=True).over(before).alias(f"_pf_{o}") for o in ffill]
+    carry = tails.select(*carry_cols).filter(F.col("_pcn").isNotNull())
+
+    # at most one carry row per slice: a bounded broadcast
+    joined = scanned.join(F.broadcast(carry), on=["_pid", *keys], how="left")
     result = [F.col(c) for c in columns]
     if row_number:
-        result.append((F.col("_lrn") + F.coalesce(F.col("_pcn"), F.lit(0))).alias(row_number))
-    for o in sums:
-        result.append(
-            (F.col(f"_ls_{o}") + F.coalesce(F.col(f"_ps_{o}"), F.lit(0))).cast(sum_types[o]).alias(o)
-        )
+        result.append((F.col("_lrn") + F.coalesce("_pcn", F.lit(0))).cast("long").alias(row_number))
+    for o, src in sums.items():
+        total = F.col(f"_ls_{o}") + F.coalesce(f"_ps_{o}", F.lit(0))
+        if not isinstance(types[src], T.DecimalType):
+            total = total.cast("long" if isinstance(types[src], T.IntegralType) else "double")
+        result.append(total.alias(o))
     for c, depth in lags.items():
         for k in range(1, depth + 1):
             from_prev = F.try_element_at(F.col(f"_pt_{c}"), (F.col("_lrn") - F.lit(k + 1)).cast("int"))

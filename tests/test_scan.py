@@ -128,3 +128,30 @@ def test_scan_with_coalesced_ranges(spark):
     for j in range(1, 4):
         assert (got[f"s_lag{j}"].fillna("-").to_numpy() == want[f"s_lag{j}"].fillna("-").to_numpy()).all(), j
     assert (got["ff"].fillna(-1).to_numpy() == want["ff"].fillna(-1).to_numpy()).all()
+
+
+def test_scan_keeps_values_as_they_are(spark):
+    """LONGs above 2^53 beside NULLs, NaNs and decimals come through unchanged."""
+    from decimal import Decimal
+
+    big = 9007199254740993
+    rows = [("a", i, big + i if i % 3 else None, float("nan") if i % 4 == 0 else float(i), Decimal("0.10"), None if i % 5 else big) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, o long, v long, x double, d decimal(10,2), f long")
+    got = ordered_scan(df, ["k"], ["o"], sums={"cs": "v", "cd": "d"}, lags={"v": 2, "x": 1}, ffill={"ff": "f", "fx": "x"}, num_partitions=7)
+    assert dict(got.dtypes)["cs"] == "bigint" and dict(got.dtypes)["cd"].startswith("decimal")
+    total, lastf = 0, None
+    for i, r in enumerate(sorted(got.collect(), key=lambda r: r.o)):
+        total += rows[i][2] or 0
+        lastf = rows[i][5] if rows[i][5] is not None else lastf
+        assert r.rn == i + 1 and r.v == rows[i][2] and r.cs == total and r.cd == Decimal("0.10") * (i + 1) and r.ff == lastf
+        assert r.v_lag1 == (rows[i - 1][2] if i else None) and r.v_lag2 == (rows[i - 2][2] if i > 1 else None)
+        want = rows[i][3]
+        assert (np.isnan(r.x) and np.isnan(r.fx)) if np.isnan(want) else r.x == r.fx == want
+
+
+def test_scan_refuses_null_keys(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", 1), (None, 2)], "k string, o long")
+    with pytest.raises(Exception, match="NULL in key column k"):
+        ordered_scan(df, ["k"], ["o"]).collect()
