@@ -395,8 +395,8 @@ def _shares_sql(c: str) -> str:
 @query(
     "dr2_chi_square",
     with_views(
-        f"select round(sum((c_cur - p * n_cur) * (c_cur - p * n_cur) / (p * n_cur)), 6) as chi2, count(*) - 1 as dof "
-        f"from ({_shares_sql('cat_col')}) where c_ref > 0",
+        f"select round(sum(case when p > 0 then (c_cur - p * n_cur) * (c_cur - p * n_cur) / (p * n_cur) when c_cur > 0 then 'inf'::double else 0 end), 6) as chi2, "
+        f"count(*) - 1 as dof from ({_shares_sql('cat_col')})",
         "drift_rows",
     ),
 )
@@ -458,31 +458,72 @@ _REPORT_ROWS = (
 )
 
 
-@query(
-    "dr6_drift_report",
-    with_views(
-        f"select \"column\", kind, test, score, cast(null as double) as p_value, cast(0.1 as double) as threshold, score >= 0.1 as drifted "
-        f"from ({_REPORT_ROWS}) union all "
-        "select '__dataset__', 'dataset', 'share', round(sum(case when score >= 0.1 then 1 else 0 end) / count(*), 9), "
-        f"cast(sum(case when score >= 0.1 then 1 else 0 end) as double), cast(0.5 as double), "
-        f"sum(case when score >= 0.1 then 1 else 0 end) / count(*) >= 0.5 from ({_REPORT_ROWS})",
-        "drift_rows",
-    ),
-)
+def _with_summary(rows: str, threshold: str) -> str:
+    """Report rows (column, kind, test, score, drifted) with the data set's."""
+    return (
+        f"select \"column\", kind, test, score, cast({threshold} as double) as threshold, drifted, cast(null as bigint) as n_drifted from ({rows}) "
+        "union all select '__dataset__', 'dataset', 'share', round(sum(case when drifted then 1 else 0 end) / count(*), 9), "
+        "cast(0.5 as double), sum(case when drifted then 1 else 0 end) / count(*) >= 0.5, "
+        f"cast(sum(case when drifted then 1 else 0 end) as bigint) from ({rows})"
+    )
+
+
+def _report(d, **how):
+    return D.drift_report(d, **how).drop("p_value").withColumn("score", F.round("score", 9))
+
+
+@query("dr6_drift_report", with_views(_with_summary(f"select *, score >= 0.1 as drifted from ({_REPORT_ROWS})", "0.1"), "drift_rows"))
 def dr6(spark, sf):
-    rep = D.drift_report(_drift(spark, sf))
-    return rep.withColumn("score", F.round("score", 9))
+    return _report(_drift(spark, sf), regime="distances", categorical=["cat_col", "flag_col"])
+
+
+# the p-value of a chi-square with two degrees of freedom is exp(-x / 2); z and the Kolmogorov function by their 5 % points
+_TEST_ROWS = (
+    f"select 'num_col' as \"column\", 'numeric' as kind, 'ks' as test, round(ks, 9) as score, "
+    "(sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * ks > 1.3581015157406196 as drifted "
+    f"from (select max(abs(cr / n_ref - cc / n_cur)) as ks, cast(max(n_ref) as double) as n1, cast(max(n_cur) as double) as n2 from ({_ecdf_sql('num_col')})) "
+    "union all select 'cat_col', 'categorical', 'chisquare', round(x, 9), exp(-x / 2) < 0.05 from "
+    f"(select sum((c_cur - p * n_cur) * (c_cur - p * n_cur) / (p * n_cur)) as x from ({_shares_sql('cat_col')})) "
+    "union all select 'flag_col', 'categorical', 'z', round(z, 9), abs(z) > 1.959963984540054 from (select (x1 / n1 - x2 / n2) / "
+    "sqrt(((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)) as z from (select "
+    "sum(case when part = 'reference' then 1.0 else 0 end) as n1, sum(case when part <> 'reference' then 1.0 else 0 end) as n2, "
+    "sum(case when part = 'reference' then flag_col else 0 end) as x1, sum(case when part <> 'reference' then flag_col else 0 end) as x2 from drift_rows))"
+)
+
+
+@query("dr6_drift_report_tests", with_views(_with_summary(_TEST_ROWS, "0.05"), "drift_rows"))
+def dr6_tests(spark, sf):
+    return _report(_drift(spark, sf), regime="tests", categorical=["cat_col", "flag_col"], binary=["flag_col"])
+
+
+_EDGE_ROWS = (
+    "select 'const_col' as \"column\", 'numeric' as kind, 'wasserstein' as test, 0.0 as score, false as drifted "
+    "union all select 'null_col', 'numeric', 'wasserstein', null, false "
+    "union all select 'new_cat', 'categorical', 'jensenshannon', round(js, 9), js >= 0.1 from (select sqrt(greatest(0.0, "
+    "0.5 * sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end) + 0.5 * sum(case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end))) as js from "
+    "(select sum(case when part = 'reference' then 1.0 else 0 end) / (select count(*) from drift_rows where part = 'reference') as p, "
+    "sum(case when part <> 'reference' then 1.0 else 0 end) / (select count(*) from drift_rows where part <> 'reference') as q "
+    "from (select part, case when part <> 'reference' and num_col > 25 then 'new' else cat_col end as v from drift_rows) group by v))"
+)
+
+
+@query("dr6_drift_report_edges", with_views(_with_summary(_EDGE_ROWS, "0.1"), "drift_rows"))
+def dr6_edges(spark, sf):
+    """A constant column, one without values, and a category the reference never had."""
+    d = _drift(spark, sf)
+    new = F.when((F.col("part") != "reference") & (F.col("num_col") > 25), "new").otherwise(F.col("cat_col"))
+    return _report(d.select("part", F.lit(5.0).alias("const_col"), F.lit(None).cast("double").alias("null_col"), new.alias("new_cat")), regime="distances")
 
 
 @query(
     "dq9_drift_alerts",
     with_views(
         "select 'Amber' as level, 'drift' as kind, \"column\" as subject, 'drift check failed for ' || \"column\" as message "
-        f"from ({_REPORT_ROWS}) where score >= 0.1",
+        f"from ({_TEST_ROWS} union all {_EDGE_ROWS}) where drifted",
         "drift_rows",
     ),
 )
 def dq9_drift(spark, sf):
-    rep = D.drift_report(_drift(spark, sf)).filter(F.col("column") != "__dataset__")
+    both = dr6_tests(spark, sf).unionByName(dr6_edges(spark, sf)).filter(F.col("column") != "__dataset__")
     # a drifted column is a failed check
-    return Q.alerts(rep.withColumn("ok", ~F.col("drifted")), kind="drift", ok_col="ok")
+    return Q.alerts(both.withColumn("ok", ~F.col("drifted")), kind="drift", ok_col="ok")

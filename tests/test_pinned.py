@@ -277,13 +277,51 @@ def test_drift_report_small_sample_matches_column_statistics(spark):
             rows.append((part, rnd.gauss(shift, 1.0), rnd.choice("abc" if part == "reference" else "abcc"),
                          int(rnd.random() < (0.3 if part == "reference" else 0.5))))
     df = spark.createDataFrame(rows, "part string, num double, cat string, flag int")
-    rep = {r.column: r for r in D.drift_report(df).collect()}
+    chosen = D.preset(df)
+    assert chosen == {"regime": "tests", "columns": ["num", "cat", "flag"], "categorical": ["cat", "flag"], "binary": ["flag"]}
+    rep = {r.column: r for r in D.drift_report(df, **chosen).collect()}
     assert rep["num"].test == "ks" and rep["cat"].test == "chisquare" and rep["flag"].test == "z"
     assert rep["num"].score == pytest.approx(D.ks_statistic(df, "num").first().ks)
     assert rep["cat"].score == pytest.approx(D.chi_square(df, "cat").first().chi2)
     assert rep["flag"].score == pytest.approx(D.z_proportion(df, "flag").first().z)
     assert rep["num"].drifted and rep["num"].p_value < 0.05
     assert rep["__dataset__"].score == pytest.approx(sum(rep[c].drifted for c in ("num", "cat", "flag")) / 3)
+    assert rep["__dataset__"].n_drifted == sum(rep[c].drifted for c in ("num", "cat", "flag")) and rep["__dataset__"].p_value is None
+
+
+def test_drift_of_constant_empty_and_new_values(spark):
+    from rivalry.operators import drift as D
+
+    rows = [("reference", 5.0, None, "a", None) for _ in range(50)] + [("current", 5.0, None, "a" if i % 2 else "new", 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "part string, const double, none double, cat string, late double")
+    for regime in ("tests", "distances"):
+        rep = {r.column: r for r in D.drift_report(df, regime=regime).collect()}
+        assert set(rep) == {"const", "none", "cat", "late", "__dataset__"}
+        assert rep["const"].score == 0 and not rep["const"].drifted
+        assert rep["none"].score is None and not rep["none"].drifted and rep["late"].score is None
+        assert rep["cat"].drifted and rep["__dataset__"].n_drifted == 1 and rep["__dataset__"].score == 0.25
+    assert D.chi_square(df, "cat").first().chi2 == float("inf")
+    assert D.wasserstein_normed(df, "const").first().wasserstein == 0
+    assert D.ks_statistic(df, "none").first().ks is None
+
+
+def test_p_values_against_known_points(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from rivalry.operators import drift as D
+
+    # chi-square with 2 degrees is exp(-x/2), with 1 erfc(sqrt(x/2)); the Kolmogorov function at 1.3581 is 0.05
+    n = 10_000_000
+    root = math.sqrt(n / 2)
+    rows = [("chisquare", 3.0, n, n, 2, math.exp(-1.5)), ("chisquare", 0.5, n, n, 1, math.erfc(0.5)), ("chisquare", 1200.0, n, n, 1000, None),
+            ("chisquare", float("inf"), n, n, 3, 0.0), ("z", 1.959963984540054, n, n, 0, 0.05),
+            ("ks", 1.3581015157406196 / (root + 0.12 + 0.11 / root), n, n, 0, 0.05), ("ks", 0.5 / root, n, n, 0, 0.9639), ("ks", 0.0, n, n, 0, 1.0)]
+    df = spark.createDataFrame([r[:5] for r in rows], "t string, s double, a long, b long, d long")
+    got = [r[0] for r in df.select(D.p_values(*[F.col(c) for c in "tsabd"])).collect()]
+    for g, r in zip(got, rows):
+        assert g == pytest.approx(r[5], abs=2e-4) if r[5] is not None else 1e-6 < g < 1e-4
 
 
 def test_scan_seasons_quotes_and_layouts(spark, tmp_path):

@@ -37,6 +37,8 @@ def test_drift_report_scans_do_not_grow_with_columns(spark, sf_dir):
     def scans(df):
         return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
 
-    narrow_scans = scans(drift_report(d))
-    assert narrow_scans > 0
-    assert scans(drift_report(wide)) == narrow_scans
+    for regime in ("tests", "distances"):
+        narrow_scans = scans(drift_report(d, regime=regime))
+        assert narrow_scans > 0
+        assert scans(drift_report(wide, regime=regime)) == narrow_scans
+    assert "Expand" not in drift_report(wide, regime="distances")._jdf.queryExecution().toString()
