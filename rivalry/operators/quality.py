@@ -4,14 +4,15 @@ summary (A7) and alerts (DQ9).
 The profile is two passes regardless of column count: one aggregate for
 row/null counts and numeric min/max, and one distinct count over the
 (column, value) pairs. Value sets are collected only for columns whose
-distinct count is already known to be at most the category threshold, so a
-high-cardinality column is never gathered into one group. Validation checks
-all rules in one aggregate pass.
+distinct count is already known to be small, so a high-cardinality column is
+never gathered into one group. A NaN counts as a missing value throughout.
+Value sets are arrays of text; on numeric columns they are compared as numbers.
+Validation checks all rules in one aggregate pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,18 +26,27 @@ def _is_numeric(dt) -> bool:
     return isinstance(dt, _NUMERIC)
 
 
-def profile(df: DataFrame, *, categorical_threshold: int = 10) -> DataFrame:
+def _present(f: T.StructField) -> Column:
+    """The column with NaN as NULL."""
+    c = F.col(f.name)
+    return F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
+
+
+def profile(df: DataFrame, *, set_limit: int = 100) -> DataFrame:
     """One row per column: ``column, position, type_name, is_numeric,
-    n_rows, nulls, null_frac (3 dp), non_null, min_value, max_value
-    (numeric only), distinct_count (non-NULL), value_set`` (sorted distinct
-    values joined by ',' when distinct_count <= threshold, else NULL)."""
+    n_rows, nulls (NaN included), null_frac (3 dp), non_null, min_value,
+    max_value (numeric only), distinct_count (non-missing), value_set``
+    (sorted distinct values as text, an array, when distinct_count <=
+    ``set_limit``, else NULL). ``set_limit`` only bounds what the profile
+    carries; which columns get a value-set rule is for
+    :func:`generate_rules` to say."""
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
-        aggs.append(F.sum(F.col(f.name).isNull().cast("long")).alias(f"nl{i}"))
+        aggs.append(F.sum(_present(f).isNull().cast("long")).alias(f"nl{i}"))
         if _is_numeric(f.dataType):
-            aggs.append(F.min(F.col(f.name)).cast("double").alias(f"mn{i}"))
-            aggs.append(F.max(F.col(f.name)).cast("double").alias(f"mx{i}"))
+            aggs.append(F.min(_present(f)).cast("double").alias(f"mn{i}"))
+            aggs.append(F.max(_present(f)).cast("double").alias(f"mx{i}"))
     one = df.agg(*aggs)
     per_col = F.explode(
         F.array(
@@ -59,14 +69,14 @@ def profile(df: DataFrame, *, categorical_threshold: int = 10) -> DataFrame:
     )
     pairs = df.select(
         F.explode(
-            F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value"))
+            F.array(*[F.struct(F.lit(f.name).alias("column"), _present(f).cast("string").alias("value"))
                       for f in fields])
         ).alias("p")
     ).select("p.*").filter(F.col("value").isNotNull()).distinct()
     counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    small = counts.filter(F.col("distinct_count") <= categorical_threshold).select("column")
+    small = counts.filter(F.col("distinct_count") <= set_limit).select("column")
     sets = pairs.join(small, "column").groupBy("column").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value_set")
+        F.array_sort(F.collect_list("value")).alias("value_set")
     )
     out = base.join(counts, "column", "left").join(sets, "column", "left")
     return out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long"))
@@ -80,6 +90,7 @@ def generate_rules(
     missing: bool = True,
     min_max: bool = True,
     categorical: bool = True,
+    categorical_threshold: int = 10,
     missing_buffer: float = 10,
     min_buffer: float = 10,
     max_buffer: float = 10,
@@ -93,9 +104,9 @@ def generate_rules(
     * null fraction: ``mostly = null_frac - buffer`` when above the buffer,
       else 0; passes when the NULL share is at least ``mostly``.
     * range: numeric columns with a value: [min - b*(max-min), max + b*(max-min)].
-    * value set: text columns with at most threshold distinct values
-      (threshold applied in :func:`profile`), or numeric columns whose
-      values are exactly {0, 1} with no NULL.
+    * value set: text columns with at most ``categorical_threshold`` distinct
+      values (at most the profile's ``set_limit``), or numeric columns whose
+      values are exactly {0, 1} with none missing.
     * ``missing_upper`` adds ``null_fraction_max``: the NULL share must stay
       at most ``null_frac + buffer`` (the original bounds it from below only,
       so extra NULLs pass).
@@ -104,9 +115,10 @@ def generate_rules(
     rid = lambda kind: (F.col("position") + 1) * 10 + RULE_ORDER[kind]
     null_d = F.lit(None).cast("double")
     null_s = F.lit(None).cast("string")
+    null_set = F.lit(None).cast("array<string>")
     parts = []
 
-    def rule(kind, cond, *, type_name=null_s, mostly=null_d, lo=null_d, hi=null_d, vset=null_s):
+    def rule(kind, cond, *, type_name=null_s, mostly=null_d, lo=null_d, hi=null_d, vset=null_set):
         return p.filter(cond).select(
             rid(kind).cast("long").alias("rule_id"), F.lit(kind).alias("rule_type"), "column",
             type_name.alias("type_name"), mostly.alias("mostly"), lo.alias("min_value"), hi.alias("max_value"),
@@ -116,8 +128,7 @@ def generate_rules(
     if match_set:
         parts.append(
             p.agg(
-                F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))),
-                                         lambda s: s["column"]), ",").alias("value_set")
+                F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda s: s["column"]).alias("value_set")
             ).select(
                 F.lit(0).cast("long").alias("rule_id"), F.lit("columns_match_set").alias("rule_type"),
                 F.lit(None).cast("string").alias("column"), null_s.alias("type_name"), null_d.alias("mostly"),
@@ -141,14 +152,14 @@ def generate_rules(
                  hi=F.col("max_value") + span * (max_buffer / 100.0))
         )
     if categorical:
-        text_set = ~F.col("is_numeric") & F.col("value_set").isNotNull()
+        text_set = ~F.col("is_numeric") & F.col("value_set").isNotNull() & (F.col("distinct_count") <= categorical_threshold)
         flag_set = (
             F.col("is_numeric") & (F.col("distinct_count") == 2) & (F.col("nulls") == 0)
             & (F.col("min_value") == 0) & (F.col("max_value") == 1)
         )
         parts.append(
             rule("in_set", text_set | flag_set,
-                 vset=F.when(text_set, F.col("value_set")).otherwise(F.lit("0,1")))
+                 vset=F.when(text_set, F.col("value_set")).otherwise(F.array(F.lit("0"), F.lit("1"))))
         )
     out = parts[0]
     for q in parts[1:]:
@@ -166,57 +177,43 @@ def validate(df: DataFrame, rules: DataFrame, *, raise_on_failure: bool = False)
     """
     spark = df.sparkSession
     rule_rows = rules.orderBy("rule_id").collect()
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("n")]
-    static = {}
-    for r in rule_rows:
-        k = f"r{r.rule_id}"
-        c = r.column
+    fields = {f.name: f for f in df.schema.fields}
+    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    for k, r in enumerate(rule_rows):
+        c, found = r.column, F.col(f"r{k}")
         if r.rule_type == "columns_match_set":
-            static[r.rule_id] = (set(r.value_set.split(",")) == set(df.columns), 0)
-        elif c not in types:
-            static[r.rule_id] = (False, None)
+            ok, unexpected = F.lit(set(r.value_set) == set(df.columns)), F.lit(0)
+        elif c not in fields:
+            ok, unexpected = F.lit(False), F.lit(None)
         elif r.rule_type == "column_type":
-            static[r.rule_id] = (types[c] == r.type_name, 0)
-        elif r.rule_type in ("null_fraction", "null_fraction_max"):
-            aggs.append(F.sum(F.col(c).isNull().cast("long")).alias(k))
-        elif r.rule_type == "between":
-            bad = F.col(c).isNotNull() & ((F.col(c) < r.min_value) | (F.col(c) > r.max_value))
-            aggs.append(F.sum(bad.cast("long")).alias(k))
-        elif r.rule_type == "in_set":
-            allowed = r.value_set.split(",") if r.value_set else []
-            bad = F.col(c).isNotNull() & ~F.col(c).cast("string").isin(allowed)
-            aggs.append(F.sum(bad.cast("long")).alias(k))
-    one = df.agg(*aggs)
-    rows = []
-    for r in rule_rows:
-        k = f"r{r.rule_id}"
-        if r.rule_id in static:
-            ok, unexpected = static[r.rule_id]
-            rows.append(F.struct(F.lit(r.rule_id).cast("long").alias("rule_id"), F.lit(ok).alias("success"),
-                                 F.lit(unexpected).cast("long").alias("unexpected_count")))
-        elif r.rule_type == "null_fraction":
-            share = F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(1.0)
-            rows.append(F.struct(F.lit(r.rule_id).cast("long").alias("rule_id"),
-                                 (share >= F.lit(r.mostly) - F.lit(1e-12)).alias("success"),
-                                 (F.col("n") - F.col(k)).cast("long").alias("unexpected_count")))
-        elif r.rule_type == "null_fraction_max":
-            share = F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0)
-            rows.append(F.struct(F.lit(r.rule_id).cast("long").alias("rule_id"),
-                                 (share <= F.lit(r.mostly) + F.lit(1e-12)).alias("success"),
-                                 F.col(k).cast("long").alias("unexpected_count")))
+            ok, unexpected = F.lit(fields[c].dataType.simpleString() == r.type_name), F.lit(0)
         else:
-            rows.append(F.struct(F.lit(r.rule_id).cast("long").alias("rule_id"), (F.col(k) == 0).alias("success"),
-                                 F.col(k).cast("long").alias("unexpected_count")))
+            value = _present(fields[c])
+            if r.rule_type in ("null_fraction", "null_fraction_max"):
+                bad = value.isNull()
+            elif r.rule_type == "between":
+                bad = value.isNotNull() & ((value < r.min_value) | (value > r.max_value))
+            elif r.rule_type == "in_set" and _is_numeric(fields[c].dataType):
+                bad = value.isNotNull() & ~value.cast("double").isin([float(v) for v in r.value_set])
+            elif r.rule_type == "in_set":
+                bad = value.isNotNull() & ~value.cast("string").isin(list(r.value_set))
+            else:
+                raise ValueError(f"unknown rule type {r.rule_type!r}")
+            aggs.append(F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias(f"r{k}"))
+            if r.rule_type == "null_fraction":
+                ok = F.coalesce(F.try_divide(found, "n"), F.lit(1.0)) >= F.lit(r.mostly - 1e-12)
+                unexpected = F.col("n") - found
+            elif r.rule_type == "null_fraction_max":
+                ok, unexpected = F.coalesce(F.try_divide(found, "n"), F.lit(0.0)) <= F.lit(r.mostly + 1e-12), found
+            else:
+                ok, unexpected = found == 0, found
+        rows.append(F.struct(
+            F.lit(r.rule_id).cast("long").alias("rule_id"), F.lit(r.rule_type).alias("rule_type"), F.lit(c).cast("string").alias("column"),
+            ok.alias("success"), F.col("n").alias("element_count"), unexpected.cast("long").alias("unexpected_count")))
     if not rows:
         return spark.createDataFrame([], "rule_id long, rule_type string, column string, success boolean, "
                                          "element_count long, unexpected_count long")
-    res = one.select(F.col("n").alias("element_count"), F.explode(F.array(*rows)).alias("x")).select(
-        "x.rule_id", "x.success", "element_count", "x.unexpected_count"
-    )
-    out = res.join(rules.select("rule_id", "rule_type", "column"), "rule_id").select(
-        "rule_id", "rule_type", "column", "success", "element_count", "unexpected_count"
-    )
+    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     if raise_on_failure and not out.filter(~F.col("success")).isEmpty():
         raise ValueError("data validation failed")
     return out

@@ -152,8 +152,7 @@ def src7(spark, sf):
     path = SRC.scratch_dir(spark, "runs")
     runs.write.partitionBy("run_date").parquet(path)
     return spark.read.parquet(path).withColumn(
-        "artifact", F.concat(F.lit("models/"), F.col("model_type"), F.lit("_"),
-                             F.date_format("run_date", "yyyyMMdd"), F.lit(".bin"))
+        "artifact", SRC.dated_path(F.concat(F.lit("models/"), F.col("model_type")), F.col("run_date"), "bin")
     )
 
 
@@ -173,13 +172,13 @@ def _drift_rules_sql() -> str:
 @query("src8_write_json", _drift_rules_sql())
 def src8(spark, sf):
     path = SRC.write_json(_drift_rules(spark, sf), SRC.scratch_dir(spark, "rules"))
-    return spark.read.schema(SRC.RULE_SCHEMA).json(path)
+    return SRC.read_rules(spark, path).withColumn("value_set", F.array_join("value_set", ","))
 
 
 @query("src9_read_rules", _drift_rules_sql())
 def src9(spark, sf):
     path = SRC.write_json(SRC.rules_document(_drift_rules(spark, sf), "drift_rows"), SRC.scratch_dir(spark, "suite"))
-    return SRC.explode_rules_document(spark.read.json(path))
+    return SRC.explode_rules_document(spark.read.json(path)).withColumn("value_set", F.array_join("value_set", ","))
 
 
 # ------------------------------------------------------------ projections

@@ -29,7 +29,7 @@ def _profile_sql(view: str, where: str = "") -> str:
             f"select '{c}' as \"column\", cast({pos} as bigint) as position, '{t}' as type_name, {str(num).lower()} as is_numeric, "
             f"count(*) as n_rows, count(*) - count({c}) as nulls, {mn} as min_value, {mx} as max_value, "
             f"count({c}) as non_null, case when count(*) > 0 then round((count(*) - count({c})) / count(*), 3) else 0.0 end as null_frac, "
-            f"count(distinct {c}) as distinct_count, case when count(distinct {c}) <= 10 then "
+            f"count(distinct {c}) as distinct_count, case when count(distinct {c}) <= 100 then "
             f"array_to_string(list_sort(list(distinct cast({c} as varchar))), ',') end as value_set "
             f"from {view}{w}"
         )
@@ -51,7 +51,7 @@ union all select (position + 1) * 10 + 3, 'between', "column", {ns}, {nd},
   from {prof} where is_numeric and non_null > 0
 union all select (position + 1) * 10 + 4, 'in_set', "column", {ns}, {nd}, {nd}, {nd},
   case when not is_numeric then value_set else '0,1' end from {prof}
-  where (not is_numeric and value_set is not null)
+  where (not is_numeric and value_set is not null and distinct_count <= 10)
      or (is_numeric and distinct_count = 2 and nulls = 0 and min_value = 0 and max_value = 1)"""
 
 
@@ -102,6 +102,11 @@ def _ref_rules(spark, sf):
     return Q.generate_rules(Q.profile(d.filter(F.col("part") == "reference")))
 
 
+def _joined(rules):
+    """Rules or a profile with the value set as text, for the value check."""
+    return rules.withColumn("value_set", F.array_join("value_set", ","))
+
+
 def _validated(spark, sf):
     d = _drift(spark, sf)
     return Q.validate(d.filter(F.col("part") != "reference"), _ref_rules(spark, sf))
@@ -110,54 +115,102 @@ def _validated(spark, sf):
 # ------------------------------------------------------------- profiles
 @query("a6_column_profile", with_views(_profile_sql("drift_rows"), "drift_rows"))
 def a6(spark, sf):
-    return Q.profile(_drift(spark, sf))
+    return _joined(Q.profile(_drift(spark, sf)))
 
 
 @query("dq1_generate_rules", with_views(_rules_sql("drift_rows", REF), "drift_rows"))
 def dq1(spark, sf):
-    return _ref_rules(spark, sf)
+    return _joined(_ref_rules(spark, sf))
 
 
-def _rules_of(kind: str) -> str:
-    return with_views(f"select * from ({_rules_sql('drift_rows', REF)}) where rule_type = '{kind}'", "drift_rows")
+# rows that rules are made from, and rows that keep some and break others: a
+# comma inside a value, a flag stored as a double, NaNs as missing values
+_KEPT = """(select part, num_col, case when cat_col = 'A' then 'a,b' else lower(cat_col) end as txt, cast(flag_col as double) as flag,
+  case when num_col > 25 then null else num_col end as gap from drift_rows where part = 'reference')"""
+_CHANGED = """(select part, num_col * 2 as num_col, case when num_col > 40 then 'x,y' when cat_col = 'A' then 'a,b' else lower(cat_col) end as txt,
+  case when num_col > 48 then 0.5 else cast(flag_col as double) end as flag, case when num_col > 45 then null else num_col end as gap
+  from drift_rows where part <> 'reference')"""
+_POSITION = {"part": 0, "num_col": 1, "txt": 2, "flag": 3, "gap": 4}
 
 
-@query("dq2_columns_match_set", _rules_of("columns_match_set"))
+def _kept_and_changed(spark, sf):
+    d = _drift(spark, sf)
+    txt = F.when(F.col("cat_col") == "A", "a,b").otherwise(F.lower("cat_col"))
+    flag, n, nan = F.col("flag_col").cast("double"), F.col("num_col"), F.lit(float("nan"))
+    kept = d.filter("part = 'reference'").select("part", "num_col", txt.alias("txt"), flag.alias("flag"), F.when(n > 25, nan).otherwise(n).alias("gap"))
+    changed = d.filter("part <> 'reference'").select(
+        "part", (n * 2).alias("num_col"), F.when(n > 40, "x,y").otherwise(txt).alias("txt"), F.when(n > 48, 0.5).otherwise(flag).alias("flag"),
+        F.when(n > 45, nan).otherwise(n).alias("gap"))
+    return kept, changed
+
+
+def _evaluate(spark, sf, kind: str, change=lambda df: df, only=None):
+    """The rules of one kind, made from the kept rows, on both."""
+    kept, changed = _kept_and_changed(spark, sf)
+    rules = Q.generate_rules(Q.profile(kept)).filter(F.col("rule_type") == kind)
+    if only:
+        rules = rules.filter(F.col("column").isin(only))
+    return Q.validate(kept, rules).withColumn("data", F.lit("kept")).unionByName(
+        Q.validate(change(changed), rules).withColumn("data", F.lit("changed")))
+
+
+def _results_sql(kind: str, order: int, columns, unexpected: str, ok: str) -> str:
+    """One row per column and data set; ``{c}`` is the column, ``{x}`` its rule's facts."""
+    rows = []
+    for name, frame in (("kept", _KEPT), ("changed", _CHANGED)):
+        for c in columns:
+            facts = f"(select min({c}) as lo, max({c}) as hi, round((count(*) - count({c})) / count(*), 3) as nf from {_KEPT})"
+            cells = {"c": c, "data": name}
+            rows.append(
+                f"select cast({(_POSITION[c] + 1) * 10 + order} as bigint) as rule_id, '{kind}' as rule_type, '{c}' as \"column\", "
+                f"{ok.format(**cells)} as success, count(*) as element_count, cast({unexpected.format(**cells)} as bigint) as unexpected_count, '{name}' as data "
+                f"from {frame} d, {facts} f group by f.lo, f.hi, f.nf")
+    return with_views(" union all ".join(rows), "drift_rows")
+
+
+@query("dq2_columns_match_set", with_views(
+    f"select cast(0 as bigint) as rule_id, 'columns_match_set' as rule_type, cast(null as varchar) as \"column\", true as success, count(*) as element_count, "
+    f"cast(0 as bigint) as unexpected_count, 'kept' as data from {_KEPT} union all "
+    f"select 0, 'columns_match_set', null, false, count(*), 0, 'changed' from {_CHANGED}", "drift_rows"))
 def dq2(spark, sf):
-    return _ref_rules(spark, sf).filter(F.col("rule_type") == "columns_match_set")
+    """The changed rows lack a column."""
+    return _evaluate(spark, sf, "columns_match_set", lambda df: df.drop("gap"))
 
 
-@query("dq3_column_type", _rules_of("column_type"))
+@query("dq3_column_type", _results_sql("column_type", 1, _POSITION, "0", "'{data}' = 'kept' or '{c}' <> 'flag'"))
 def dq3(spark, sf):
-    return _ref_rules(spark, sf).filter(F.col("rule_type") == "column_type")
+    """The changed rows have another type in one column."""
+    return _evaluate(spark, sf, "column_type", lambda df: df.withColumn("flag", F.col("flag").cast("int")))
 
 
-@query("dq4_null_fraction", _rules_of("null_fraction"))
+@query("dq4_null_fraction", _results_sql(
+    "null_fraction", 2, _POSITION, "count(d.{c})",
+    "(count(*) - count(d.{c})) / count(*) >= case when f.nf > 0.1 then f.nf - 0.1 else 0 end - 1e-12"))
 def dq4(spark, sf):
-    return _ref_rules(spark, sf).filter(F.col("rule_type") == "null_fraction")
+    return _evaluate(spark, sf, "null_fraction")
 
 
-@query("dq5_numeric_range", _rules_of("between"))
+_OUTSIDE = "sum(case when d.{c} < f.lo - (f.hi - f.lo) * 0.1 or d.{c} > f.hi + (f.hi - f.lo) * 0.1 then 1 else 0 end)"
+
+
+@query("dq5_numeric_range", _results_sql("between", 3, ["num_col", "flag", "gap"], _OUTSIDE, _OUTSIDE + " = 0"))
 def dq5(spark, sf):
-    return _ref_rules(spark, sf).filter(F.col("rule_type") == "between")
+    return _evaluate(spark, sf, "between")
 
 
-@query(
-    "dq6_value_set_text",
-    with_views(f"select * from ({_rules_sql('drift_rows', REF)}) where rule_type = 'in_set' and \"column\" in ('part', 'cat_col')",
-               "drift_rows"),
-)
+def _outside_set(frame: str) -> str:
+    return f"sum(case when d.{{c}} not in (select {{c}} from {frame} where {{c}} is not null) then 1 else 0 end)"
+
+
+@query("dq6_value_set_text", _results_sql("in_set", 4, ["part", "txt"], _outside_set(_KEPT), _outside_set(_KEPT) + " = 0"))
 def dq6(spark, sf):
-    return _ref_rules(spark, sf).filter((F.col("rule_type") == "in_set") & F.col("column").isin("part", "cat_col"))
+    return _evaluate(spark, sf, "in_set", only=["part", "txt"])
 
 
-@query(
-    "dq7_value_set_flag",
-    with_views(f"select * from ({_rules_sql('drift_rows', REF)}) where rule_type = 'in_set' and \"column\" = 'flag_col'",
-               "drift_rows"),
-)
+@query("dq7_value_set_flag", _results_sql("in_set", 4, ["flag"], "sum(case when d.flag not in (0, 1) then 1 else 0 end)",
+                                          "sum(case when d.flag not in (0, 1) then 1 else 0 end) = 0"))
 def dq7(spark, sf):
-    return _ref_rules(spark, sf).filter((F.col("rule_type") == "in_set") & (F.col("column") == "flag_col"))
+    return _evaluate(spark, sf, "in_set", only=["flag"])
 
 
 @query("dq8_validate", with_views(_validate_sql(), "drift_rows"))

@@ -205,9 +205,9 @@ def latest_versioned(paths: DataFrame, *, path_col: str = "path") -> DataFrame:
     )
 
 
-def dated_path(prefix: str, run_date: str, ext: str) -> str:
-    """SRC7: '<prefix>_<YYYYMMDD>.<ext>' for one run date 'YYYY-MM-DD'."""
-    return f"{prefix}_{run_date.replace('-', '')}.{ext}"
+def dated_path(prefix: Column, run_date: Column, ext: str) -> Column:
+    """SRC7: '<prefix>_<YYYYMMDD>.<ext>' of a run date."""
+    return F.concat(prefix, F.lit("_"), F.date_format(run_date, "yyyyMMdd"), F.lit(f".{ext}"))
 
 
 def write_json(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
@@ -225,7 +225,7 @@ RULE_SCHEMA = T.StructType(
         T.StructField("mostly", T.DoubleType()),
         T.StructField("min_value", T.DoubleType()),
         T.StructField("max_value", T.DoubleType()),
-        T.StructField("value_set", T.StringType()),
+        T.StructField("value_set", T.ArrayType(T.StringType())),
     ]
 )
 RULE_FIELDS = [f.name for f in RULE_SCHEMA.fields]
@@ -233,7 +233,7 @@ RULE_FIELDS = [f.name for f in RULE_SCHEMA.fields]
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """SRC9: a stored rule suite (JSON lines of rule rows) back to a rules
-    table, ordered by rule id."""
+    table."""
     return spark.read.schema(RULE_SCHEMA).json(path)
 
 

@@ -77,7 +77,7 @@ def test_a5_rule_generation(spark):
     assert by[("between", "int_col")].max_value == pytest.approx(8.8)
     assert by[("between", "miss_col")].min_value == pytest.approx(-0.501)
     assert by[("between", "miss_col")].max_value == pytest.approx(8.991)
-    assert by[("in_set", "str_col")].value_set == "A,B"
+    assert by[("in_set", "str_col")].value_set == ["A", "B"]
     wide = Q.generate_rules(Q.profile(df), max_buffer=20).filter("rule_type = 'between' and column = 'int_col'")
     assert wide.first().max_value == pytest.approx(9.6)
     # validation on the same frame passes every rule
