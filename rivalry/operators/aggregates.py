@@ -1,6 +1,6 @@
-"""Aggregations (A1-A5, A8, A9). All are hash aggregates with map-side
-partial aggregation: a hot key is pre-combined in every task before the
-shuffle."""
+"""Aggregations (A1-A5, A8, A9), all with map-side partial aggregation: a hot
+key is pre-combined in every task before the shuffle. Those that keep a whole
+row per key (``min_by`` of a struct) are planned as sort aggregates."""
 
 from __future__ import annotations
 
@@ -17,15 +17,14 @@ def count_by_value(df: DataFrame, value: str, *, counted: str) -> DataFrame:
 
 
 def best_per_group(df: DataFrame, keys: Sequence[str], metric: str, tie: str, *, largest: bool = False) -> DataFrame:
-    """A2: per group the row with the smallest (or largest) ``metric``, ties
-    to the smallest ``tie``. ``min_by`` over a struct: partial aggregation,
-    so a huge group never sits whole in one task."""
+    """A2: per group the row with the smallest (or largest) numeric
+    ``metric``, ties to the smallest ``tie`` (of any ordered type); rows
+    without a metric come last. ``min_by`` over a struct: partial
+    aggregation, so a huge group never sits whole in one task."""
     others = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in others])
-    if largest:
-        pick = F.max_by(row, F.struct(F.col(metric), -F.col(tie)))
-    else:
-        pick = F.min_by(row, F.struct(F.col(metric), F.col(tie)))
+    key = -F.col(metric) if largest else F.col(metric)
+    pick = F.min_by(row, F.struct(key.isNull(), key, F.col(tie)))
     return df.groupBy(*keys).agg(pick.alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in others])
 
 

@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.operators.ordering import top3_per_row
+from rivalry.operators.ordering import rank_average, top3_per_row
 
 
 def linear_attribution(df: DataFrame, model: LinearRegressionModel, features: Sequence[str], *,
@@ -46,21 +46,22 @@ def attribution_top3(long: DataFrame) -> DataFrame:
 
 
 def attribution_summary(long: DataFrame) -> DataFrame:
-    """XP4: mean absolute contribution per feature (rank it with
-    :func:`rivalry.operators.ordering.rank_average` when needed)."""
-    s = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
-    return s
+    """XP4: mean absolute contribution per feature with its rank (1 = the
+    largest; ties share the mean of their ranks)."""
+    return rank_average(long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs")), "mean_abs")
 
 
 def one_row_waterfall(long: DataFrame, row_id, *, base_value) -> DataFrame:
-    """XP5: contributions of one row ordered by absolute size, plus a base
-    row (``feature`` = '__base__'). ``base_value`` may be a scalar column."""
+    """XP5: contributions of one row ordered by absolute size, largest first,
+    plus a base row (``feature`` = '__base__'). ``row_id`` and ``base_value``
+    may be scalar columns; :func:`rivalry.operators.report.choose_fixture`
+    finds a fixture by its label."""
     one = long.filter(F.col("row_id") == F.lit(row_id)).select("feature", "contribution")
     base = long.sparkSession.range(1).select(
         F.lit("__base__").alias("feature"), F.lit(base_value).cast("double").alias("contribution")
     )
     out = one.unionByName(base)
-    return out.withColumn("abs_contribution", F.abs("contribution"))
+    return out.withColumn("abs_contribution", F.abs("contribution")).orderBy(F.desc("abs_contribution"), "feature")
 
 
 def residual_pairs(df: DataFrame, *, actual: str, predicted: str, jitter: float = 0.0, seed: int = 42) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.operators.scan import ordered_scan
-from rivalry.operators.teamgames import DEFAULT, MatchCols, team_games
+from rivalry.operators.teamgames import MatchCols, team_games
 
 
 def next_fixtures(df: DataFrame, *, as_of: str, date_col: str, time_text_col: str, tie: str, n: int = 12,
@@ -95,16 +95,19 @@ def sort_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def last_n_per_team(matches: DataFrame, *, n: int = 5, cols: MatchCols = DEFAULT,
+ALL_SEASONS = MatchCols(keys=(), extra=("season",))
+
+
+def last_n_per_team(matches: DataFrame, *, n: int = 5, cols: MatchCols = ALL_SEASONS,
                     before: str | None = None, date_col: str = "match_date") -> DataFrame:
-    """Each team's last ``n`` matches of its group by match order, with
-    the result from the team's side. ``before`` (a date) keeps only matches
+    """Each team's last ``n`` matches by match order, over all seasons
+    (``cols=DEFAULT``: of each season), with the result from the team's side. ``before`` (a date) keeps only matches
     before that date (the as-of variant). Uses the game number and count of
     W2 (no descending window over a whole team)."""
     src = matches if before is None else matches.filter(F.col(date_col) < F.to_date(F.lit(before)))
     tg = team_games(src, cols=cols)
     back = F.col("n") - F.col("g") + 1
     return tg.filter(back <= n).select(
-        *cols.keys, "team", cols.match_id, *[c for c in cols.order if c != cols.match_id], "opponent", "venue",
+        *cols.keys, *cols.extra, "team", cols.match_id, *[c for c in cols.order if c != cols.match_id], "opponent", "venue",
         "gf", "ga", "res", back.cast("long").alias("games_back"),
     )

@@ -21,9 +21,17 @@ def upcoming_table(upcoming: DataFrame) -> DataFrame:
     )
 
 
-def fixture_detail(upcoming: DataFrame) -> DataFrame:
-    """RP2: per fixture: Home, Prediction ('2-1'), Away, Date, Time, Stadium."""
-    t = upcoming_table(upcoming)
+def choose_fixture(fixtures: DataFrame, label: str, *, home: str = "home_team", away: str = "away_team", season: str | None = None) -> DataFrame:
+    """The fixture with the label 'Home v Away'; with ``season``, that of the
+    latest season that has it."""
+    one = fixtures.filter(F.concat(F.col(home), F.lit(" v "), F.col(away)) == label)
+    return one if season is None else one.filter(F.col(season) == one.agg(F.max(season)).scalar())
+
+
+def fixture_detail(upcoming: DataFrame, label: str | None = None) -> DataFrame:
+    """RP2: per fixture: Home, Prediction ('2-1'), Away, Date, Time, Stadium;
+    with ``label`` ('Home v Away') only that fixture."""
+    t = upcoming_table(upcoming if label is None else choose_fixture(upcoming, label))
     return t.select("match_id", "home", F.concat(F.col("h").cast("string"), F.lit("-"), F.col("a").cast("string"))
                     .alias("prediction"), "away", "date", "time", "stadium")
 
@@ -90,9 +98,8 @@ def goals_error_over_time(runs: DataFrame) -> DataFrame:
 
 
 def result_metrics_over_time(runs: DataFrame) -> DataFrame:
-    """RP5: per run date the result model run with the highest MCC (ties to
-    the smallest run id): its mcc, accuracy and f1."""
+    """RP5: per run date the result model run with the smallest ``mean_ae``
+    (ties to the smallest run id): its mcc, accuracy and f1."""
     res = runs.filter(F.col("model_type") == "result")
-    best = best_per_group(res.select("run_date", "run_id", "mcc", "accuracy", "f1"), ["run_date"], "mcc", "run_id",
-                          largest=True)
+    best = best_per_group(res.select("run_date", "run_id", "mean_ae", "mcc", "accuracy", "f1"), ["run_date"], "mean_ae", "run_id")
     return best.select("run_date", "run_id", "mcc", "accuracy", "f1")

@@ -40,15 +40,16 @@ def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str])
 def refresh_partition(
     full: DataFrame, new: DataFrame | None, *, season: str, season_col: str = "season"
 ) -> DataFrame:
-    """Replace one season: drop its rows from ``full``, add ``new``,
-    full-row dedupe, drop rows with NULLs. ``new`` None (source missing)
-    returns ``full`` unchanged. On storage, write the result with
-    ``partitionOverwriteMode=dynamic`` partitioned by season so only the
-    refreshed season's files are replaced."""
+    """Replace one season: drop its rows from ``full``, add ``new``
+    without its repeated rows, drop rows with NULLs. Only ``new`` is shuffled:
+    the untouched seasons of ``full`` were deduplicated when they came in.
+    ``new`` None (source missing) returns ``full`` unchanged. On storage, write
+    the result with ``partitionOverwriteMode=dynamic`` partitioned by season so
+    only the refreshed season's files are replaced."""
     if new is None:
         return full
     kept = full.filter(F.col(season_col) != F.lit(season))
-    return drop_nulls(distinct_rows(union_by_name(kept, new.select(*full.columns))))
+    return drop_nulls(union_by_name(kept, distinct_rows(new.select(*full.columns))))
 
 
 def append_fixtures(

@@ -31,6 +31,7 @@ class MatchCols:
     hg: str = "fthg"
     ag: str = "ftag"
     result: str = "ftr"
+    # more match columns to carry along
     extra: tuple[str, ...] = field(default_factory=tuple)
 
 
@@ -74,7 +75,7 @@ def team_rows(matches: DataFrame, *, cols: MatchCols = DEFAULT) -> DataFrame:
         F.col(cols.ag).cast("long").alias("gf"), F.col(cols.hg).cast("long").alias("ga"),
     )
     order_extra = [c for c in cols.order if c not in cols.keys and c != cols.match_id]
-    base = [*cols.keys, cols.match_id, *order_extra, cols.result]
+    base = [*cols.keys, cols.match_id, *order_extra, *cols.extra, cols.result]
     rows = matches.select(*base, F.explode(F.array(home, away)).alias("s")).select(*base, "s.*")
     res = side_result(F.col("venue"), F.col(cols.result))
     return rows.withColumn("res", res).withColumn("pts", points_of(res).cast("long")).drop(cols.result)

@@ -565,18 +565,24 @@ def t5(spark, sf):
     return O.sort_keys(td.matches(spark, sf), ["season", "home_team", "match_date", "match_id"])
 
 
-@query(
-    "w15_last_n_per_team",
-    with_views(
-        "select season, team, match_id, match_date, opponent, venue, gf, ga, res, cast(n - g + 1 as bigint) as games_back "
-        "from tg where n - g + 1 <= 5",
-        "tg",
-    ),
-)
+def _w15_sql(where: str = "true") -> str:
+    return with_views(
+        "select season, team, match_id, match_date, opponent, venue, gf, ga, res, games_back from (select *, "
+        f"row_number() over (partition by team order by match_date desc, match_id desc) as games_back from tr where {where}) where games_back <= 5",
+        "tr",
+    )
+
+
+@query("w15_last_n_per_team", _w15_sql())
 def w15(spark, sf):
     return O.last_n_per_team(td.matches(spark, sf))
 
 
+@query("w15_last_n_before", _w15_sql("match_date < date '1996-06-01'"))
+def w15_before(spark, sf):
+    return O.last_n_per_team(td.matches(spark, sf), before="1996-06-01")
+
+
 # ---------------------------------------------------------------- scalars
 @query(
     "f1_parse_match_date",

@@ -146,7 +146,7 @@ def rp4(spark, sf):
     "rp5_result_metrics_over_time",
     with_views(
         "select run_date, run_id, mcc, accuracy, f1 from (select *, row_number() over (partition by run_date "
-        "order by mcc desc, run_id) as rn from model_runs where model_type = 'result') where rn = 1",
+        "order by mean_ae, run_id) as rn from model_runs where model_type = 'result') where rn = 1",
         "model_runs",
     ),
 )
@@ -185,12 +185,14 @@ def xp3(spark, sf):
 
 @query(
     "xp4_attribution_summary",
-    with_views("select feature, round(avg(abs(contribution)), 9) as mean_abs from attributions group by feature",
-               "attributions"),
+    with_views("select feature, mean_abs, (select count(*) from m b where b.mean_abs > m.mean_abs) + "
+               "((select count(*) from m b where b.mean_abs = m.mean_abs) + 1) / 2.0 as rank from m",
+               "attributions",
+               extra=[("m", "select feature, round(avg(abs(contribution)), 9) as mean_abs from attributions group by feature")]),
 )
 def xp4(spark, sf):
     s = X.attribution_summary(td.attributions(spark, sf))
-    return s.select("feature", F.round("mean_abs", 9).alias("mean_abs"))
+    return s.select("feature", F.round("mean_abs", 9).alias("mean_abs"), "rank")
 
 
 @query(

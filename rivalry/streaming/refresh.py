@@ -1,29 +1,56 @@
 """ST1: streaming refresh of a season-partitioned results table.
 
-New result files land in a folder; a file-source stream picks them up and
-each micro-batch replaces the seasons it carries (U3 semantics: the batch's
-rows of a season become that season's whole content, deduplicated, rows with
-NULLs dropped). The sink writes with dynamic partition overwrite, so only the
-touched season folders are rewritten and replaying a batch produces the same
-table (idempotent). The stream's checkpoint lives under the shared
-checkpoint folder.
+New result files land in a folder; a file-source stream picks them up. Each
+file is the whole content of the seasons it holds, and of several files for a
+season the newest wins (by modification time, then by name), in whichever
+batches they arrive: a small table beside the results keeps, per season, the
+stamp of the file it came from. The sink writes with dynamic partition
+overwrite, so only touched seasons are rewritten, and replaying a batch gives
+the same table. The stream's checkpoint lives under the shared checkpoint
+folder.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivalry.operators.sets import distinct_rows
+from rivalry.session import cut_lineage
 
-def refresh_batch(batch: DataFrame, table_path: str, *, season_col: str = "season") -> None:
-    """Replace the seasons present in ``batch`` in the parquet table."""
-    rows = batch.na.drop("any").distinct()
+
+def _applied(spark: SparkSession, stamps: str) -> DataFrame | None:
+    """Newest stamp per season so far; None before the first batch."""
+    try:
+        return spark.read.parquet(stamps).groupBy("season_key").agg(F.max("stamp").alias("applied"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def refresh_batch(batch: DataFrame, table_path: str, *, season_col: str = "season", stamp_col: str = "_stamp") -> None:
+    """Replace the seasons whose newest file in ``batch`` is not older than
+    the one they came from. ``stamp_col`` is a struct (modification time,
+    path). Rows with NULLs and repeated rows are dropped."""
+    spark = batch.sparkSession
+    stamps = f"{table_path.rstrip('/')}.stamps"
+    rows = cut_lineage(batch)
+    # one row per season in the batch
+    newest = rows.groupBy(F.col(season_col).alias("season_key")).agg(F.max(stamp_col).alias("stamp")).filter("season_key is not null")
+    applied = _applied(spark, stamps)
+    if applied is not None:
+        newest = newest.join(applied, "season_key", "left").filter(F.col("applied").isNull() | (F.col("stamp") >= F.col("applied"))).drop("applied")
+    newest = cut_lineage(newest)
+    taken = rows.join(newest, (F.col(season_col) == F.col("season_key")) & (F.col(stamp_col) == F.col("stamp"))).drop("season_key", "stamp", stamp_col)
     (
-        rows.write.mode("overwrite")
+        distinct_rows(taken.na.drop("any")).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(season_col)
         .parquet(table_path)
     )
+    newest.write.mode("append").parquet(stamps)
 
 
 def stream_refresh(
@@ -35,14 +62,20 @@ def stream_refresh(
     checkpoint: str,
     season_col: str = "season",
     fmt: str = "csv",
+    max_files: int | None = None,
 ) -> None:
     """Run the refresh stream over every file currently in ``source_dir``
-    (``availableNow`` trigger) and wait for it to finish."""
+    (``availableNow`` trigger, at most ``max_files`` a batch) and wait for it
+    to finish."""
     reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         stream = reader.option("header", True).csv(source_dir)
     else:
         stream = reader.format(fmt).load(source_dir)
+    meta = F.col("_metadata")
+    stream = stream.select("*", F.struct(meta["file_modification_time"].alias("time"), meta["file_path"].alias("path")).alias("_stamp"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
