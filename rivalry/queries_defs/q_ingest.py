@@ -41,13 +41,13 @@ def src1(spark, sf):
         F.col("fthg").alias("FTHG"), F.col("ftag").alias("FTAG"), F.col("ftr").alias("FTR"), code.alias("code"),
     )
     b = raw.filter(odd).select(
-        F.col("match_id").alias("Id"), F.col("ftr").alias("FTR"), F.col("home_team").alias("Referee"),
+        F.col("match_id").alias("Id"), F.col("ftr").alias("FTR"), F.lit("René").alias("Referee"),
         F.col("ftag").alias("FTAG"), F.col("fthg").alias("FTHG"), F.col("away_team").alias("AwayTeam"),
         F.col("home_team").alias("HomeTeam"), F.col("date_text").alias("Date"), code.alias("code"),
     )
     # one landed file per season, as the source publishes them
     a.repartition("code").write.partitionBy("code").option("header", True).csv(f"{base}/layout_a")
-    b.repartition("code").write.partitionBy("code").option("header", True).csv(f"{base}/layout_b")
+    b.repartition("code").write.partitionBy("code").option("header", True).option("encoding", "ISO-8859-1").csv(f"{base}/layout_b")
     scanned = SRC.scan_seasons(
         spark, [f"{base}/layout_a/*/*.csv", f"{base}/layout_b/*/*.csv"],
         required=["season", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR"],
@@ -85,12 +85,11 @@ def src2(spark, sf):
 def src3(spark, sf):
     loc = td.locations(spark, sf).select(F.concat("location", F.lit(" é")).alias("location"), "capacity")
     path = SRC.scratch_dir(spark, "encodings")
-    # half the files were saved in Latin-1, half in UTF-8
+    # half the files were saved in Latin-1, half in UTF-8 with their columns the other way round
     latin = F.col("capacity") % 2 == 0
     loc.filter(latin).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/latin1")
-    loc.filter(~latin).write.option("header", True).csv(f"{path}/utf8")
-    out = SRC.scan_encoded(spark, [f"{path}/latin1", f"{path}/utf8"], columns=["location", "capacity"])
-    return out.select("location", F.col("capacity").cast("long").alias("capacity"))
+    loc.filter(~latin).select("capacity", F.lit("-").alias("city"), "location").write.option("header", True).csv(f"{path}/utf8")
+    return SRC.scan_encoded(spark, [f"{path}/latin1", f"{path}/utf8"], columns=["location", "capacity"], schema="location string, capacity long")
 
 
 _FIX_SCHEMA = (
@@ -99,16 +98,17 @@ _FIX_SCHEMA = (
 )
 
 
-@query("src4_scan_fixtures", with_views("select * from fixtures where result is null", "fixtures"))
+@query("src4_scan_fixtures", with_views(
+    "select * replace (case when home_team = 'T00' then 'T00-renamed' else home_team end as home_team, "
+    "case when away_team = 'T00' then 'T00-renamed' else away_team end as away_team) from fixtures where result is null", "fixtures"))
 def src4(spark, sf):
     fx = td.fixtures(spark, sf)
     path = SRC.scratch_dir(spark, "fixtures")
     fx.write.partitionBy("season").option("header", True).csv(path)
-    out = SRC.scan_fixtures(spark, f"{path}/*/*.csv", schema=_FIX_SCHEMA.replace(", season string", ""))
-    # season comes back from the partition folder name
-    return out.withColumn("season", F.regexp_extract(F.col("_metadata.file_path"), r"season=([^/]+)", 1)).select(
-        *[c.split()[0] for c in _FIX_SCHEMA.split(", ")]
-    )
+    # the season comes back from the partition folder name
+    return SRC.scan_fixtures(
+        spark, f"{path}/*/*.csv", schema=_FIX_SCHEMA.replace(", season string", ""), aliases={"T00": "T00-renamed"}, season_pattern=r"season=([^/]+)"
+    ).select(*[c.split()[0] for c in _FIX_SCHEMA.split(", ")])
 
 
 @query("src5_read_write_table", with_views("select * from matches", "matches"))

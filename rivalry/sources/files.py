@@ -1,15 +1,15 @@
 """Scans and sinks (SRC1-SRC9).
 
-Files with different header layouts are read in one distributed pass: every
-line is read as text with its file path, each file's header line is found,
-and values are picked by name through a per-file header table (one row per
-file, so its size is known from the path list before it is broadcast).
+Files with different header layouts are read by name: every line is read as
+text with its file path, one pass finds each file's first line and whether it
+decodes, and the cells of the other lines are named by their own file's
+header (a table of one row per file; AQE broadcasts it when it is small).
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +19,6 @@ from rivalry.session import cut_lineage, ensure_checkpoint_dir
 
 # split on commas outside double quotes
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-# broadcast the per-file header table up to this many files
-MAX_BROADCAST_FILES = 200_000
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -44,6 +42,66 @@ def season_from_path(path: Column, pattern: str = r"/(\d{4})/[^/]*$") -> Column:
     )
 
 
+def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
+    """Non-empty lines with their file; the text source gives the bytes as
+    they are, so other encodings than UTF-8 are decoded here."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    value = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
+    lines = lines.select(value.alias("value"), meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"))
+    return lines.filter(F.length(F.trim("value")) > 0)
+
+
+def _layouts(lines: DataFrame, fallback: str | None) -> DataFrame:
+    """Per file its first line and header, and whether it is not valid UTF-8
+    (its header is then decoded as ``fallback``). The first block of a file is
+    read in order by one task, so the smallest running number there is the
+    first line."""
+    at = F.when(F.col("_block") == 0, F.monotonically_increasing_id())
+    per_file = lines.select("_file", "value", at.alias("_at")).groupBy("_file").agg(
+        F.min_by("value", "_at").alias("_first"), F.max(~F.is_valid_utf8("value")).alias("_broken"))
+    text = _decoded(F.col("_first"), fallback)
+    return cut_lineage(per_file.select("_file", text.alias("_first"), "_broken", F.transform(
+        F.split(F.regexp_replace(text, "^\ufeff", ""), _CSV_SPLIT), _unquote).alias("_header")))
+
+
+def _decoded(value: Column, fallback: str | None) -> Column:
+    return value if fallback is None else F.when(F.col("_broken"), F.decode(value.cast("binary"), fallback)).otherwise(value)
+
+
+def read_by_header(spark: SparkSession, paths, *, encoding: str = "UTF-8", fallback: str | None = "ISO-8859-1") -> DataFrame:
+    """Rows of delimited files whose headers may differ: ``_file``,
+    ``_header`` (array) and ``_rec`` (map from the file's own header names to
+    its cells). The header of a file is its first line; later lines equal to
+    it are dropped. Files in which a line is not valid UTF-8 are decoded as
+    ``fallback``. Cells beyond a file's header have no name and are not in the
+    map; of equal header names the first counts."""
+    lines = _lines(spark, paths, encoding)
+    layouts = _layouts(lines, fallback)
+    # data lines: Spark's CSV parser (linear, quote aware), as wide as the widest header
+    width = layouts.agg(F.max(F.size("_header"))).first()[0] or 1
+    parsed = F.from_csv(F.col("value"), ", ".join(f"c{i} string" for i in range(width)), {"escape": '"', "mode": "PERMISSIVE"})
+    # one row per file
+    data = lines.join(layouts, "_file").withColumn("value", _decoded(F.col("value"), fallback)).filter(F.col("value") != F.col("_first"))
+    cells = F.array(*[F.col(f"_p.c{i}") for i in range(width)])
+    return data.select("_file", "_header", parsed.alias("_p")).select(
+        "_file", "_header", F.map_from_entries(F.filter(
+            F.zip_with("_header", F.slice(cells, 1, F.size("_header")), lambda n, c: F.struct(n.alias("name"), c.alias("cell"))),
+            lambda e, k: F.array_position("_header", e["name"]) == k + 1)).alias("_rec"))
+
+
+def _cell(name: str) -> Column:
+    v = F.col("_rec").getItem(name)
+    return F.when(v != "", v)
+
+
+def skipped_files(spark: SparkSession, paths, *, marker: str, encoding: str = "UTF-8") -> DataFrame:
+    """SRC1's error table: files whose header lacks the ``marker`` column,
+    with their first line."""
+    found = _layouts(_lines(spark, paths, encoding), "ISO-8859-1")
+    return found.filter(~F.array_contains("_header", marker)).select(F.col("_file").alias("file"), F.col("_first").alias("first_line"))
+
+
 def scan_seasons(
     spark: SparkSession,
     paths: Sequence[str] | str,
@@ -51,53 +109,24 @@ def scan_seasons(
     required: Sequence[str],
     marker: str | None = None,
     encoding: str = "UTF-8",
+    fallback: str | None = "ISO-8859-1",
     season_col: str = "season",
     season_pattern: str = r"/(\d{4})/[^/]*$",
 ) -> DataFrame:
-    """SRC1: read result files whose header layouts may differ, tag each row
-    with the season coded in its path, keep ``required`` columns (by name)
-    and drop rows with any NULL. Files without the ``marker`` column in their
-    header (unreadable for this purpose) contribute no rows.
-
-    ``required`` may include ``season_col``; it is taken from the path.
+    """SRC1: read result files whose header layouts may differ (each decoded
+    as ``encoding`` or else ``fallback``), tag each row with the season coded
+    in its path, keep ``required`` columns (by name) and drop rows with any
+    NULL. Files without the ``marker`` column in their header contribute no
+    rows; :func:`skipped_files` lists them.
+
+    ``required`` may include ``season_col``; it is taken from the path. A
+    record must not span lines.
     """
     marker = marker or next(c for c in required if c != season_col)
-    raw = spark.read.option("encoding", encoding).text(paths if isinstance(paths, str) else list(paths))
-    # one header row per file: the file listing bounds the header table
-    n_files = len(raw.inputFiles())
-    lines = raw.select(F.col("value"), F.col("_metadata.file_path").alias("_file")).filter(
-        F.length(F.trim("value")) > 0
-    )
-    # header lines: a cheap substring test first, the quote-aware split only
-    # for the few candidate lines
-    quick = F.transform(F.split(F.col("value"), _CSV_SPLIT), _unquote)
-    is_header = F.col("value").contains(marker) & F.array_contains(quick, marker)
-    # one pass finds the headers; the small table is written once so the
-    # width lookup and the join below both read that copy
-    headers = cut_lineage(lines.filter(is_header).groupBy("_file").agg(F.first(quick).alias("_header")))
-    # data lines: Spark's CSV parser (linear, quote aware), as wide as the
-    # widest header
-    width = headers.agg(F.max(F.size("_header"))).first()[0] or 0
-    if n_files <= MAX_BROADCAST_FILES:
-        headers = F.broadcast(headers)
-    if width == 0:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in required))
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv(F.col("value"), schema, {"escape": '"', "mode": "PERMISSIVE"})
-    data = lines.filter(~is_header).join(headers, on="_file", how="inner").select(
-        "_file", "_header", parsed.alias("_p")
-    )
-    cells = F.array(*[F.col(f"_p.c{i}") for i in range(width)])
-    record = F.map_from_arrays(F.col("_header"), F.slice(cells, 1, F.size("_header")))
-    data = data.select("_file", record.alias("_rec"))
-    out = []
-    for c in required:
-        if c == season_col:
-            out.append(season_from_path(F.col("_file"), season_pattern).alias(c))
-        else:
-            v = F.col("_rec").getItem(c)
-            out.append(F.when(v == "", None).otherwise(v).alias(c))
-    return data.select(*out).na.drop("any")
+    data = read_by_header(spark, paths, encoding=encoding, fallback=fallback).filter(F.array_contains("_header", marker))
+    return data.select(*[
+        season_from_path(F.col("_file"), season_pattern).alias(c) if c == season_col else _cell(c).alias(c) for c in required
+    ]).na.drop("any")
 
 
 def season_calendar(start: Column, end: Column) -> Column:
@@ -112,27 +141,12 @@ def season_calendar(start: Column, end: Column) -> Column:
 
 def scan_encoded(spark: SparkSession, paths, *, columns: Sequence[str], fallback: str = "ISO-8859-1",
                  schema: str | None = None) -> DataFrame:
-    """SRC3: read CSV files as UTF-8; files that do not decode (their values
-    carry U+FFFD replacement characters) are read again with ``fallback``,
-    keeping only ``columns``.
-
-    Detection is one filtered pass; only the list of failing file paths
-    (bounded by the number of files) reaches the driver."""
-    def reader(enc: str):
-        r = spark.read.option("header", True).option("encoding", enc)
-        return r.schema(schema) if schema else r
-
-    plist = [paths] if isinstance(paths, str) else list(paths)
-    utf = reader("UTF-8").csv(plist).select(*columns, F.col("_metadata.file_path").alias("_file"))
-    broken = F.lit(False)
-    for c in columns:
-        broken = broken | F.coalesce(F.col(c).cast("string").contains("\ufffd"), F.lit(False))
-    bad = utf.filter(broken).select("_file").distinct()
-    bad_files = [r._file for r in bad.collect()]
-    if not bad_files:
-        return utf.drop("_file")
-    good = utf.filter(~F.col("_file").isin(bad_files)).drop("_file")
-    return good.unionByName(reader(fallback).csv(bad_files).select(*columns))
+    """SRC3: read CSV files as UTF-8, those that do not decode with
+    ``fallback``; keep ``columns`` by name, whatever each file's order.
+    ``schema`` ('name type, ...') casts them (else text)."""
+    types = dict(f.strip().split(None, 1) for f in schema.split(",")) if schema else {}
+    data = read_by_header(spark, paths, fallback=fallback)
+    return data.select(*[_cell(c).cast(types.get(c, "string")).alias(c) for c in columns])
 
 
 FIXTURE_COLUMNS = (
@@ -140,26 +154,38 @@ FIXTURE_COLUMNS = (
 )
 
 
-def scan_fixtures(spark: SparkSession, path: str, *, next_path: str | None = None, schema: str | None = None) -> DataFrame:
+def scan_fixtures(
+    spark: SparkSession, path: str, *, next_path: str | None = None, schema: str | None = None,
+    aliases: Mapping[str, str] | None = None, season_pattern: str | None = None,
+) -> DataFrame:
     """SRC4: unplayed fixtures (``result`` NULL) of a fixture file; when
     there are none, the next season's file; when that is empty too, raise.
 
-    The emptiness probe is ``isEmpty()`` on the filtered scan: it stops at the
-    first matching row instead of counting."""
+    Columns are taken by name (``schema``: 'name type, ...'; else all of the
+    first file's header, as text). ``aliases`` renames teams in home_team and
+    away_team. ``season_pattern`` adds ``season`` from the file's path (its
+    first group). The emptiness probe stops at the first matching row."""
     def unplayed(p: str) -> DataFrame:
-        reader = spark.read.option("header", True)
+        data = read_by_header(spark, p)
         if schema:
-            reader = reader.schema(schema)
-        return reader.csv(p).filter(F.col("result").isNull())
-
-    fix = unplayed(path)
-    if fix.isEmpty():
-        if next_path is None:
-            raise ValueError("No fixtures found. Please check")
-        fix = unplayed(next_path)
-        if fix.isEmpty():
-            raise ValueError("No fixtures found. Please check")
-    return fix
+            names = dict(f.strip().split(None, 1) for f in schema.split(","))
+        else:
+            first = data.select("_header").first()
+            names = {c: "string" for c in (first[0] if first else ["result"])}
+        cells = {c: _cell(c).cast(t) for c, t in names.items()}
+        for c in ("home_team", "away_team"):
+            if aliases and c in cells:
+                cells[c] = F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[cells[c]], cells[c])
+        if season_pattern:
+            cells["season"] = F.regexp_extract("_file", season_pattern, 1)
+        return data.select(*[v.alias(c) for c, v in cells.items()]).filter(F.col("result").isNull())
+
+    for p in (path, next_path):
+        if p is not None:
+            fix = unplayed(p)
+            if not fix.isEmpty():
+                return fix
+    raise ValueError("no unplayed fixtures in the given files")
 
 
 def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", partition_by: Sequence[str] = (),

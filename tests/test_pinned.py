@@ -337,3 +337,16 @@ def test_scan_seasons_quotes_and_layouts(spark, tmp_path):
     rows = sorted((r.season, r.HomeTeam, r.AwayTeam, r.FTHG, r.FTR) for r in got)
     # the row with an empty goal count is dropped (any NULL)
     assert rows == [("1995-96", "Brighton, Hove", "Leeds", "1", "H"), ("2000-01", "Leeds", 'The "Saints"', "2", "D")]
+
+
+def test_layouts_encodings_and_skipped_files(spark, tmp_path):
+    for code in ("9596", "9697", "9798"):
+        (tmp_path / code).mkdir()
+    (tmp_path / "9596" / "E0.csv").write_bytes("Date,HomeTeam,AwayTeam\n1/1/95,Köln,HomeTeam\n".encode("latin-1"))
+    (tmp_path / "9697" / "E0.csv").write_text("AwayTeam,Date,HomeTeam\nÅbo,2/2/96,Brest,extra\n")
+    (tmp_path / "9798" / "E0.csv").write_text("nothing,here\n1,2\n")
+    paths = f"{tmp_path}/*/E0.csv"
+    got = SRC.scan_seasons(spark, paths, required=["season", "Date", "HomeTeam", "AwayTeam"]).collect()
+    assert sorted(map(tuple, got)) == [("1995-96", "1/1/95", "Köln", "HomeTeam"), ("1996-97", "2/2/96", "Brest", "Åbo")]
+    skipped = SRC.skipped_files(spark, paths, marker="Date").collect()
+    assert [(r.file.split("/")[-2], r.first_line) for r in skipped] == [("9798", "nothing,here")]
