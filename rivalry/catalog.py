@@ -1,8 +1,10 @@
 """Registry of queries (one per operator ID of SURVEY §2) and their DuckDB
 oracle SQL. ``__spark_entry__`` exposes both.
 
-Each query takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-full driver tables (or views Spark derives from them).
+Each query takes ``(spark, sf_dir)`` and returns a DataFrame over the full
+driver tables (or views Spark derives from them). Building one may run jobs:
+ordered scans, model fits and lineage cuts are written to the checkpoint
+folder when the query is built.
 """
 
 from __future__ import annotations

@@ -148,39 +148,76 @@ def batch_encoder(path: str):
     library's file at ``path``, for a byte-level vocabulary whose pre-tokens
     never reach over a single space after a visible character.
 
-    A text is cut before every space. Where a space follows white space or
-    starts the text, the cut would not be a pre-token border: such a text is
-    encoded in one piece."""
+    A text is cut before every space and around every line break, but only
+    where a visible character stands on the other side, as anything else need
+    not be a pre-token border: a text with white space beside a line break is
+    cut at spaces only, one with white space before a space not at all."""
     import re
 
     from tokenizers import Tokenizer
 
     def load():
         tokenizer = Tokenizer.from_file(path)
+        newline = tokenizer.encode("\n", add_special_tokens=False).ids
 
         def encode(texts):
-            ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            return lengths, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-
-        # a str unit goes with the space before it; a text's first word has none and is kept as bytes
-        return encode, UnitStore(lambda units: encode([" " + u if isinstance(u, str) else u.decode() for u in units]))
+            ids = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([len(x) for x in ids], np.int64), np.concatenate(ids) if ids else np.empty(0, np.int32)
+
+        def encode_units(units):
+            # a str unit goes with the space before it; a line's first word has none and is kept as bytes
+            words = [" " + u if isinstance(u, str) else u.decode() for u in units]
+            # words without white space are encoded many at a time: the line breaks between them come back as ids
+            plain = [k for k, u in enumerate(words) if len(newline) == 1 and [u] == [u[: u[0] == " "] + w for w in u.split()]]
+            joined = ["\n".join(words[k] for k in plain[a: a + 1000]) for a in range(0, len(plain), 1000)]
+            odd = sorted(set(range(len(units))) - set(plain))
+            lengths = np.zeros(len(units), np.int64)
+            parts, owner = [], []
+            for a, e in enumerate(tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(e.ids, np.int32)
+                word = np.cumsum(ids == newline[0])
+                inner = ids != newline[0]
+                parts.append(ids[inner])
+                owner.append(np.array(plain[a * 1000: a * 1000 + 1000])[word[inner]])
+            n, flat = encode([words[k] for k in odd])
+            parts.append(flat)
+            owner.append(np.repeat(np.array(odd, np.int64), n))
+            owner = np.concatenate(owner)
+            order = np.argsort(owner, kind="stable")
+            lengths = np.bincount(owner, minlength=len(units)).astype(np.int64)
+            return lengths, np.concatenate(parts)[order]
+
+        return encode, UnitStore(encode_units)
 
     encode, store = process_memo(("tokenizer", path), load)
     unsafe = re.compile(r"[\s\x1c-\x1f\x85] ")
 
+    def cut(text: str) -> list | None:
+        units = []
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:  # white space other than single spaces between words
+                break
+            words[0] = words[0].encode()
+            units += words
+            units.append(b"\n")
+        else:
+            return units[:-1]
+        if text[0] == " " or unsafe.search(text):
+            return None
+        words = text.split(" ")
+        words[0] = words[0].encode()
+        return words
+
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         units, per_text, whole = [], np.zeros(len(texts), np.int64), []
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            if text[0] == " " or unsafe.search(text):
+            words = cut(text) if text else []
+            if words is None:
                 whole.append(k)
-                continue
-            words = text.split(" ")
-            words[0] = words[0].encode()
-            units += words
-            per_text[k] = len(words)
+            else:
+                units += words
+                per_text[k] = len(words)
         n, flat = store.ids(units)
         edges = np.concatenate([[0], np.cumsum(n)])
         unit_end = np.cumsum(per_text)
@@ -232,9 +269,9 @@ def write_token_files(
                 sink = fs.open_output_stream(name)
                 writer = PlaneWriter(sink, block=block, plane=plane, level=level)
             lo = 0
-            while lo < len(ids):  # about four million characters at a time
+            while lo < len(ids):  # about two million characters at a time
                 texts, size = [], 0
-                while lo + len(texts) < len(ids) and (size < 4 << 20 or not texts):
+                while lo + len(texts) < len(ids) and (size < 2 << 20 or not texts):
                     texts.append(text[lo + len(texts)].as_py() or "")
                     size += len(texts[-1])
                 lengths, flat = encode(texts)

@@ -26,7 +26,7 @@ def process_memo(key, make: Callable):
 class UnitStore:
     """Ids of units. ``encode(units)`` returns (lengths, flat ids)."""
 
-    def __init__(self, encode: Callable, bound: int = 800_000):
+    def __init__(self, encode: Callable, bound: int = 1_000_000):
         self.encode, self.bound = encode, bound
         self.code: dict = {}
         self.length = np.zeros(1024, np.int64)
@@ -43,7 +43,7 @@ class UnitStore:
 
     def ids(self, units: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids per unit, all ids in order) of a list of units."""
-        code = np.array(list(map(self.code.get, units, repeat(-1))), dtype=np.int64)
+        code = np.fromiter(map(self.code.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(code < 0)
         kept, used = len(self.code), self.used
         keep = True

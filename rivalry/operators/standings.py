@@ -124,7 +124,9 @@ def asof_positions(matches: DataFrame, scan: DataFrame, *, cols: MatchCols = DEF
     )
     dates = matches.select(*cols.keys, day).distinct()
     teams = scan.select(*cols.keys, "team").distinct()
-    grid = dates.join(teams, on=list(cols.keys))
+    # without keys the whole table is one group
+    grid = dates.join(teams, on=list(cols.keys)) if cols.keys else dates.withColumn("_g", F.lit(0)).join(
+        teams.withColumn("_g", F.lit(0)), "_g").drop("_g")
     # a snapshot of day d applies from the next match day on: a grid row
     # (order 1) sorts before the same day's snapshot (order 2), so the value
     # it carries comes from earlier days only
