@@ -86,7 +86,7 @@ def encode_result(c: Column) -> Column:
 def cast_categories(df: DataFrame, target: str | None = None) -> DataFrame:
     """PRJ9: mark string columns (except ``target``) as categorical. Spark has
     no category type: the columns stay strings and the list is recorded in
-    column metadata, which ``rivalry.operators.ml`` reads to index them."""
+    column metadata (see :func:`categorical_columns`)."""
     out = df
     for f in df.schema.fields:
         if f.dataType.simpleString() == "string" and f.name != target:
