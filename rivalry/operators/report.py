@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from rivalry.functions.scalars import display_date, month_name, result_phrase, weekday_name
 from rivalry.operators.aggregates import best_per_group, pivot_metric
+from rivalry.operators.ordering import ALL_SEASONS
+from rivalry.operators.scan import ordered_scan
+from rivalry.operators.teamgames import team_rows
 
 
 def upcoming_table(upcoming: DataFrame) -> DataFrame:
@@ -36,6 +39,22 @@ def fixture_detail(upcoming: DataFrame, label: str | None = None) -> DataFrame:
                     .alias("prediction"), "away", "date", "time", "stadium")
 
 
+def team_history(matches: DataFrame, upcoming: DataFrame) -> DataFrame:
+    """The games of the fixtures' teams over all seasons, numbered per team,
+    as :func:`last5_both` takes them. Other teams' matches are left out before
+    anything is ordered: a semi join with the report's teams."""
+    teams = upcoming.select(F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
+    if upcoming.count() <= MAX_BROADCAST_FIXTURES:
+        teams = F.broadcast(teams)
+    rows = team_rows(matches, cols=ALL_SEASONS).join(teams, "team", "left_semi")
+    code = F.when(F.col("res") == "D", 1).when((F.col("res") == "W") == (F.col("venue") == "H"), 0).otherwise(2)
+    at_home = F.col("venue") == "H"
+    numbered = ordered_scan(rows.select("team", "match_date", "match_id", "opponent", "venue", "res"), ["team"], ["match_date", "match_id"], row_number="g")
+    return numbered.select(
+        "team", "g", "match_date", F.when(at_home, F.col("team")).otherwise(F.col("opponent")).alias("home_team"),
+        F.when(at_home, F.col("opponent")).otherwise(F.col("team")).alias("away_team"), code.alias("ftr_code"))
+
+
 # a report's fixture list is broadcast up to this many rows (checked)
 MAX_BROADCAST_FIXTURES = 100_000
 

@@ -71,11 +71,12 @@ def w5(spark, sf):
     ),
 )
 def j7(spark, sf):
-    from rivalry.operators.teamgames import game_counts, team_games_scan
+    from rivalry.operators.teamgames import attach_block_state, game_counts, match_index, team_games_scan
 
     m = td.matches(spark, sf)
-    counts = game_counts(team_games_scan(m))
-    out = block_state(m)
+    scan = team_games_scan(m)
+    counts = game_counts(scan)
+    out = attach_block_state(match_index(m), scan)
     hc = counts.select("season", F.col("team").alias("home_team"), F.col("n").alias("home_games"))
     ac = counts.select("season", F.col("team").alias("away_team"), F.col("n").alias("away_games"))
     out = out.join(hc, ["season", "home_team"], "left").join(ac, ["season", "away_team"], "left")

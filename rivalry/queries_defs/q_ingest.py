@@ -15,6 +15,7 @@ from rivalry.operators.standings import season_table
 from rivalry.operators.teamgames import team_games
 from rivalry.oracle_views import with_views
 from rivalry.plans.features import block_state
+from rivalry.session import cut_lineage
 from rivalry.sources import files as SRC
 from rivalry.sources import testdata as td
 
@@ -287,7 +288,8 @@ def prj9(spark, sf):
     ),
 )
 def j1(spark, sf):
-    st = block_state(td.matches(spark, sf))
+    # read four times below: one copy
+    st = cut_lineage(block_state(td.matches(spark, sf)))
     keys = ["match_id", "season", "match_date", "home_team", "away_team", "fthg", "ftag", "ftr"]
     gs = st.select(*keys, "htgs", "atgs")
     pts = st.select(*keys, "htp", "atp")

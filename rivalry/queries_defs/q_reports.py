@@ -11,9 +11,9 @@ from rivalry.operators import joins as J
 from rivalry.operators import ordering as O
 from rivalry.operators import projections as P
 from rivalry.operators import report as R
-from rivalry.operators.teamgames import MatchCols, team_games_scan
 from rivalry.oracle_views import with_views
 from rivalry.queries_defs.q_ingest import AS_OF
+from rivalry.session import cut_lineage
 from rivalry.sources import testdata as td
 
 _UPCOMING_SQL = f"""
@@ -118,14 +118,9 @@ def _rp3_sql() -> str:
 
 @query("rp3_last5_both", _rp3_sql())
 def rp3(spark, sf):
-    m = td.matches(spark, sf)
-    cols = MatchCols(keys=())
-    tg = team_games_scan(m, cols=cols)
-    code = F.when(F.col("ftr") == "H", 0).when(F.col("ftr") == "D", 1).otherwise(2)
-    hist = tg.join(m.select("match_id", "home_team", "away_team", code.alias("ftr_code")), "match_id").select(
-        "team", "g", "match_date", "home_team", "away_team", "ftr_code"
-    )
-    return R.last5_both(_upcoming(spark, sf), hist)
+    # read by the team filter and by the report: one copy of a few rows
+    upcoming = cut_lineage(_upcoming(spark, sf))
+    return R.last5_both(upcoming, R.team_history(td.matches(spark, sf), upcoming))
 
 
 @query(
