@@ -168,13 +168,18 @@ def test_ordinal_and_merge_maps(spark):
     assert m == {"a": "1", "b": "3"}
 
 
-def test_p_value_helpers():
-    from rivalry.operators.drift import _gammaincc, _kolmogorov_sf
+def test_p_value_helpers(spark):
+    from rivalry.operators.drift import p_values
 
-    # chi-square(1) upper tail at 3.841 is 0.05; KS lambda 1.358 gives 0.05
-    assert _gammaincc(0.5, 3.841 / 2) == pytest.approx(0.05, abs=1e-3)
-    assert _kolmogorov_sf(1.358) == pytest.approx(0.05, abs=1e-3)
-    assert math.isclose(_gammaincc(1.0, 2.0), math.exp(-2.0), rel_tol=1e-9)
+    # chi-square(1) upper tail at 3.841 is 0.05; KS lambda 1.358 gives 0.05; chi-square(2) at 4 is exp(-2)
+    n = 10_000_000
+    root = math.sqrt(n / 2)
+    rows = [("chisquare", 3.841, n, n, 1), ("ks", 1.358 / (root + 0.12 + 0.11 / root), n, n, 0), ("chisquare", 4.0, n, n, 2)]
+    df = spark.createDataFrame(rows, "t string, s double, a long, b long, d long")
+    chi, ks, exact = [r[0] for r in df.coalesce(1).select(p_values(*[F.col(c) for c in "tsabd"])).collect()]
+    assert chi == pytest.approx(0.05, abs=1e-3)
+    assert ks == pytest.approx(0.05, abs=1e-3)
+    assert math.isclose(exact, math.exp(-2.0), rel_tol=1e-9)
 
 
 def test_dedupe_keep_first(spark):
