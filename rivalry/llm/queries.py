@@ -25,13 +25,55 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("op1_embedding_near_dedup")
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id AS id, vec_id AS far FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.far
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, (SELECT min(far) FROM r WHERE r.id = v.vec_id) AS component_id,
+  vec_id = (SELECT min(far) FROM r WHERE r.id = v.vec_id) AS kept,
+  greatest(1, (SELECT count(*) FROM g WHERE g.label = v.label AND g.e = v.e)) AS n_copies
+FROM v
+"""
+
+
+@query("op1_embedding_near_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with equal labels and cosine >= 0.98."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-@query("op6_minhash_near_dedup")
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n k ON k.doc_id = y WHERE 100 * c >= 80 * (m.n + k.n - c)
+), r AS (
+  SELECT doc_id AS id, doc_id AS far FROM w UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.far
+), c AS (
+  SELECT id, min(far) AS low FROM r GROUP BY id
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id, w.doc_id = c.low AS kept
+FROM w JOIN c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
+@query("op6_minhash_near_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with 4-word shingle similarity >= 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=0.8)
