@@ -189,7 +189,7 @@ def batch_encoder(path: str):
 
         return encode, UnitStore(encode_units)
 
-    encode, store = process_memo(("tokenizer", path), load)
+    encode, store = process_memo("tokenizer", path, load)
     unsafe = re.compile(r"[\s\x1c-\x1f\x85] ")
 
     def cut(text: str) -> list | None:
@@ -299,7 +299,8 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     # one row per file
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("file", "bytes", F.coalesce(before, F.lit(0)).cast("long").alias("first"), "part")
-    files = files.repartition(F.col("part"))
+    # one file a task: the names are so few bytes that any other dealing would meet in one task
+    files = files.repartition(max(1, min(manifest.count(), 10_000)))
 
     def read(batches):
         fs, folder = file_system(path)

@@ -15,12 +15,14 @@ from itertools import repeat
 import numpy as np
 
 
-def process_memo(key, make: Callable):
-    """``make()`` once per Python process: workers serve many tasks."""
+def process_memo(kind: str, key, make: Callable):
+    """``make()`` once per Python process, as workers serve many tasks. Only
+    the latest ``key`` of a kind is kept."""
     store = sys.modules.setdefault("_llm_process_memo", types.ModuleType("_llm_process_memo")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if kind not in store or store[kind][0] != key:
+        store.pop(kind, None)
+        store[kind] = (key, make())
+    return store[kind][1]
 
 
 class UnitStore:
