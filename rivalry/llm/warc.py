@@ -173,7 +173,8 @@ def read_warc(manifest: DataFrame, path: str, *, chunk: int = 1 << 18) -> DataFr
     empty payload), with ``digest``, the SHA-256 of the payload up to and
     including the row, and ``is_last``."""
     names = [f.split()[0] for f in CHUNKS.split(", ")]
-    files = manifest.select("file").repartition(F.col("file"))
+    # one file a task: the names are so few bytes that any other dealing would meet in one task
+    files = manifest.select("file").repartition(max(1, min(manifest.count(), 10_000)))
 
     def read(batches):
         fs, folder = file_system(path)
