@@ -4,12 +4,13 @@ Arrow batches, scratch files in the shared folder, and link components."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivalry.session import cut_lineage, ensure_checkpoint_dir
 
@@ -41,7 +42,7 @@ def file_system(uri: str):
 
 
 # ------------------------------------------------------------ byte kernels
-def utf8_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def utf8_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``max_bytes``.
 
     Yields ``(first_row, last_row, bytes, offsets)`` with the UTF-8 bytes of
@@ -65,6 +66,29 @@ def utf8_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[in
         i = j
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a pass: the Python
+    worker lives on, idle or in another task, beside the executor's JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def with_text(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, Callable]:
+    """``df`` cut to ``keep`` for an Arrow pass over its texts, and a function
+    from a batch to the text column. A text that is kept anyway travels once."""
+    if text_col in keep and df.schema[text_col].dataType == T.StringType():
+        at = keep.index(text_col)
+        return df.select(*keep), lambda batch: batch.column(at)
+    return df.select(*keep, F.col(text_col).cast("string").alias("_text_of_row")), lambda batch: batch.column(len(keep))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on a uint64 array (in place on a copy)."""
     x = x.copy()

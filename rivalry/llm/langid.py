@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivalry.llm.common import utf8_slices
+from rivalry.llm.common import release_memory, utf8_slices, with_text
 
 UNDETERMINED = "und"
 _LETTER = np.full(256, 32, dtype=np.uint8)  # ASCII letters lowered, bytes of other characters kept, the rest a space
@@ -159,7 +159,7 @@ def mixtures(row, gram, n_rows, log_p, *, rounds=6, max_set=3, penalty=0.01, lea
     return out
 
 
-def identify(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns ``keep`` (all if None) of every row of ``df``, with
     ``lang_pred`` (the language of the largest share), ``score`` (that share,
     0 to 1), ``languages`` and ``shares`` (the selected set, largest first).
@@ -167,24 +167,24 @@ def identify(df: DataFrame, model: LanguageModel, *, text_col: str = "text", kee
     A NULL text, or one without a letter, is ``und`` with score 0 and an empty
     set; so is every text under a model without languages. Equal shares go to
     the language that sorts first. Columns of ``df`` with the names of the
-    added ones are replaced. Repeated rows are scored alike, an empty table
+    added ones are replaced (``prefix`` goes before those). Repeated rows are scored alike, an empty table
     gives no rows, texts are read whole.
     """
-    added = ["lang_pred", "score", "languages", "shares"]
+    added = [prefix + c for c in ("lang_pred", "score", "languages", "shares")]
     keep = [c for c in (df.columns if keep is None else keep) if c not in added]
-    src = df.select(*keep, F.col(text_col).cast("string").alias("_scored_text"))
+    src, text_of = with_text(df, keep, text_col)
     schema = T.StructType([df.schema[c] for c in keep] + [
-        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-        T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
+        T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType()),
+        T.StructField(added[2], T.ArrayType(T.StringType())), T.StructField(added[3], T.ArrayType(T.DoubleType()))])
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
     buckets = model.buckets
 
     def score(batches):
         languages, log_p = shared.value
         for batch in batches:
-            text = batch.column(len(keep))
-            pred, value, names, parts = [], [], [], []
+            text = text_of(batch)
             for lo, hi, data, offsets in utf8_slices(text):
+                pred, value, names, parts = [], [], [], []
                 ascii_letters = np.add.reduceat(
                     np.append((_LETTER[data] != 32) & (data < 128), False), offsets[:-1]) * (np.diff(offsets) > 0)
                 row, g = grams(data, offsets, buckets)
@@ -205,8 +205,10 @@ def identify(df: DataFrame, model: LanguageModel, *, text_col: str = "text", kee
                     value.append(float(min(1.0, p[order[0]])))
                     names.append([languages[k] for k in order])
                     parts.append([float(p[k]) for k in order])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(value, pa.float64()),
-                 pa.array(names, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], names=schema.names)
+                kept = [c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(pred, pa.string()), pa.array(value, pa.float64()),
+                     pa.array(names, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], names=schema.names)
+        release_memory()
 
     return src.mapInArrow(score, schema)

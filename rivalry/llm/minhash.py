@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivalry.llm.common import WORD_SPACE, components, mix64, utf8_slices
+from rivalry.llm.common import WORD_SPACE, components, mix64, release_memory, utf8_slices
 from rivalry.session import cut_lineage
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -191,6 +191,7 @@ def near_duplicates(
                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
                     _lists(keys.view(np.int64), empty), _lists(packed.view(np.int64), empty),
                 ], names=schema.names)
+        release_memory()
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     feats = cut_lineage(src.mapInArrow(features, schema))
@@ -326,5 +327,6 @@ def compared(pairs: DataFrame, src: DataFrame, width: int, similarity: float, sl
                 yield pa.RecordBatch.from_arrays([
                     pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(inter, pa.int64()), pa.array(extra, pa.int64()),
                     lists, pa.array(link, pa.bool_())], names=["id_a", "id_b", "inter", "extra", "mask", "link"])
+        release_memory()
 
     return cut_lineage(flow.mapInArrow(check, "id_a long, id_b long, inter long, extra long, mask array<long>, link boolean"))

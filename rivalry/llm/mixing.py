@@ -166,6 +166,7 @@ def in_cuts(size: Column, b: Column, v: Column, doc_id: Column) -> Column:
 def mix(
     df: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: Sequence[float] = (1, 2, 3), max_copies: int = 3, seed: int = 11, rounds: int = 4, keep: Sequence[str] | None = None,
+    prefix: str = "",
 ) -> DataFrame:
     """The columns ``keep`` (all if None) of every row, with ``size`` (words),
     ``source_size``, ``target`` (its source's), ``copies`` (how often the mix
@@ -176,9 +177,9 @@ def mix(
     that repeat an id within a source and have equal sizes are taken together;
     rows with a NULL id draw from their text. Wordless documents get the whole
     copies of their source, and an empty table gives no rows. Columns of ``df``
-    with the names of the added ones are replaced.
+    with the names of the added ones are replaced (``prefix`` goes before those).
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
+    added = [prefix + c for c in ("size", "source_size", "target", "copies", "taken")]
     keep = [c for c in (df.columns if keep is None else keep) if c not in added]
     source, doc_id, text = F.col(source_col).cast("string"), F.col(id_col).cast("long"), F.col(text_col).cast("string")
     sized = df.select(
@@ -201,5 +202,6 @@ def mix(
     extra = F.when((F.col("size") > 0) & (F.col("p") > 0) & F.coalesce(taken, F.lit(False)), 1).otherwise(0)
     out = out.withColumn("copies", (F.col("whole") + extra).cast("int"))
     return out.select(
-        *[F.col("row")[c].alias(c) for c in keep], "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+        *[F.col("row")[c].alias(c) for c in keep],
+        *[F.col(c).alias(prefix + c) for c in ("size", "source_size", "target", "copies")],
+        (F.col("copies") * F.col("size")).cast("long").alias(f"{prefix}taken"))

@@ -17,6 +17,7 @@ passes; the trie (about a megabyte) is broadcast.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivalry.llm.common import release_memory, with_text
 from rivalry.llm.units import UnitStore, process_memo
 
 MARKER = "▁"
@@ -251,16 +253,17 @@ def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Seque
     keep = [c for c in (df.columns if keep is None else keep) if c != out]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
     shared = df.sparkSession.sparkContext.broadcast(pieces.parts())
-    name = f"pieces {shared._jbroadcast.id()} {df.sparkSession.sparkContext.applicationId}"
+    name = zlib.crc32(b"\0".join(pieces.texts) + pieces.scores.tobytes())
+    src, text_of = with_text(df, keep, text_col)
 
     def run(batches):
-        store = process_memo(name, lambda: UnitStore(lambda us: segment([b" " + u for u in us], shared.value)))
+        store = process_memo("pieces", name, lambda: UnitStore(lambda us: segment([b" " + u for u in us], shared.value), bound=60_000))
         for batch in batches:
-            text = batch.column(len(keep))
-            lengths, flats, at = [], [], 0
-            while at < len(text):  # about two million characters at a time
-                units, per_text, size = [], [], 0
-                while at < len(text) and (size < 2 << 20 or not per_text):
+            text = text_of(batch)
+            at = 0
+            while at < len(text):  # about half a million characters at a time
+                first, units, per_text, size = at, [], [], 0
+                while at < len(text) and (size < 1 << 19 or not per_text):
                     t = text[at].as_py() or ""
                     u = text_units(t) if t else []
                     units += u
@@ -270,14 +273,12 @@ def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Seque
                 n, flat = store.ids(units)
                 edges = np.concatenate([[0], np.cumsum(n)])
                 ends = np.cumsum(per_text)
-                lengths.append(edges[ends] - edges[ends - per_text])
-                flats.append(flat)
-            length = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats) if flats else np.empty(0, np.int32)), mask=text.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
+                offsets = np.concatenate([[0], edges[ends]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=text.slice(first, at - first).is_null())
+                yield pa.RecordBatch.from_arrays([*[c.slice(first, at - first) for c in batch.columns[: len(keep)]], lists], names=schema.names)
+        release_memory()
 
-    return df.select(*keep, F.col(text_col).cast("string").alias("_encoded_text")).mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, pieces: Pieces, *, ids_col: str = "ids", keep: Sequence[str] | None = None, out: str = "decoded") -> DataFrame:
@@ -294,14 +295,18 @@ def decode(df: DataFrame, pieces: Pieces, *, ids_col: str = "ids", keep: Sequenc
         texts, unknown = shared.value
         for batch in batches:
             lists = batch.column(len(keep))
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            flat = np.where((flat >= 0) & (flat < len(texts)), flat, unknown).astype(np.int64)
-            ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-            values, a = [], 0
-            for b, missing in zip(ends.tolist(), lists.is_null().to_pylist()):
-                raw = b"".join(map(texts.__getitem__, flat[a:b].tolist()))
-                values.append(None if missing else raw.removeprefix(b" ").decode("utf-8", "replace"))
-                a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.string())], names=schema.names)
+            for first in range(0, len(lists), 256):
+                part = lists.slice(first, 256)
+                flat = part.flatten().to_numpy(zero_copy_only=False)
+                flat = np.where((flat >= 0) & (flat < len(texts)), flat, unknown).astype(np.int64)
+                ends = np.cumsum(np.nan_to_num(part.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                values, a = [], 0
+                for b, missing in zip(ends.tolist(), part.is_null().to_pylist()):
+                    raw = b"".join(map(texts.__getitem__, flat[a:b].tolist()))
+                    values.append(None if missing else raw.removeprefix(b" ").decode("utf-8", "replace"))
+                    a = b
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(first, 256) for c in batch.columns[:-1]], pa.array(values, pa.string())], names=schema.names)
+        release_memory()
 
     return df.select(*keep, F.col(ids_col).cast("array<int>").alias("_decoded_ids")).mapInArrow(run, schema)

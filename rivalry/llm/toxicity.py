@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivalry.llm.common import utf8_slices
+from rivalry.llm.common import release_memory, utf8_slices, with_text
 from rivalry.session import cut_lineage
 
 # fixed values: plain insults of the lexicon's given part, and second-person words, of the languages at hand
@@ -84,7 +84,7 @@ class _Marks(dict):
     def __missing__(self, word: str) -> int:
         t, (given, second, strong, weak) = terms(word), self.lists
         mark = (word in given) + 2 * any(w in strong for w in t) + 4 * any(w in weak for w in t) + 8 * (word in second)
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = mark
         return mark
@@ -126,8 +126,13 @@ def feature_rows(texts: list[str], kinds: list[np.ndarray], marks: _Marks) -> np
     return out
 
 
-def features(df: DataFrame, lexicon: Lexicon, *, text_col: str, keep: Sequence[str]) -> DataFrame:
-    """``keep`` and ``features`` (array of double, in the order of ``NAMES``)."""
+def features(df: DataFrame, lexicon: Lexicon, *, text_col: str, keep: Sequence[str], text_in_row: bool = False) -> DataFrame:
+    """``keep`` and ``features`` (array of double, in the order of
+    ``NAMES``). ``text_in_row``: the text is a field of the struct ``keep[0]``."""
+    if text_in_row:
+        src, text_of = df.select(*keep), lambda batch: batch.column(0).field(text_col)
+    else:
+        src, text_of = with_text(df, list(keep), text_col)
     shared = df.sparkSession.sparkContext.broadcast((lexicon.given, lexicon.second, lexicon.strong, lexicon.weak))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
     width = len(NAMES)
@@ -135,17 +140,18 @@ def features(df: DataFrame, lexicon: Lexicon, *, text_col: str, keep: Sequence[s
     def run(batches):
         marks = _Marks(*shared.value)
         for batch in batches:
-            text = batch.column(len(keep))
-            parts = []
+            text = text_of(batch)
             for lo, hi, data, offsets in utf8_slices(text):
                 kind = _KIND[data]
                 kinds = [kind[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                parts.append(feature_rows([t or "" for t in text.slice(lo, hi - lo).to_pylist()], kinds, marks))
-            flat = np.concatenate(parts).reshape(-1) if parts else np.empty(0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * width), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
+                flat = feature_rows([t or "" for t in text.slice(lo, hi - lo).to_pylist()], kinds, marks).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * width), pa.array(flat))
+                kept = [c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*kept, lists], names=schema.names)
+        marks.clear()
+        release_memory()
 
-    return df.select(*keep, F.col(text_col).cast("string").alias("_scored_text")).mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def learn_terms(df: DataFrame, *, max_terms: int, weak_z: float = 3.0, strong_z: float = 6.0) -> tuple[frozenset, frozenset]:
@@ -227,21 +233,24 @@ def fit(
     return ToxicityModel(lexicon, model, isotonic)
 
 
-def score(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: Sequence[str] | None = None, threshold: float = 0.7) -> DataFrame:
+def score(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: Sequence[str] | None = None, threshold: float = 0.7, prefix: str = "") -> DataFrame:
     """The columns ``keep`` (all if None) of every row, with ``score`` (0 to
     1) and ``predicted`` (1 if the score reaches ``threshold``, else 0).
 
     A NULL text is scored as an empty one. Repeated rows score alike, an empty
     table gives no rows, texts are read whole, and columns of ``df`` with the
-    names of the added ones are replaced."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
+    names of the added ones are replaced (``prefix`` goes before those)."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (f"{prefix}score", f"{prefix}predicted")]
     if model.trees is None:
-        return df.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return df.select(*keep, F.lit(0.0).alias(f"{prefix}score"), F.lit(0).alias(f"{prefix}predicted"))
     # the kept columns travel as one struct, so that none clashes with the model's own
-    packed = df.select(F.struct(*keep).alias("row"), F.col(text_col).alias("_text"))
-    f = features(packed, model.lexicon, text_col="_text", keep=["row"]).select("row", array_to_vector("features").alias("features"))
+    inside = text_col in keep and df.schema[text_col].dataType == T.StringType()
+    packed = df.select(F.struct(*keep).alias("row"), *([] if inside else [F.col(text_col).cast("string").alias("_text")]))
+    f = features(packed, model.lexicon, text_col=text_col if inside else "_text", keep=["row"], text_in_row=inside)
+    f = f.select("row", array_to_vector("features").alias("features"))
     out = model.trees.transform(f).select("row", F.element_at(vector_to_array("probability"), 2).alias("p"))
     out = model.isotonic.transform(out)
     value = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-    return out.select("row.*", value.alias("value")).select(
-        *keep, F.col("value").alias("score"), (F.col("value") >= threshold).cast("int").alias("predicted"))
+    out = out.select("row", value.alias("value"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("value").alias(f"{prefix}score"),
+                      (F.col("value") >= threshold).cast("int").alias(f"{prefix}predicted"))

@@ -46,10 +46,14 @@ def test_odd_rows_pass(spark, sf_dir):
     odd = spark.createDataFrame(
         [(9001, None, "en", "s", 0), (9002, "", None, None, None), (9003, "1234 !!", "en", "src0", 7), (None, "plain words without an id here", "en", "src1", 5),
          (9004, "the same row twice with words", "en", None, 3), (9004, "the same row twice with words", "en", None, 3)], docs.schema)
-    step = cut_lineage(docs.unionByName(odd))
+    # extra columns with the names that stages use
+    own = {"score": "id-%d", "predicted": "p-%d", "lang_pred": "l-%d", "copies": "c-%d", "size": "s-%d"}
+    step = cut_lineage(docs.unionByName(odd).selectExpr("*", *[f"format_string('{t}', coalesce(doc_id, -1)) AS {c}" for c, t in own.items()]))
     for name, stage in corpus_pipeline.STAGES:
         step = cut_lineage(stage(spark, step, sf_dir))
         ids = [r.doc_id for r in step.select("doc_id").collect()]
+        if name != "sentencepiece":
+            assert all(r[c] == t % (-1 if r.doc_id is None else r.doc_id) for r in step.collect() for c, t in own.items())
         assert not {9001, 9002, 9003} & set(ids)
         if name == "near_dedup":
             assert ids.count(9004) == 1 and None in ids
