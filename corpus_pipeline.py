@@ -21,15 +21,26 @@ from rivalry.session import cut_lineage
 _BROADCAST_IDS = 1_000_000  # eight bytes each
 
 
+def _prefix(docs: DataFrame) -> str:
+    """A beginning that no column of ``docs`` has, for a stage's own columns."""
+    p = "_"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    return p
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: a NULL text or one without a letter goes."""
-    found = langid.identify(docs.withColumn("_text", F.col("text")), language_model(docs), text_col="_text", keep=docs.columns)
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    p = _prefix(docs)
+    found = langid.identify(docs, language_model(docs), prefix=p)
+    return found.filter(F.col(f"{p}lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    return toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).filter("predicted = 0").select(*docs.columns)
+    p = _prefix(docs)
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir), prefix=p)
+    return scored.filter(F.col(f"{p}predicted") == 0).select(*docs.columns)
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -52,8 +63,9 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs, weights=(1, 2, 3), max_copies=3).filter("copies > 0")
-    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    p = _prefix(docs)
+    taken = mixing.mix(docs, weights=(1, 2, 3), max_copies=3, prefix=p).filter(F.col(f"{p}copies") > 0)
+    return taken.withColumn(f"{p}copies", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies")))).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
