@@ -222,6 +222,22 @@ def segment(units: list[bytes], parts: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(unit, minlength=len(units)).astype(np.int64), ids.astype(np.int32)
 
 
+def segment_all(units: list[bytes], parts: tuple, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`segment` over runs of about ``at_once`` bytes, which bounds the
+    working memory of the walk (a longer unit is a run of its own)."""
+    lengths, flat, run, size = [], [], [], 0
+    for unit in units:
+        if run and size + len(unit) > at_once:
+            n, ids = segment(run, parts)
+            lengths.append(n)
+            flat.append(ids)
+            run, size = [], 0
+        run.append(unit)
+        size += len(unit)
+    n, ids = segment(run, parts)
+    return np.concatenate([*lengths, n]), np.concatenate([*flat, ids])
+
+
 def _floor(scores: np.ndarray, value: np.ndarray) -> float:
     return float(scores[value[value >= 0]].min())
 
@@ -257,7 +273,7 @@ def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Seque
     src, text_of = with_text(df, keep, text_col)
 
     def run(batches):
-        store = process_memo("pieces", name, lambda: UnitStore(lambda us: segment([b" " + u for u in us], shared.value), bound=60_000))
+        store = process_memo("pieces", name, lambda: UnitStore(lambda us: segment_all([b" " + u for u in us], shared.value), bound=60_000))
         for batch in batches:
             text = text_of(batch)
             at = 0
