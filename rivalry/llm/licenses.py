@@ -112,6 +112,12 @@ def _minima(s: Column, bands: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), smallest(k)) for k in range(bands)])
 
 
+def _windows(starts: Column, m: int, size: int, anchor: Column) -> Column:
+    """The windows of a group, from the words ``w``, that hold an anchor word."""
+    every = F.transform(starts, lambda at: F.struct(F.lit(m).alias("m"), at.alias("at"), F.slice(F.col("w"), at + 1, size).alias("w")))
+    return F.filter(every, lambda x: F.arrays_overlap(x["w"], anchor))
+
+
 def scan(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES,
     containment: float = 0.8, bands: int = 64,
@@ -132,20 +138,20 @@ def scan(
     some = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(keys) + ")(?![\\p{L}\\p{N}])"
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(some))
     src = src.select("doc_id", _word_list(F.col("text")).alias("w"))
-    found = None
+    anchor = F.array(*map(F.lit, keys))
+    cut, known = [], []
     for m, names in sorted(groups(templates).items()):
         size, step = m + m // 2, m // 2
         assert all(1 - (1 - least_similarity(m, len(words(templates[n])), containment)) ** bands > 0.999 for n in names)
-        known = spark.createDataFrame([(n, sorted(shingles(words(templates[n])))) for n in names], "license string, has array<string>")
-        known = known.withColumn("key", F.explode(_minima(F.col("has"), bands)))
+        known += [(m, n, sorted(shingles(words(templates[n])))) for n in names]
         last = F.greatest(F.size("w") - size + step - 1, F.lit(0))
-        windows = src.select("doc_id", F.size("w").alias("n_words"), "w", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("at"))
-        windows = windows.select("doc_id", "n_words", "at", F.slice("w", F.col("at") + 1, size).alias("w")).filter(
-            F.arrays_overlap("w", F.array(*map(F.lit, keys))))
-        windows = windows.select("doc_id", "n_words", "at", _shingle_list(F.col("w")).alias("s")).filter(F.size("s") > 0)
-        hit = windows.select("*", F.explode(_minima(F.col("s"), bands)).alias("key")).join(F.broadcast(known), "key")
-        share = F.size(F.array_intersect("s", "has")) / F.size("has")
-        hit = hit.select("doc_id", "n_words", "license", "at", share.alias("share")).filter(F.col("share") >= containment)
-        found = hit if found is None else found.union(hit)
+        cut.append(_windows(F.sequence(F.lit(0), last, F.lit(step)), m, size, anchor))
+    # only windows with an anchor leave the row of their text
+    windows = src.select("doc_id", F.size("w").alias("n_words"), F.explode(F.concat(*cut)).alias("x")).select("doc_id", "n_words", "x.*")
+    windows = windows.select("doc_id", "n_words", "m", "at", _shingle_list(F.col("w")).alias("s")).filter(F.size("s") > 0)
+    known = spark.createDataFrame(known, "m int, license string, has array<string>").withColumn("key", F.explode(_minima(F.col("has"), bands)))
+    hit = windows.select("*", F.explode(_minima(F.col("s"), bands)).alias("key")).join(F.broadcast(known), ["m", "key"])
+    share = F.size(F.array_intersect("s", "has")) / F.size("has")
+    found = hit.select("doc_id", "n_words", "license", "at", share.alias("share")).filter(F.col("share") >= containment)
     return found.groupBy("doc_id", "license").agg(
         F.max("share").alias("containment"), F.min("at").cast("long").alias("first_word"), F.max("n_words").cast("long").alias("n_words"))
