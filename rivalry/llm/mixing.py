@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import WORD_SPACE, utf8_slices
+from rivalry.llm.common import WORD_SPACE, release_memory, utf8_slices
 from rivalry.operators.scan import ordered_scan
 from rivalry.session import cut_lineage
 
@@ -51,7 +51,9 @@ def word_count() -> Column:
             follows[offsets[:-1][offsets[:-1] < len(data)]] = False
             total = np.concatenate([[0], np.cumsum(start & ~follows)])
             out.append(total[offsets[1:]] - total[offsets[:-1]])
-        return pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64())
+        counts = pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64())
+        release_memory()
+        return counts
 
     return count
 

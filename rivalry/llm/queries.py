@@ -158,7 +158,7 @@ def piece_table(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids`` and ``round_trip``: whether decoding
     gives the text back (the marker character counts as a space)."""
     pieces = sentencepiece_viterbi.load(public_tokenizer("piece_bpe_32k.model"), ranks=True)
-    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, pieces), pieces)
+    back = sentencepiece_viterbi.encode(docs, pieces, decoded="decoded")
     same = F.col("decoded").eqNullSafe(F.translate("text", sentencepiece_viterbi.MARKER, " "))
     return back.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0))).withColumn("round_trip", same)
 

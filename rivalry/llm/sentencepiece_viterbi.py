@@ -258,16 +258,19 @@ def text_units(text: str) -> list[bytes]:
     return units
 
 
-def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Sequence[str] | None = None, out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Sequence[str] | None = None, out: str = "ids",
+           decoded: str | None = None) -> DataFrame:
     """The columns ``keep`` (all if None) of every row with its piece ids in
-    ``out`` (array of int; a column of that name is replaced).
+    ``out`` (array of int; a column of that name is replaced) and, if
+    ``decoded`` names one, a column with what :func:`decode` makes of them.
 
     NULL gives NULL, an empty text no ids. Every other text, whitespace only
     included, is encoded whole with a space put before it; spaces and the
     marker character are the same. Repeated rows encode alike and an empty
     table gives no rows."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != out]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (out, decoded)]
+    extra = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType())), *extra])
     shared = df.sparkSession.sparkContext.broadcast(pieces.parts())
     name = zlib.crc32(b"\0".join(pieces.texts) + pieces.scores.tobytes())
     src, text_of = with_text(df, keep, text_col)
@@ -291,12 +294,26 @@ def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Seque
                 ends = np.cumsum(per_text)
                 offsets = np.concatenate([[0], edges[ends]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=text.slice(first, at - first).is_null())
-                yield pa.RecordBatch.from_arrays([*[c.slice(first, at - first) for c in batch.columns[: len(keep)]], lists], names=schema.names)
+                back = [_joined(lists, shared.value[0], shared.value[3])] if decoded else []
+                yield pa.RecordBatch.from_arrays([*[c.slice(first, at - first) for c in batch.columns[: len(keep)]], lists, *back], names=schema.names)
         release_memory()
 
     return src.mapInArrow(run, schema)
 
 
+def _joined(lists: pa.Array, texts: list[bytes], unknown: int) -> pa.Array:
+    """The texts of lists of ids."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    flat = np.where((flat >= 0) & (flat < len(texts)), flat, unknown).astype(np.int64)
+    ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    values, a = [], 0
+    for b, missing in zip(ends.tolist(), lists.is_null().to_pylist()):
+        raw = b"".join(map(texts.__getitem__, flat[a:b].tolist()))
+        values.append(None if missing else raw.removeprefix(b" ").decode("utf-8", "replace"))
+        a = b
+    return pa.array(values, pa.string())
+
+
 def decode(df: DataFrame, pieces: Pieces, *, ids_col: str = "ids", keep: Sequence[str] | None = None, out: str = "decoded") -> DataFrame:
     """The columns ``keep`` (all if None) of every row with the text of its
     ids in ``out``: pieces joined, markers as spaces, the space put before the
@@ -312,17 +329,8 @@ def decode(df: DataFrame, pieces: Pieces, *, ids_col: str = "ids", keep: Sequenc
         for batch in batches:
             lists = batch.column(len(keep))
             for first in range(0, len(lists), 256):
-                part = lists.slice(first, 256)
-                flat = part.flatten().to_numpy(zero_copy_only=False)
-                flat = np.where((flat >= 0) & (flat < len(texts)), flat, unknown).astype(np.int64)
-                ends = np.cumsum(np.nan_to_num(part.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-                values, a = [], 0
-                for b, missing in zip(ends.tolist(), part.is_null().to_pylist()):
-                    raw = b"".join(map(texts.__getitem__, flat[a:b].tolist()))
-                    values.append(None if missing else raw.removeprefix(b" ").decode("utf-8", "replace"))
-                    a = b
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(first, 256) for c in batch.columns[:-1]], pa.array(values, pa.string())], names=schema.names)
+                back = _joined(lists.slice(first, 256), texts, unknown)
+                yield pa.RecordBatch.from_arrays([*[c.slice(first, 256) for c in batch.columns[:-1]], back], names=schema.names)
         release_memory()
 
     return df.select(*keep, F.col(ids_col).cast("array<int>").alias("_decoded_ids")).mapInArrow(run, schema)

@@ -70,6 +70,7 @@ def test_against_the_recurrence_and_the_library(spark, pieces, library):
     texts = TEXTS + ["".join(rnd.choices("abcdeth in é漢☃", k=rnd.randint(1, 60))) for _ in range(100)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = sp.decode(sp.encode(df, pieces), pieces).collect()
+    assert [r.decoded for r in sp.encode(df, pieces, decoded="decoded").collect()] == [r.decoded for r in rows]
     for r in rows:
         assert r.decoded == r.text.replace(sp.MARKER, " ")
         if not r.text:
