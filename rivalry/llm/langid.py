@@ -5,8 +5,8 @@ lower-cased letters (with word borders). A document is a mixture: each of its
 n-grams was drawn from one of its languages. Expectation-maximisation finds
 the language proportions of a document from the n-gram likelihoods; the
 language set is the one of the nested candidates (best single language, the
-two largest shares, ...) whose log-likelihood, less a penalty for each
-language, is largest. The prediction is the largest share of that set.
+two largest shares, ... up to all) whose log-likelihood, less a penalty for
+each language, is largest. The prediction is the largest share of that set.
 
 The model is fitted on at most about ``docs_per_language`` labelled documents
 of each of at most ``max_languages`` languages (the most frequent ones); it
@@ -95,11 +95,13 @@ def fit(
     return LanguageModel(languages, log_p.astype(np.float32), buckets)
 
 
-def mixtures(row, gram, n_rows, log_p, *, rounds=6, max_set=3, penalty=0.01, least_share=0.05):
+def mixtures(row, gram, n_rows, log_p, *, rounds=6, penalty=0.01):
     """Shares (n_rows, languages) of the selected language set of each row;
     rows without n-grams get zeros. ``penalty`` is the gain in log-likelihood
     per n-gram (besides half a logarithm of their number) that one more
-    language must bring."""
+    language must bring. Nothing else bounds a set: nested sets are tried up to
+    all languages, and a row leaves the search only when no set of that size
+    or more can win by the bound on its log-likelihood."""
     n_lang = log_p.shape[1]
     buckets = log_p.shape[0]
     out = np.zeros((n_rows, n_lang))
@@ -136,25 +138,32 @@ def mixtures(row, gram, n_rows, log_p, *, rounds=6, max_set=3, penalty=0.01, lea
     best[np.arange(len(starts)), single.argmax(axis=1)] = 1.0
     cost = penalty * size + 0.5 * np.log(size + 1)
     best_value = single.max(axis=1) - cost
+    # no set exceeds this: the log-likelihood is concave in the shares, so the
+    # steepest direction at any shares bounds what is left to gain
+    mix = np.maximum((like * shares[local]).sum(axis=1), 1e-30)
+    slope = np.add.reduceat(like * (n / mix)[:, None], starts, axis=0, dtype=np.float64).max(axis=1) / size
+    most = base + np.add.reduceat(n * np.log(mix), starts, dtype=np.float64) + size * np.log(np.maximum(slope, 1.0))
     order = np.argsort(-shares, axis=1, kind="stable")
-    for k in range(2, min(max_set, n_lang) + 1):
-        # only the texts whose k-th share could matter are fitted again
-        some = np.flatnonzero(np.take_along_axis(shares, order[:, k - 1: k], 1)[:, 0] >= least_share)
+    for k in range(2, n_lang + 1):
+        # only the texts that k or more languages could still win are fitted again
+        some = np.flatnonzero(most - k * cost > best_value)
         if len(some) == 0:
             break
-        chosen = np.zeros((len(some), n_lang), dtype=np.float32)
-        np.put_along_axis(chosen, order[some, :k], 1.0, axis=1)
-        chosen *= shares[some]
         slot = np.full(len(starts), -1)
         slot[some] = np.arange(len(some))
         rows = np.flatnonzero(slot[local] >= 0)
-        part = (like[rows], slot[local[rows]], n[rows])
-        begin = np.searchsorted(part[1], np.arange(len(some)))
-        pi = run(chosen / np.maximum(chosen.sum(axis=1, keepdims=True), 1e-30), rounds, *part, begin, size[some])
-        mix = (part[0] * pi[part[1]]).sum(axis=1)
+        where = slot[local[rows]]
+        langs = order[some, :k]
+        part = (like[rows[:, None], langs[where]], where, n[rows])
+        begin = np.searchsorted(where, np.arange(len(some)))
+        pi = np.take_along_axis(shares[some], langs, 1)
+        pi = run(pi / np.maximum(pi.sum(axis=1, keepdims=True), 1e-30), rounds, *part, begin, size[some])
+        mix = (part[0] * pi[where]).sum(axis=1)
         value = base[some] + np.add.reduceat(part[2] * np.log(np.maximum(mix, 1e-30)), begin, dtype=np.float64) - k * cost[some]
         better = value > best_value[some]
-        best[some[better]], best_value[some[better]] = pi[better], value[better]
+        best[some[better]] = 0.0
+        best[some[better][:, None], langs[better]] = pi[better]
+        best_value[some[better]] = value[better]
     out[present] = best
     return out
 

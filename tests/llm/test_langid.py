@@ -65,3 +65,50 @@ def test_fit_ignores_rows_without_text_or_label(spark):
     assert m.languages == ["aa", "bb", "cc"]
     got = langid.identify(spark.createDataFrame([(A,), (B,)], "text string"), m)
     assert [r.lang_pred for r in got.collect()] == ["aa", "bb"]
+
+
+C, D = "ouhi wexa yoqu hixe wauo ", "mbnd djvk cvgh zzkd bvmg "
+
+
+def shares_of(m, texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    row, g = langid.grams(np.frombuffer(b"".join(raw), np.uint8), offsets, 256)
+    return langid.mixtures(row, g, len(texts), m.log_p)
+
+
+def test_sets_are_bounded_by_the_penalty_alone():
+    m = model_of([A * 40, B * 40, C * 40, D * 40])
+    share = shares_of(m, [A * 10 + B * 10 + C * 10 + D * 10, A * 3900 + B * 100, D * 100, A * 60 + C * 25 + D * 10 + B * 5])
+    assert (share[0] > 0.15).all() and abs(share[0].sum() - 1) < 1e-4
+    assert share[1][0] > 0.9 and 0.01 < share[1][1] < 0.05 and share[1][2:].tolist() == [0, 0]  # 2.5 % of a long text
+    assert share[2].tolist() == [0, 0, 0, 1]
+    assert (share[3] > 0).sum() == 4 and share[3].argmax() == 0
+
+
+def test_no_nested_set_is_better_than_the_selected_one():
+    rng = np.random.default_rng(3)
+    log_p = np.log(rng.dirichlet(np.full(64, 0.2), 5).T + 1e-4).astype(np.float32)
+    rows = [np.concatenate([rng.choice(64, 60 * w, p=np.exp(log_p[:, k]) / np.exp(log_p[:, k]).sum()) for k, w in enumerate(ws)])
+            for ws in rng.integers(0, 9, (40, 5)) + [1, 0, 0, 0, 0]]
+    row, g = np.repeat(np.arange(40), [len(r) for r in rows]), np.concatenate(rows)
+    share = langid.mixtures(row, g, 40, log_p)
+    p = np.exp(log_p.astype(float))
+    for r in range(40):
+        def fit(pi, rounds=6):
+            for _ in range(rounds):
+                joint = p[rows[r]] * pi
+                pi = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+            return pi
+
+        def value(pi):
+            n = len(rows[r])
+            return np.log(p[rows[r]] @ pi).sum() - (pi > 0).sum() * (0.01 * n + 0.5 * np.log(n + 1))
+
+        full = fit(np.full(5, 0.2))
+        order = np.argsort(-full)
+        sets = [np.eye(5)[k] for k in range(5)]
+        for k in range(2, 6):
+            start = np.where(np.isin(np.arange(5), order[:k]), full, 0)
+            sets.append(fit(start / start.sum()))
+        assert value(share[r]) > max(map(value, sets)) - 0.1
