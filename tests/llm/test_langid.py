@@ -112,3 +112,32 @@ def test_no_nested_set_is_better_than_the_selected_one():
             start = np.where(np.isin(np.arange(5), order[:k]), full, 0)
             sets.append(fit(start / start.sum()))
         assert value(share[r]) > max(map(value, sets)) - 0.1
+
+
+def test_blocks_of_texts_and_languages_change_nothing():
+    rng = np.random.default_rng(5)
+    log_p = np.log(rng.dirichlet(np.full(64, 0.2), 9).T + 1e-4).astype(np.float32)
+    row, g = np.sort(rng.integers(0, 30, 5000)), rng.integers(0, 64, 5000)
+    whole = langid.mixtures(row, g, 30, log_p)
+    for cells in (1, 100, 2000):
+        assert np.allclose(langid.mixtures(row, g, 30, log_p, cells=cells), whole, atol=1e-3)
+
+
+def word_of(k):
+    return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}{chr(97 + k % 26)}" for x in "aeiou") + " "
+
+
+def test_every_label_is_learned(spark):
+    rows = [(word_of(k) * 20, f"l{k:03d}") for k in range(300) for _ in range(1 if k else 3)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    m = langid.fit(df)
+    assert m.languages == [f"l{k:03d}" for k in range(300)] and np.isfinite(m.log_p).all()
+    assert all(r.lang_pred == r.lang for r in langid.identify(df, m).collect())
+
+
+def test_copies_of_a_text_count_once(spark):
+    texts = [word_of(k) * 3 for k in range(30)]
+    rows = [(i, A * 5, "aa") for i in range(3000)] + [(i, t, "aa") for i, t in enumerate(texts)] + [(0, B, "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = langid.fit(df.dropDuplicates(["text"]))
+    assert np.array_equal(langid.fit(df, docs_per_language=40).log_p, plain.log_p)
