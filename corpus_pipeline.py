@@ -18,7 +18,7 @@ from rivalry.llm.common import table
 from rivalry.llm.queries import language_model, piece_table, toxicity_model
 from rivalry.session import cut_lineage
 
-_BROADCAST_IDS = 1_000_000  # eight bytes each
+_BROADCAST_IDS = 1_000_000  # sixteen bytes each
 
 
 def _prefix(docs: DataFrame) -> str:
@@ -43,22 +43,26 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col(f"{p}predicted") == 0).select(*docs.columns)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id is in ``ids``: without moving texts as
-    long as the ids are few enough to broadcast."""
-    return docs.join(F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids, "doc_id", "left_anti")
+def _without(docs: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
+    """``docs`` less the rows whose ``key`` is in ``ids``: without moving texts
+    as long as the ids are few enough to broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids, key, "left_anti")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the
-    smallest id; of rows that repeat an id, one."""
-    seen = cut_lineage(minhash.near_duplicates(docs, width=5, similarity=0.8).filter("doc_id is not null").groupBy("doc_id").agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    out = _without(docs, cut_lineage(seen.filter("not kept").select("doc_id")))
-    again = cut_lineage(seen.filter("kept and n > 1").select("doc_id"))
-    if again.isEmpty():
-        return out
-    return _without(out, again).unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    smallest id; of rows that repeat an id and its text, one. Rows that repeat
+    an id with another text are documents of their own."""
+    p = _prefix(docs)
+    key = ["doc_id", f"{p}hash"]
+    seen = cut_lineage(minhash.row_components(docs, width=5, similarity=0.8).filter("doc_id is not null").groupBy(
+        "doc_id", F.col("text_hash").alias(f"{p}hash")).agg(F.max("first").alias(f"{p}first"), F.count(F.lit(1)).alias(f"{p}n")))
+    marked = docs.withColumn(f"{p}hash", F.xxhash64(F.col("text").cast("string")))
+    out = _without(marked, cut_lineage(seen.filter(~F.col(f"{p}first")).select(*key)), key)
+    again = cut_lineage(seen.filter(F.col(f"{p}first") & (F.col(f"{p}n") > 1)).select(*key))
+    if not again.isEmpty():
+        out = _without(out, again, key).unionByName(marked.join(again, key, "left_semi").dropDuplicates(key))
+    return out.select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

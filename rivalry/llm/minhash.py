@@ -143,12 +143,24 @@ def near_duplicates(
     marks it.
 
     A NULL or wordless text has an empty set and links with nothing. Rows that
-    repeat an id share their component; where their texts differ, the first in
-    order stands for the id when links are confirmed. A row with a NULL id counts only
+    repeat an id are documents of their own where their texts differ: each is
+    linked by its own set. A row with a NULL id counts only
     as a copy of a named row with the same set, else it keeps a NULL component
     and ``kept`` false. An empty input gives no rows. Other columns are
     ignored.
     """
+    return row_components(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, bands=bands, rows=rows, bits=bits,
+                          slack=slack, seed=seed).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def row_components(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
+    bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 5.5, seed: int = 1,
+) -> DataFrame:
+    """:func:`near_duplicates` with two more columns: ``text_hash`` (xxhash64
+    of the text) and ``first``, true for the rows with the id and text that
+    stand for their component, or that are alone. A component has one such
+    pair of id and text; rows that repeat it are all marked."""
     if 64 % bits:
         raise ValueError("bits must divide 64")
     perms = bands * rows
@@ -156,7 +168,7 @@ def near_duplicates(
     lanes = 64 // bits
     words = -(-perms // lanes)
     schema = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()),
+        T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()),
         T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType())),
     ])
 
@@ -187,18 +199,20 @@ def near_duplicates(
                     packed[:, k // lanes] |= small[:, k] << np.uint64(bits * (k % lanes))
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n),
+                    batch.column(0).slice(lo, hi - lo).cast(pa.int64()), batch.column(2).slice(lo, hi - lo), pa.array(n),
                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
                     _lists(keys.view(np.int64), empty), _lists(packed.view(np.int64), empty),
                 ], names=schema.names)
         release_memory()
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     feats = cut_lineage(src.mapInArrow(features, schema))
-    # equal sets: one class, named by its smallest id; empty sets stay out
+    # equal sets: one class, named by its smallest id; empty sets stay out. An id may name several classes, so they get numbers
     full = feats.filter("n > 0")
     classes = cut_lineage(full.groupBy("n", "f1", "f2").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).filter("id is not null"))
+        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("own"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).filter(
+        "own is not null").withColumn("id", F.monotonically_increasing_id()))
+    owners = classes.select("id", F.col("own.id").alias("doc"), F.col("own.h").alias("h"))
 
     keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -232,7 +246,7 @@ def near_duplicates(
 
     star = keyed.filter("id != pivot").select(F.col("pivot").alias("id_a"), F.col("id").alias("id_b")).distinct()
     star = star.join(side("a"), "id_a").join(side("b"), "id_b").filter(likely("a", "b")).select("id_a", "id_b")
-    met = compared(star, src, width, similarity)
+    met = compared(star, src, owners, width, similarity)
     links = met.filter("link").select("id_a", "id_b")
     comp = cut_lineage(components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
 
@@ -258,18 +272,23 @@ def near_duplicates(
                         # the first bucket that two members share speaks for the others
                         & ~F.arrays_overlap("earlier_a", "earlier_b"))
     cross = cross.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
-    more = compared(cross, src, width, similarity).filter("link").select("id_a", "id_b")
+    more = compared(cross, src, owners, width, similarity).filter("link").select("id_a", "id_b")
     # the first pass's components are stars already: the new links only join them
     comp = components(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(
         more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
 
-    named = classes.select("n", "f1", "f2", "id").join(comp, "id", "left").select(
-        "n", "f1", "f2", F.coalesce("component_id", "id").alias("component_id"))
-    out = full.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select("id", "n", "component_id")
-    out = out.union(feats.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    comp = cut_lineage(comp)
+    lead = cut_lineage(comp.join(classes.select("id", "own"), "id").groupBy("component_id").agg(F.min("own").alias("lead")))
+    if lead.count() <= 1_000_000:  # 24 bytes a component; a large component stays dealt evenly
+        lead = F.broadcast(lead)
+    named = classes.select("n", "f1", "f2", "id", "own").join(comp, "id", "left").join(lead, "component_id", "left").select(
+        "n", "f1", "f2", F.coalesce("lead", "own").alias("lead"))
+    out = full.select("id", "h", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select("id", "h", "n", "lead")
+    out = out.union(feats.filter("n = 0").select("id", "h", "n", F.when(F.col("id").isNotNull(), F.struct("id", "h")).alias("lead")))
+    kept = F.coalesce(F.col("id") == F.col("lead.id"), F.lit(False))
     return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("lead.id").alias("component_id"), kept.alias("kept"),
+        F.col("h").alias("text_hash"), (kept & (F.col("h") == F.col("lead.h"))).alias("first"))
 
 
 def _lists(matrix: np.ndarray, empty: np.ndarray) -> pa.Array:
@@ -280,10 +299,11 @@ def _lists(matrix: np.ndarray, empty: np.ndarray) -> pa.Array:
         mask=pa.array(empty))
 
 
-def compared(pairs: DataFrame, src: DataFrame, width: int, similarity: float, slice_size: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
+def compared(pairs: DataFrame, src: DataFrame, owners: DataFrame, width: int, similarity: float, slice_size: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
     """The full sets of every pair ``(id_a, id_b)`` compared: ``inter``, their
     intersection's size; ``extra``, how much ``b`` has beyond ``a``; ``mask``,
-    the bitmap of that; ``link``, whether they reach the similarity.
+    the bitmap of that; ``link``, whether they reach the similarity. ``owners``
+    gives the id and text hash ``(id, doc, h)`` whose text in ``src`` a number stands for.
 
     The texts of a pair's ``b`` side travel once per pair and that of ``a``
     once per slice of at most about ``slice_size`` partners, so a document
@@ -292,11 +312,13 @@ def compared(pairs: DataFrame, src: DataFrame, width: int, similarity: float, sl
     fan = pairs.groupBy("id_a").agg(F.ceil(F.count(F.lit(1)) / slice_size).alias("slices"))
     pairs = cut_lineage(pairs.join(fan, "id_a").withColumn("slice", F.pmod(F.xxhash64("id_b"), F.col("slices"))).drop("slices"))
     need = cut_lineage(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct())
-    # eight bytes an id: the texts that no pair needs stay where they are; beyond the bound both sides are shuffled
-    if need.count() <= broadcast_ids:
+    # 24 bytes an id: the texts that no pair needs stay where they are; beyond the bound both sides are shuffled
+    few = need.count() <= broadcast_ids
+    need = cut_lineage(owners.join(need, "id", "left_semi"))
+    if few:
         need = F.broadcast(need)
-    # rows that repeat an id: the first text in order stands for the id
-    texts = cut_lineage(src.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    # one text of the rows that repeat an id and a text
+    texts = cut_lineage(src.select(F.col("id").alias("doc"), "h", "text").join(need, ["doc", "h"]).groupBy("id").agg(F.min("text").alias("text")))
     heads = pairs.select("id_a", "slice").distinct().join(texts, F.col("id_a") == F.col("id")).select(
         "id_a", "slice", F.lit(None).cast("long").alias("id_b"), "text")
     rest = pairs.join(texts, F.col("id_b") == F.col("id")).select("id_a", "slice", "id_b", "text")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+import corpus_pipeline
 from rivalry.llm import minhash, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +104,14 @@ def test_word_hashes_do_not_depend_on_position():
         h, row = minhash.word_hashes(data, offsets)
     assert row.tolist() == [0, 0, 1, 2, 2, 2]
     assert h[1] == h[2] == h[5] and h[0] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_texts_that_share_an_id_are_compared_each(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    rows = [(7, x), (7, y), (8, y + " more"), (9, x + " more"), (3, z), (7, z + " end"), (5, x), (5, x), (11, "q r s t u"), (11, "Q r s t u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=5).collect())
+    assert got == sorted([(7, 96, 5, False), (7, 96, 7, True), (8, 97, 7, False), (9, 97, 5, False), (3, 96, 3, True), (7, 97, 3, False),
+                          (5, 96, 5, True), (5, 96, 5, True), (11, 1, 11, True), (11, 1, 11, True)])
+    left = sorted((r.doc_id, r.text.lower()) for r in corpus_pipeline.unique(spark, df, "").collect())
+    assert left == sorted([(7, y), (3, z), (5, x), (11, "q r s t u")])
