@@ -1,8 +1,11 @@
 """End-to-end jobs on the smallest tables: train, save, reload, score."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from rivalry.operators.drift import preset
 from rivalry.operators.quality import generate_rules, profile
+from rivalry.plans import jobs
 from rivalry.plans.jobs import inference_job, latest_models, report_tables, training_job
 from rivalry.sources import files as SRC
 from rivalry.sources import testdata as td
@@ -33,3 +36,27 @@ def test_train_then_score(spark, sf_dir):
     tables = report_tables(upcoming, spark.read.parquet(res["run_log"]))
     assert tables["upcoming"].count() == len(rows)
     assert tables["result_metrics"].count() == 1
+
+
+def test_drift_arguments_do_not_follow_the_sample_size(spark, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def report(df, **arguments):
+        seen.append(arguments)
+        raise Stop
+
+    monkeypatch.setattr(jobs, "drift_report", report)
+    m = spark.range(1001).selectExpr("id AS match_id", "id % 7 AS fthg", "id % 6 AS ftag", "'H' AS ftr")
+    regimes = []
+    for n in (1000, 1001):
+        few = m.limit(n)
+        both = few.selectExpr("*", "'reference' AS part")
+        regimes.append(preset(both)["regime"])
+        for drift in (None, {"regime": "tests", "binary": ["fthg"]}):
+            with pytest.raises(Stop):
+                training_job(spark, m, out_dir="/nowhere", reference=few, drift=drift)
+    assert regimes == ["tests", "distances"]
+    assert seen == [{"regime": "distances"}, {"regime": "tests", "binary": ["fthg"]}] * 2
