@@ -20,18 +20,21 @@ file. Reading: one file a task, one block at a time.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import file_system
-from rivalry.llm.units import UnitStore, process_memo
+from rivalry.llm.common import file_system, release_memory
+from rivalry.llm.units import process_memo
+from rivalry.llm.wordwise import TRAILING, UnitTable, cut, splice, text_lengths
 from rivalry.session import cut_lineage
 
 MAGIC = b"IDPLANES"
@@ -143,21 +146,17 @@ def read_file(source, size: int) -> Iterator[tuple]:
         start += int(counts[k])
 
 
-def batch_encoder(path: str):
-    """A function from texts to (ids per text, flat ids) under the tokenizers
-    library's file at ``path``, for a byte-level vocabulary whose pre-tokens
-    never reach over a single space after a visible character.
-
-    A text is cut before every space and around every line break, but only
-    where a visible character stands on the other side, as anything else need
-    not be a pre-token border: a text with white space beside a line break is
-    cut at spaces only, one with white space before a space not at all."""
-    import re
-
+def batch_encoder(path: str, *, plain_specials: bool = False, bound: int = 250_000):
+    """A function from a string column to (ids per text, flat ids) under the
+    tokenizers library's file at ``path``, for a byte-level vocabulary whose
+    pre-tokens never reach over a single space after a visible character.
+    With ``plain_specials`` the strings of special tokens are plain text."""
     from tokenizers import Tokenizer
 
     def load():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = plain_specials
         newline = tokenizer.encode("\n", add_special_tokens=False).ids
 
         def encode(texts):
@@ -165,84 +164,64 @@ def batch_encoder(path: str):
             return np.array([len(x) for x in ids], np.int64), np.concatenate(ids) if ids else np.empty(0, np.int32)
 
         def encode_units(units):
-            # a str unit goes with the space before it; a line's first word has none and is kept as bytes
-            words = [" " + u if isinstance(u, str) else u.decode() for u in units]
-            # words without white space are encoded many at a time: the line breaks between them come back as ids
-            plain = [k for k, u in enumerate(words) if len(newline) == 1 and [u] == [u[: u[0] == " "] + w for w in u.split()]]
-            joined = ["\n".join(words[k] for k in plain[a: a + 1000]) for a in range(0, len(plain), 1000)]
-            odd = sorted(set(range(len(units))) - set(plain))
-            lengths = np.zeros(len(units), np.int64)
+            """Words many at a time: the line breaks put between them come back as ids."""
+            words = [k for k, u in enumerate(units) if u[0] != "\n" and len(newline) == 1]
+            joined = ["\n".join([units[k] for k in words[a: a + 1000]]) for a in range(0, len(words), 1000)]
             parts, owner = [], []
             for a, e in enumerate(tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
                 ids = np.array(e.ids, np.int32)
-                word = np.cumsum(ids == newline[0])
                 inner = ids != newline[0]
                 parts.append(ids[inner])
-                owner.append(np.array(plain[a * 1000: a * 1000 + 1000])[word[inner]])
-            n, flat = encode([words[k] for k in odd])
-            parts.append(flat)
-            owner.append(np.repeat(np.array(odd, np.int64), n))
+                owner.append(np.array(words[a * 1000: a * 1000 + 1000])[np.cumsum(~inner)[inner]])
+            for k in sorted(set(range(len(units))) - set(words)):
+                u = units[k]
+                if u[0] != "\n":
+                    ids = encode([u])[1]
+                elif u.endswith(TRAILING):
+                    ids = encode(["a" + u[:-1]])[1][1:]
+                else:
+                    ids = encode(["a" + u + "a"])[1][1:-1]
+                parts.append(ids)
+                owner.append(np.full(len(ids), k))
             owner = np.concatenate(owner)
             order = np.argsort(owner, kind="stable")
-            lengths = np.bincount(owner, minlength=len(units)).astype(np.int64)
-            return lengths, np.concatenate(parts)[order]
-
-        return encode, UnitStore(encode_units)
-
-    encode, store = process_memo("tokenizer", path, load)
-    unsafe = re.compile(r"[\s\x1c-\x1f\x85] ")
-
-    def cut(text: str) -> list | None:
-        units = []
-        for line in text.split("\n"):
-            words = line.split()
-            if not words or " ".join(words) != line:  # white space other than single spaces between words
-                break
-            words[0] = words[0].encode()
-            units += words
-            units.append(b"\n")
-        else:
-            return units[:-1]
-        if text[0] == " " or unsafe.search(text):
-            return None
-        words = text.split(" ")
-        words[0] = words[0].encode()
-        return words
-
-    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        units, per_text, whole = [], np.zeros(len(texts), np.int64), []
-        for k, text in enumerate(texts):
-            words = cut(text) if text else []
-            if words is None:
-                whole.append(k)
-            else:
-                units += words
-                per_text[k] = len(words)
-        n, flat = store.ids(units)
-        edges = np.concatenate([[0], np.cumsum(n)])
-        unit_end = np.cumsum(per_text)
-        lengths = edges[unit_end] - edges[unit_end - per_text]
-        if not whole:
-            return lengths, flat
-        w_len, w_flat = encode([texts[k] for k in whole])
-        w_end = np.cumsum(w_len)
-        text_end, parts, last = np.cumsum(lengths), [], 0
-        for j, k in enumerate(whole):
-            parts += [flat[last: text_end[k]], w_flat[w_end[j] - w_len[j]: w_end[j]]]
-            last = text_end[k]
-            lengths[k] = w_len[j]
-        return lengths, np.concatenate([*parts, flat[last:]])
+            return {"ids": (np.bincount(owner, minlength=len(units)).astype(np.int64), np.concatenate(parts)[order])}
+
+        return encode, UnitTable(encode_units, bound)
+
+    encode, table = process_memo("tokenizer", (path, plain_specials, bound), load)
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        c = cut(texts)
+        rows = table.rows(c.units)[c.codes] if len(c.codes) else c.codes
+        n, flat = table.gather("ids", rows)
+        w_len, w_flat = encode([texts[int(k)].as_py() for k in c.whole])
+        return splice(text_lengths(n, c.per_text), flat, c.whole, w_len, w_flat)
 
     return run
 
 
+def text_runs(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Cut a string column into runs of rows of about ``max_bytes`` (a longer
+    text is a run of its own)."""
+    sizes = pc.binary_length(column.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + max_bytes, side="right"))
+        hi = min(max(hi, lo + 1), len(sizes))
+        yield lo, hi
+        lo = hi
+
+
 def write_token_files(
     df: DataFrame, path: str, *, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text",
     block: int = 1 << 16, plane: str = "byte", level: int = 3,
 ) -> DataFrame:
     """Encode every text with the tokenizers file ``tokenizer`` and write the
     ids, ``end_id`` after each document, to files under ``path`` in ascending
-    id order (NULL ids last, equal ids by text). Returns the manifest
+    id order (NULL ids last, equal ids by the first 200 characters of their
+    texts, then by hash). Returns the manifest
     ``(part, file, bytes, docs, ids)``.
 
     A NULL or empty text has only the end id. Repeated rows are written each.
@@ -251,8 +230,10 @@ def write_token_files(
     if plane not in ("byte", "bit"):
         raise ValueError(f"plane must be byte or bit, not {plane!r}")
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = src.repartitionByRange(*order[:1]).sortWithinPartitions(*order)
+    # dealt by id and text, so rows without an id, or with one id, spread over many files; the sample that finds the
+    # borders holds beginnings of texts only
+    order = [F.col("id").asc_nulls_last(), F.substring("text", 1, 200).asc_nulls_first(), F.xxhash64("text")]
+    dealt = src.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches):
         from pyspark import TaskContext
@@ -268,26 +249,20 @@ def write_token_files(
                 fs.create_dir(folder, recursive=True)
                 sink = fs.open_output_stream(name)
                 writer = PlaneWriter(sink, block=block, plane=plane, level=level)
-            lo = 0
-            while lo < len(ids):  # about two million characters at a time
-                texts, size = [], 0
-                while lo + len(texts) < len(ids) and (size < 2 << 20 or not texts):
-                    texts.append(text[lo + len(texts)].as_py() or "")
-                    size += len(texts[-1])
-                lengths, flat = encode(texts)
-                ends = np.cumsum(lengths)
+            for lo, hi in text_runs(text):
+                lengths, flat = encode(text.slice(lo, hi - lo))
                 if len(end):
-                    flat = np.insert(flat, ends, end[0])
+                    flat = np.insert(flat, np.cumsum(lengths), end[0])
                 writer.add(flat)
                 for k, n in enumerate(lengths.tolist()):
                     writer.document(ids[lo + k], n + len(end))
-                lo += len(texts)
         if writer is not None:
             size = writer.close()
             sink.close()
             yield pa.RecordBatch.from_pylist([{
                 "part": TaskContext.get().partitionId(), "file": name.rsplit("/", 1)[1], "bytes": size,
                 "docs": len(writer.counts), "ids": writer.total}])
+        release_memory()
 
     return cut_lineage(dealt.mapInArrow(write, "part long, file string, bytes long, docs long, ids long"))
 

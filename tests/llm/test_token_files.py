@@ -72,3 +72,32 @@ def test_a_full_store_still_encodes():
     for words in (["ab", "c"], ["ab", "d", "ef", "d"], ["ghi", "ab", "ef"], ["c", "d"]):
         n, flat = store.ids(words)
         assert n.tolist() == [len(w) for w in words] and "".join(map(chr, flat)) == "".join(words)
+
+
+def test_column_cut_against_whole_texts():
+    import pyarrow as pa
+
+    texts = ["", None, "\n", "\n\n", "a\n\nb", "\n\nx y\n\n\nz w\n\n", "a\n", "\na", "x\n\n\n", "a b\n\n\n\nc", "a  b", "a\n\n b", "\tq", "a b", "\n\n\n\nlong", "y\n\nz\n"] * 3
+    rng = np.random.default_rng(5)
+    texts += ["".join(rng.choice(list("ab .\n\n  \t'1é<"), int(rng.integers(0, 40)))) for _ in range(600)]
+    texts += [t.replace("  ", " ").replace(" \n", "\n").replace("\n ", "\n") for t in texts if t]
+    tok = Tokenizer.from_file(PATH)
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for column in (pa.array(texts), pa.array(["skip", *texts]).slice(1)):
+        n, flat = token_files.batch_encoder(PATH, bound=50)(column)
+        assert n.tolist() == [len(w) for w in want]
+        assert flat.tolist() == [x for w in want for x in w]
+
+
+def test_rows_without_id_spread_over_files(spark):
+    rows = [(None, f"text {i} " + "word " * 200) for i in range(3000)] + [(i, f"t{i}") for i in range(1000)]
+    path = scratch_path(spark, "test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        manifest = token_files.write_token_files(df, path, tokenizer=PATH)
+        assert sorted(r.docs for r in manifest.collect())[-1] < 1500 and manifest.count() == 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_token_files(manifest, path).selectExpr("doc_id", "start", "length(ids) div 4", "crc32(ids)").collect()
+    assert sorted((r[2], r[3]) for r in got) == sorted(r[2:] for r in brute(rows))
