@@ -146,7 +146,7 @@ def read_file(source, size: int) -> Iterator[tuple]:
         start += int(counts[k])
 
 
-def batch_encoder(path: str, *, plain_specials: bool = False, bound: int = 250_000):
+def batch_encoder(path: str, *, plain_specials: bool = False, bound: int = 600_000):
     """A function from a string column to (ids per text, flat ids) under the
     tokenizers library's file at ``path``, for a byte-level vocabulary whose
     pre-tokens never reach over a single space after a visible character.
@@ -201,7 +201,7 @@ def batch_encoder(path: str, *, plain_specials: bool = False, bound: int = 250_0
     return run
 
 
-def text_runs(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_runs(column: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Cut a string column into runs of rows of about ``max_bytes`` (a longer
     text is a run of its own)."""
     sizes = pc.binary_length(column.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -220,7 +220,7 @@ def write_token_files(
 ) -> DataFrame:
     """Encode every text with the tokenizers file ``tokenizer`` and write the
     ids, ``end_id`` after each document, to files under ``path`` in ascending
-    id order (NULL ids last, equal ids by the first 200 characters of their
+    id order (NULL ids last, equal ids by the first 64 characters of their
     texts, then by hash). Returns the manifest
     ``(part, file, bytes, docs, ids)``.
 
@@ -232,7 +232,7 @@ def write_token_files(
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # dealt by id and text, so rows without an id, or with one id, spread over many files; the sample that finds the
     # borders holds beginnings of texts only
-    order = [F.col("id").asc_nulls_last(), F.substring("text", 1, 200).asc_nulls_first(), F.xxhash64("text")]
+    order = [F.col("id").asc_nulls_last(), F.substring("text", 1, 64).asc_nulls_first(), F.xxhash64("text")]
     dealt = src.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches):

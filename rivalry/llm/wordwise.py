@@ -103,7 +103,7 @@ def cut(texts: pa.Array, *, first_spaced: bool = False) -> Cut:
     lines = pc.split_pattern(texts, "\n")
     line_words = pc.split_pattern(lines.flatten(), " ")
     coded = line_words.flatten().dictionary_encode()
-    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    word = coded.indices.to_numpy(zero_copy_only=False)
     names = coded.dictionary
     lines_of = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     words_of = line_words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -139,7 +139,8 @@ def cut(texts: pa.Array, *, first_spaced: bool = False) -> Cut:
     # words of the visible lines, then the runs of line breaks between them
     n_words = words_of[full]
     line_start = np.cumsum(n_words) - n_words
-    code = word[np.repeat(first_word[full] - line_start, n_words) + np.arange(int(n_words.sum()))] * 2 + 1
+    every = len(full) == len(words_of)
+    code = (word if every else word[np.repeat(first_word[full] - line_start, n_words) + np.arange(int(n_words.sum()))]) * 2 + 1
     bare = line_start if not first_spaced else line_start[~new_text]
     code[bare] -= 1
     used = np.zeros(2 * len(names), bool)
@@ -147,8 +148,8 @@ def cut(texts: pa.Array, *, first_spaced: bool = False) -> Cut:
     distinct = np.flatnonzero(used)
     named = names.take(pa.array(distinct >> 1))
     units = pc.if_else(pa.array(distinct & 1 == 1), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), named, pa.scalar("", pa.large_string())), named).to_pylist()
-    place = np.zeros(2 * len(names), np.int64)
-    place[distinct] = np.arange(len(distinct))
+    place = np.zeros(2 * len(names), np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
     code = place[code]
 
     extra: dict[str, int] = {}
@@ -163,7 +164,8 @@ def cut(texts: pa.Array, *, first_spaced: bool = False) -> Cut:
     # at a text's border its trailing run comes before the next text's leading run
     tied = np.concatenate([np.ones(len(has), np.int64), np.zeros(len(has_end), np.int64)])
     order = np.lexsort((tied, at))
-    code = np.insert(code, at[order], put[order])
+    if len(at):
+        code = np.insert(code, at[order], put[order])
     per_text = np.bincount(text_of_full, weights=n_words + (gap > 0) + (end_gap > 0), minlength=n_texts).astype(np.int64)
     return Cut(units + list(extra), code, per_text, np.flatnonzero(bad))
 
