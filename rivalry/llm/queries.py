@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import ann_forest, embed_dedup, langid, licenses, minhash, mixing, sentencepiece_viterbi, token_files, toxicity, warc
+from rivalry.llm import ann_forest, conversations, embed_dedup, langid, licenses, minhash, mixing, packing, sentencepiece_viterbi, token_files, toxicity, warc
 from rivalry.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in the documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizer("byte_bpe_50k.json"), end_id=1, length=2048)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The damage that the repair is measured on, by the hash of id and turn."""
+    space = F.lit(" ")
+    kind = F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.filter("kind != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def repaired_conversations(rows: DataFrame) -> DataFrame:
+    return conversations.repair(damaged(rows), every=rows)
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, its faults counted, and repaired."""
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
