@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import ann_forest, conversations, embed_dedup, langid, licenses, minhash, mixing, packing, sentencepiece_viterbi, token_files, toxicity, warc
+from rivalry.llm import ann_forest, conversations, embed_dedup, langid, licenses, minhash, mixing, packing, sentencepiece_viterbi, token_alignment, token_files, toxicity, warc
 from rivalry.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,10 @@ def repaired_conversations(rows: DataFrame) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged, its faults counted, and repaired."""
     return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document, linked pairs counted over all."""
+    return token_alignment.align(
+        table(spark, sf_dir, "documents"), a_path=public_tokenizer("byte_bpe_50k.json"), b_path=public_tokenizer("piece_bpe_32k.model")).documents
