@@ -6,20 +6,23 @@ word, capitals, exclamation and other punctuation, repeated symbols, and
 obfuscation (symbols or digits inside words, and lexicon words that appear
 once those are read as letters).
 
-Learning uses at most about ``sample`` labelled documents, dealt by hash into
-three parts, so that no step is judged on what it was fitted to: term
-statistics, ``GBTClassifier``, ``IsotonicRegression``. Learned terms are words
-and word beginnings whose log-odds of appearing in toxic documents stand out
-(at most ``max_terms``). Scoring is one narrow pass for the features and
+Learning uses at most about ``sample`` labelled documents, all of them in
+every step, but no step is judged on what it was fitted to: term statistics
+are taken ``FOLDS`` times without one fold, whose features then come from the
+others' terms, and two ``GBTClassifier`` fits score each other's half for
+``IsotonicRegression``. Learned terms are words and word beginnings that stand
+out in the sentences of toxic documents (at most ``max_terms``); a sentence
+counts once however many documents repeat it, so copies of a document do not
+make its words stand out. Scoring is one narrow pass for the features and
 Spark's own model transforms.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,7 @@ SECOND_PERSON = tuple("""
 you your yours yourself yourselves u ur ya du dich dir dein deine deiner deinen ihr euch euer eure sie tu te toi ton
 ta tes vous votre vos tú ti tuyo usted ustedes vosotros vuestro
 """.split())
-NAMES = ("log_words", "given", "given_log", "strong", "strong_log", "weak", "weak_log", "near_you", "second_person",
+NAMES = ("given", "given_log", "strong", "strong_log", "weak", "weak_log", "near_you", "second_person",
          "capitals", "all_caps", "exclaim", "punctuation", "repeated", "inner_symbols", "disguised")
 _LEET = str.maketrans("0134578@$!|+€", "oieastbasiite")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -121,7 +124,7 @@ def feature_rows(texts: list[str], kinds: list[np.ndarray], marks: _Marks) -> np
                 plain = x.lower().translate(_LEET).replace("*", "")
                 disguised += bool(marks[plain] & 3) and not marks[x.lower()] & 3
         g, s, w = int(given.sum()), int(strong.sum()), int(weak.sum())
-        out[r] = (np.log1p(len(words)), g / n, np.log1p(g), s / n, np.log1p(s), w / n, np.log1p(w), near / n, len(you) / n,
+        out[r] = (g / n, np.log1p(g), s / n, np.log1p(s), w / n, np.log1p(w), near / n, len(you) / n,
                   count[2] / size, shout / size, count[4] / size, count[5] / size, again / size, inner / n, disguised / n)
     return out
 
@@ -154,39 +157,108 @@ def features(df: DataFrame, lexicon: Lexicon, *, text_col: str, keep: Sequence[s
     return src.mapInArrow(run, schema)
 
 
-def learn_terms(df: DataFrame, *, max_terms: int, weak_z: float = 3.0, strong_z: float = 6.0) -> tuple[frozenset, frozenset]:
-    """Strong and weak terms of labelled texts (``text``, ``y``), by the
-    z-score of their smoothed log-odds ratio of appearing in toxic texts."""
-    sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}  # two rows
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
-        return frozenset(), frozenset()
+FOLDS = 3
+_SLOTS = [f"n{k}" for k in range(2 * FOLDS)]  # 2 * fold + label
+
+
+def _counts_by_slot(rows: DataFrame) -> DataFrame:
+    """``term`` and its number of ``rows(term, slot)`` by slot."""
+    return rows.groupBy("term").agg(*[F.count(F.when(F.col("slot") == k, 1)).alias(c) for k, c in enumerate(_SLOTS)])
+
+
+def _standing_out(a, b, share: float):
+    """Signed root of the likelihood ratio of ``a`` toxic and ``b`` clean
+    places against the usual share of toxic ones; NULL for terms whose odds
+    are less than four times the usual, however many they are."""
+    ratio = a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
+    return F.when((a >= 3) & (a * (1 - share) >= 4 * share * (b + 0.5)), F.sqrt(F.greatest(2 * ratio, F.lit(0.0))))
+
+
+def learn_terms(df: DataFrame, *, max_terms: int, weak_z: float = 4.0, strong_z: float = 6.0) -> list[tuple[frozenset, frozenset]]:
+    """Strong and weak terms of labelled texts (``text``, ``y``, ``fold``):
+    without each fold in turn, then of all.
+
+    Candidates stand out by the number of distinct sentences that hold them.
+    They are then judged by the number of distinct words and neighbours they
+    occur with, so that near copies of a document count once, too. A sentence
+    or place that a clean document holds is clean."""
+    sentence = F.explode(F.split("text", r"[.!?\n]+")).alias("s")
+    lines = df.select(sentence, "y", "fold").withColumn("s", F.lower(F.trim("s"))).filter("s != ''").groupBy(F.xxhash64("s")).agg(
+        F.first("s").alias("s"), F.min("y").alias("y"), F.min("fold").alias("fold")).select("s", F.expr("2 * fold + y").alias("slot"))
+    slots = 2 * FOLDS
 
     def count(batches):
-        seen = (Counter(), Counter())
+        seen, sizes = {}, [0] * slots
+        for batch in batches:
+            for text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sizes[k] += 1
+                for t in {t for w in set(_TOKEN.findall(text)) if len(w) < 40 for t in terms(w)}:
+                    n = seen.get(t)
+                    if n is None:
+                        n = seen[t] = [0] * slots
+                    n[k] += 1
+                if len(seen) > 200_000:
+                    yield counted(seen)
+                    seen = {}
+        seen[""] = sizes  # the sentences themselves
+        yield counted(seen)
+        release_memory()
+
+    def counted(seen):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([n[k] for n in seen.values()], pa.int64()) for k in range(slots)]],
+                                          names=["term", *names])
+
+    names = list(_SLOTS)
+    stats = lines.mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+
+    def label(y, folds=range(FOLDS)):
+        return sum(F.col(_SLOTS[2 * k + y]) for k in folds).cast("double")
+
+    stats = cut_lineage(stats.filter((F.col("term") == "") | (label(1) >= 3)))
+    sizes = stats.filter("term = ''").first()
+    toxic, clean = (sum(sizes[_SLOTS[2 * k + y]] if sizes else 0 for k in range(FOLDS)) for y in (1, 0))
+    if not toxic or not clean:
+        return [(frozenset(), frozenset())] * (FOLDS + 1)
+    share = toxic / (toxic + clean)
+    # a bounded number of terms reaches the driver, and the executors as a broadcast
+    z = _standing_out(label(1), label(0), share)
+    top = stats.filter("term != ''").select("term", z.alias("z")).filter(F.col("z") >= weak_z).orderBy(F.desc("z"), "term").limit(4 * max_terms)
+    candidates = df.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in top.collect()))
+
+    def places(batches):
+        wanted, known = candidates.value, {}
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[y].update({t for w in set(_TOKEN.findall((text or "").lower())) if len(w) < 40 for t in terms(w)})
-                if len(seen[0]) + len(seen[1]) > 500_000:
-                    yield _counted(seen)
-                    seen = (Counter(), Counter())
-        yield _counted(seen)
-
-    stats = df.select("text", "y").mapInArrow(count, "term string, a long, b long").groupBy("term").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a >= 3")
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (toxic - F.col("a") + 0.5)) - F.log(b / (clean - F.col("b") + 0.5))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    # at most max_terms rows reach the driver
-    top = stats.select("term", z.alias("z")).filter(F.col("z") >= weak_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    return (frozenset(r["term"] for r in top if r["z"] >= strong_z), frozenset(r["term"] for r in top if r["z"] < strong_z))
-
-
-def _counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
-    names = list(seen[0].keys() | seen[1].keys())
-    return pa.RecordBatch.from_arrays([
-        pa.array(names, pa.string()), pa.array([seen[1][t] for t in names], pa.int64()), pa.array([seen[0][t] for t in names], pa.int64())],
-        names=["term", "a", "b"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out = set()
+                for text, slot in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = ["", *_TOKEN.findall((text or "").lower()), ""]
+                    for k in range(1, len(words) - 1):
+                        found = known.get(words[k])
+                        if found is None:
+                            if len(known) > 100_000:
+                                known.clear()
+                            found = known[words[k]] = [t for t in terms(words[k]) if t in wanted]
+                        if found:
+                            place = " ".join(words[k - 1: k + 2])
+                            out.update((t, place, slot) for t in found)
+                if out:
+                    a, b, c = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int64())], names=["term", "place", "slot"])
+        release_memory()
+
+    found = df.select("text", F.expr("2 * fold + y").cast("long").alias("slot")).mapInArrow(places, "term string, place string, slot long")
+    # a place that a clean document holds is clean, in the fold where it is first found
+    found = found.groupBy("term", F.xxhash64("place").alias("place")).agg(F.min(F.col("slot") % 2).alias("y"), F.min(F.expr("slot div 2")).alias("fold"))
+    stats = cut_lineage(_counts_by_slot(found.select("term", F.expr("2 * fold + y").alias("slot"))))
+    out = []
+    for left_out in [*range(FOLDS), None]:
+        folds = [k for k in range(FOLDS) if k != left_out]
+        z = _standing_out(label(1, folds), label(0, folds), share)
+        top = stats.select("term", z.alias("z")).filter(F.col("z") >= weak_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
+        out.append((frozenset(r["term"] for r in top if r["z"] >= strong_z), frozenset(r["term"] for r in top if r["z"] < strong_z)))
+    candidates.destroy()
+    return out
 
 
 @dataclass
@@ -210,27 +282,32 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
     y = y.filter(draw < share)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(20))
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2 * FOLDS))
     # the sampled labels are at most about ``sample`` rows of two numbers
-    train = cut_lineage(text.join(F.broadcast(y), "id").select("id", "text", "y", part.alias("part")))
-    strong, weak = learn_terms(train.filter("part < 9"), max_terms=max_terms)
-    lexicon = Lexicon(strong=strong, weak=weak)
-    rest = cut_lineage(features(train.filter("part >= 9"), lexicon, text_col="text", keep=["y", "part"]).coalesce(8)).select(
-        F.col("y").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))
-    grow, even = rest.filter("part < 16").coalesce(4).cache(), rest.filter("part >= 16").coalesce(4)
-    classes = [r["label"] for r in grow.select("label").distinct().collect()]
-    if len(classes) < 2:
-        grow.unpersist()
-        return ToxicityModel(lexicon)
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, minInstancesPerNode=5,
-                          seed=seed, cacheNodeIds=False).fit(grow)
-    p = F.element_at(vector_to_array("probability"), 2)
-    # with few labels the calibration part alone would be a handful of rows: weigh the other part in lightly
-    scored = model.transform(even).select(p.alias("p"), "label", F.lit(1.0).alias("w")).union(
-        model.transform(grow).select(p.alias("p"), "label", F.lit(0.1).alias("w")))
-    isotonic = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w", predictionCol="score").fit(scored)
-    grow.unpersist()
-    return ToxicityModel(lexicon, model, isotonic)
+    train = cut_lineage(text.join(F.broadcast(y), "id").select("id", "text", "y", (part % FOLDS).alias("fold"), part.alias("part")))
+    lexicons = [Lexicon(strong=strong, weak=weak) for strong, weak in learn_terms(train, max_terms=max_terms)]
+    rows = [features(train.filter(F.col("fold") == k).coalesce(8), lexicons[k], text_col="text", keep=["y", "part"]) for k in range(FOLDS)]
+    rows = cut_lineage(reduce(DataFrame.unionByName, rows)).select(
+        F.col("y").cast("double").alias("label"), (F.col("part") >= FOLDS).alias("half"), array_to_vector("features").alias("features"))
+    rows = rows.coalesce(4).cache()
+    # two rows at most per half
+    if rows.select("half", "label").distinct().count() < 4:
+        rows.unpersist()
+        return ToxicityModel(lexicons[-1]) if rows.select("label").distinct().count() < 2 else _small(rows, lexicons[-1], trees, depth, seed)
+    boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, minInstancesPerNode=5, seed=seed, cacheNodeIds=False)
+    p = F.element_at(vector_to_array("probability"), 2).alias("p")
+    crossed = [boosted.fit(rows.filter(F.col("half") == h)).transform(rows.filter(F.col("half") != h)).select(p, "label") for h in (True, False)]
+    isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(crossed[0].union(crossed[1]))
+    model = boosted.fit(rows)
+    rows.unpersist()
+    return ToxicityModel(lexicons[-1], model, isotonic)
+
+
+def _small(rows: DataFrame, lexicon: Lexicon, trees: int, depth: int, seed: int) -> ToxicityModel:
+    """With so few labels that a half lacks a class: one fit, calibrated on itself."""
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, cacheNodeIds=False).fit(rows)
+    scored = model.transform(rows).select(F.element_at(vector_to_array("probability"), 2).alias("p"), "label")
+    return ToxicityModel(lexicon, model, IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(scored))
 
 
 def score(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: Sequence[str] | None = None, threshold: float = 0.7, prefix: str = "") -> DataFrame:
@@ -250,7 +327,8 @@ def score(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep:
     f = f.select("row", array_to_vector("features").alias("features"))
     out = model.trees.transform(f).select("row", F.element_at(vector_to_array("probability"), 2).alias("p"))
     out = model.isotonic.transform(out)
-    value = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
+    # the steps of the calibration keep a hundredth of the trees' order
+    value = F.least(F.greatest(0.99 * F.col("score") + 0.01 * F.col("p"), F.lit(0.0)), F.lit(1.0))
     out = out.select("row", value.alias("value"))
     return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("value").alias(f"{prefix}score"),
                       (F.col("value") >= threshold).cast("int").alias(f"{prefix}predicted"))
