@@ -7,12 +7,17 @@
 3. In every band bucket, each member meets the bucket's smallest id, its
    pivot. The full sets give the exact intersection with the pivot and a
    bitmap of what the member has beyond it.
-4. Members still in another component than their pivot meet the others of the
-   bucket, but only where a link is possible: what two members share within
-   the pivot is at most the smaller of their intersections with it, and beyond
-   it at most what their bitmaps allow. Variants of one text, each changed in
-   places of its own, drop out here without ever becoming a pair.
-5. Before any full sets are compared, the sizes must allow the similarity, and
+4. Members still in another component than their pivot meet a few deputies
+   of one of their buckets, drawn by hash: variants of one text, of which each
+   pair may or may not reach the similarity, grow together here.
+5. What is left in several components is dealt in tiles of two blocks of at
+   most ``_BLOCK`` members of a bucket. In a tile, a pair stays only where a
+   link is possible: what two members share within the pivot is at most the
+   smaller of their intersections with it, and beyond it at most what their
+   bitmaps allow. If few pairs stay they are compared one by one; if many do,
+   the tile's sets become rows of a 0/1 matrix whose product gives all
+   intersections at once, and only a spanning set of links leaves the task.
+6. Before any full sets are compared, the sizes must allow the similarity, and
    the b-bit estimate, corrected for chance agreement, must not be far below it
    (``slack`` standard errors).
 
@@ -111,6 +116,9 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * _BASE + np.uint64(seed)) | np.uint64(1)
 
 
+_BLOCK = 256  # members of a bucket on one side of a tile
+_FEW = 4  # pairs per member up to which a tile's pairs are compared one by one
+_DEPUTIES = 8
 _MASK = 16  # 64-bit words of the bitmap of a member's shingles beyond its pivot
 
 
@@ -250,34 +258,53 @@ def row_components(
     links = met.filter("link").select("id_a", "id_b")
     comp = cut_lineage(components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
 
-    # members of a bucket that did not join its pivot meet all others of the bucket
-    member = keyed.join(comp.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    lead = comp.select(F.col("id").alias("pivot"), F.col("component_id").alias("lead"))
-    member = cut_lineage(member.join(lead, "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot")))
-    mixed = member.filter("comp != lead").select("key").distinct()
+    # members of a bucket that did not join its pivot meet deputies of the bucket, the same ones wherever a bucket has them
+    def members_now(comp):
+        """All members with their component and their pivot's, and the buckets that hold several components."""
+        member = keyed.join(comp.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        lead = comp.select(F.col("id").alias("pivot"), F.col("component_id").alias("lead"))
+        member = member.join(lead, "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot"))
+        several = member.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several").select("key")
+        return cut_lineage(member.join(several, "key"))
+
+    def joined(comp, more):
+        # components are stars already: the new links only join them
+        return cut_lineage(components(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(
+            more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))))
+
+    member = members_now(comp)
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "comp")).alias(f"d{k}") for k in range(_DEPUTIES)]
+    deputies = member.groupBy("key").agg(*drawn).select("key", F.array_distinct(F.array(*[F.struct(f"d{k}.id", f"d{k}.comp") for k in range(_DEPUTIES)])).alias("d"))
+    strays = member.filter("comp != lead").groupBy("id").agg(F.min_by("key", F.xxhash64("key")).alias("key"), F.first("comp").alias("comp"))
+    second = strays.join(deputies, "key").select("id", "comp", F.explode("d").alias("d")).filter("comp != d.comp").select(
+        F.least("id", "d.id").alias("id_a"), F.greatest("id", "d.id").alias("id_b")).distinct()
+    second = second.join(side("a"), "id_a").join(side("b"), "id_b").filter(likely("a", "b")).select("id_a", "id_b")
+    comp = joined(comp, compared(second, src, owners, width, similarity).filter("link"))
+
+    # what is left: tiles of two blocks of a bucket
+    member = members_now(comp)
     to_pivot = met.select(F.col("id_a").alias("pivot"), F.col("id_b").alias("id"), "inter", "extra", "mask")
     is_pivot = F.col("id") == F.col("pivot")
-    body = member.join(mixed, "key").join(to_pivot, ["pivot", "id"], "left").join(classes.select("id", "n", "sig", "bands"), "id").select(
-        "key", "id", "comp", "n", "sig", (F.col("comp") != F.col("lead")).alias("stray"), F.slice("bands", F.lit(1), F.col("band")).alias("earlier"),
+    blocks = member.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
+    body = member.join(blocks, "key").join(to_pivot, ["pivot", "id"], "left").join(sig, "id").select(
+        "key", "id", "comp", "n", "sig", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
         F.when(is_pivot, F.col("n")).otherwise(F.col("inter")).alias("inter"),
         F.when(is_pivot, F.lit(0)).otherwise(F.col("extra")).alias("extra"),
         F.when(is_pivot, F.array(*[F.lit(0).cast("long")] * _MASK)).otherwise(F.col("mask")).alias("mask"))
-    body = cut_lineage(body.withColumn("hidden", F.col("extra") - sum(F.bit_count(F.col("mask")[k]) for k in range(_MASK))))
-    a_side, b_side = side("a", body.filter("stray").drop("stray", "extra")), side("b", body.drop("extra"))
-    beyond = F.least("hidden_a", "hidden_b") + sum(F.bit_count(F.col("mask_a")[k].bitwiseAND(F.col("mask_b")[k])) for k in range(_MASK))
-    most = F.least("inter_a", "inter_b") + beyond
-    possible = most * F.lit(10_000) >= (F.col("n_a") + F.col("n_b") - most) * F.lit(round(similarity * 10_000))
-    cross = a_side.join(b_side, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & likely("a", "b")
-                        & F.coalesce(possible, F.lit(True)) & (~F.col("stray_b") | (F.col("id_a") < F.col("id_b")))
-                        # the first bucket that two members share speaks for the others
-                        & ~F.arrays_overlap("earlier_a", "earlier_b"))
-    cross = cross.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = body.select("*", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    tiles = dealt.select("key", "low", "high", "block", "id", "comp", "n", "inter", "extra", F.col("sig"), F.col("mask")).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    tiles = cut_lineage(tiles.mapInArrow(_tile_pairs(bits, perms, math.floor(least), round(similarity * 10_000)), "key long, low int, high int, id_a long, id_b long"))
+    cross = tiles.filter("id_b is not null").select("id_a", "id_b").distinct()
     more = compared(cross, src, owners, width, similarity).filter("link").select("id_a", "id_b")
-    # the first pass's components are stars already: the new links only join them
-    comp = components(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(
-        more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
+    dense = tiles.filter("id_b is null").select("key", "low", "high", F.col("id_a").alias("id")).join(comp, "id", "left").select(
+        "key", "low", "high", "id", F.coalesce("component_id", "id").alias("comp"))
+    texts = src.select(F.col("id").alias("doc"), "h", "text").join(
+        cut_lineage(owners.join(dense.select("id").distinct(), "id", "left_semi")), ["doc", "h"]).groupBy("id").agg(F.min("text").alias("text"))
+    flow = dense.join(texts, "id").select("key", "low", "high", "id", "comp", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    more = more.union(flow.mapInArrow(_tile_links(width, round(similarity * 10_000)), "id_a long, id_b long"))
+    comp = joined(comp, more)
 
-    comp = cut_lineage(comp)
     lead = cut_lineage(comp.join(classes.select("id", "own"), "id").groupBy("component_id").agg(F.min("own").alias("lead")))
     if lead.count() <= 1_000_000:  # 24 bytes a component; a large component stays dealt evenly
         lead = F.broadcast(lead)
@@ -309,8 +336,10 @@ def compared(pairs: DataFrame, src: DataFrame, owners: DataFrame, width: int, si
     once per slice of at most about ``slice_size`` partners, so a document
     with very many partners is spread over many tasks."""
     pairs = cut_lineage(pairs)
-    fan = pairs.groupBy("id_a").agg(F.ceil(F.count(F.lit(1)) / slice_size).alias("slices"))
-    pairs = cut_lineage(pairs.join(fan, "id_a").withColumn("slice", F.pmod(F.xxhash64("id_b"), F.col("slices"))).drop("slices"))
+    fan = cut_lineage(pairs.groupBy("id_a").agg(F.ceil(F.count(F.lit(1)) / slice_size).alias("slices")).filter("slices > 1"))
+    # one row for every slice_size pairs at most: without moving the pairs of a hot id as long as they are few
+    fan = F.broadcast(fan) if fan.count() <= broadcast_ids else fan
+    pairs = cut_lineage(pairs.join(fan, "id_a", "left").withColumn("slice", F.pmod(F.xxhash64("id_b"), F.coalesce("slices", F.lit(1)))).drop("slices"))
     need = cut_lineage(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct())
     # 24 bytes an id: the texts that no pair needs stay where they are; beyond the bound both sides are shuffled
     few = need.count() <= broadcast_ids
@@ -352,3 +381,123 @@ def compared(pairs: DataFrame, src: DataFrame, owners: DataFrame, width: int, si
         release_memory()
 
     return cut_lineage(flow.mapInArrow(check, "id_a long, id_b long, inter long, extra long, mask array<long>, link boolean"))
+
+
+def _grouped(batches, n_keys: int):
+    """(key columns' values, the rows) of every run of equal keys of sorted batches."""
+    now, parts = None, []
+    for batch in batches:
+        keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:n_keys]], axis=1)
+        edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])).tolist()
+        for lo, hi in zip(edges, [*edges[1:], len(keys)]):
+            here = tuple(keys[lo].tolist())
+            if now is not None and here != now:
+                yield now, pa.Table.from_batches(parts).combine_chunks()
+                parts = []
+            now = here
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield now, pa.Table.from_batches(parts).combine_chunks()
+
+
+def _flat(column, width: int) -> np.ndarray:
+    """A column of lists as a matrix, zeros for NULL."""
+    rows = [np.zeros(width, np.int64) if x is None else np.array(x, np.int64) for x in column.to_pylist()]
+    return np.stack(rows) if rows else np.zeros((0, width), np.int64)
+
+
+def _tile_pairs(bits: int, perms: int, least: int, need_10k: int):
+    """For every tile the pairs of different components that may be linked,
+    or, where these are many, its members that have any (``id_b`` NULL)."""
+    lanes = 64 // bits
+    words = -(-perms // lanes)
+    one = np.uint64(sum(1 << (bits * k) for k in range(lanes)))
+
+    def run(batches):
+        for (key, low, high), t in _grouped(batches, 3):
+            block, ids, comp, n = (t.column(c).to_numpy().astype(np.int64) for c in ("block", "id", "comp", "n"))
+            known = np.array([x is not None for x in t.column("inter").to_pylist()])
+            inter = np.array([x or 0 for x in t.column("inter").to_pylist()], np.int64)
+            extra = np.array([x or 0 for x in t.column("extra").to_pylist()], np.int64)
+            sig, mask = _flat(t.column("sig"), words).view(np.uint64), _flat(t.column("mask"), _MASK).view(np.uint64)
+            hidden = extra - np.bitwise_count(mask).sum(axis=1)
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            found_a, found_b = [], []
+            for i in left.tolist():
+                j = right[(right > i) if low == high else slice(None)]
+                j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 10_000 >= np.maximum(n[j], n[i]) * need_10k)]
+                d = sig[j] ^ sig[i]
+                folded = d.copy()
+                for k in range(1, bits):
+                    folded |= d >> np.uint64(k)
+                agree = perms - np.bitwise_count(folded & one).sum(axis=1)
+                j = j[agree >= least]
+                most = np.minimum(inter[j], inter[i]) + np.minimum(hidden[j], hidden[i]) + np.bitwise_count(mask[j] & mask[i]).sum(axis=1)
+                j = j[(most * 10_000 >= (n[j] + n[i] - most) * need_10k) | ~(known[j] & known[i])]
+                found_a.append(np.full(len(j), i))
+                found_b.append(j)
+            if not found_a:
+                continue
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            if len(a) > _FEW * t.num_rows:
+                a, b = np.union1d(a, b), None
+            lows, highs = (ids[a], None) if b is None else (np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]))
+            m = len(a)
+            if m:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, key)), pa.array(np.full(m, low, np.int32)), pa.array(np.full(m, high, np.int32)), pa.array(lows),
+                     pa.nulls(m, pa.int64()) if highs is None else pa.array(highs)], names=["key", "low", "high", "id_a", "id_b"])
+
+    return run
+
+
+def intersections(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets, as products of
+    0/1 matrices over some of the values at a time."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1  # the others are in no intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[code]
+    owner, code = owner[keep], place[code[keep]]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(shared.sum()), columns):
+        here = (code >= lo) & (code < lo + columns)
+        m = np.zeros((len(sets), columns), np.float32)
+        m[owner[here], code[here] - lo] = 1
+        out += (m @ m.T).astype(np.int64)  # below 2^24, exact
+    return out
+
+
+def _tile_links(width: int, need_10k: int):
+    """A spanning set of the links between different components of every tile."""
+    def run(batches):
+        np.seterr(over="ignore")
+        for _, t in _grouped(batches, 3):
+            sets = []
+            for _, _, data, offsets in utf8_slices(t.column("text")):
+                sets += shingle_sets(data, offsets, width)
+            inter = intersections(sets)
+            n = np.array([len(x) for x in sets])
+            a, b = np.nonzero(np.triu(10_000 * inter >= need_10k * (n[:, None] + n[None, :] - inter), 1))
+            ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
+            root = {c: c for c in comp.tolist()}
+
+            def top(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            found = []
+            for x, y in zip(a.tolist(), b.tolist()):
+                p, q = top(int(comp[x])), top(int(comp[y]))
+                if p != q:
+                    root[p] = q
+                    found.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+            if found:
+                one, two = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["id_a", "id_b"])
+        release_memory()
+
+    return run

@@ -115,3 +115,41 @@ def test_texts_that_share_an_id_are_compared_each(spark):
                           (5, 96, 5, True), (5, 96, 5, True), (11, 1, 11, True), (11, 1, 11, True)])
     left = sorted((r.doc_id, r.text.lower()) for r in corpus_pipeline.unique(spark, df, "").collect())
     assert left == sorted([(7, y), (3, z), (5, x), (11, "q r s t u")])
+
+
+def variants(seed, groups, members, changed, length=120):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    rows, k = [], 0
+    for _ in range(groups):
+        base = rnd.choices(words, k=length)
+        for _ in range(members):
+            w = list(base)
+            for p in rnd.sample(range(length), changed):
+                w[p] = rnd.choice(words)
+            rows.append((k, " ".join(w)))
+            k += 1
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_tiles_of_groups_in_which_few_pairs_are_linked(spark, monkeypatch):
+    """Variants that mostly lie just below the similarity stay in many
+    components: whole tiles of them, in several blocks, one by one or as matrices."""
+    rows = variants(3, 3, 60, 4) + [(1000 + i, t) for i, t in variants(4, 2, 60, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    assert len({c for _, _, c in want}) > 20
+    for block, few in ((256, 0), (16, 0), (16, 10**6)):
+        monkeypatch.setattr(minhash, "_BLOCK", block)
+        monkeypatch.setattr(minhash, "_FEW", few)
+        assert rows_of(minhash.near_duplicates(df, width=4)) == want
+
+
+def test_intersections():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, int(rng.integers(0, 80)))).astype(np.uint64) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = minhash.intersections(sets, columns=32)
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (got[off] == np.array(want)[off]).all()
