@@ -42,7 +42,7 @@ def file_system(uri: str):
 
 
 # ------------------------------------------------------------ byte kernels
-def utf8_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def utf8_slices(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``max_bytes``.
 
     Yields ``(first_row, last_row, bytes, offsets)`` with the UTF-8 bytes of

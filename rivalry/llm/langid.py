@@ -62,6 +62,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarr
     return owner[:-3][ok], hashed.astype(np.int64)
 
 
+_SLICE = 1 << 17  # bytes of text at once: the kernels hold some hundred times as many
 _BLOCK = 256  # languages whose counts reach the driver at once
 
 
@@ -94,7 +95,7 @@ def fit(
         total = {}
         for batch in batches:
             lang = np.array([index[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
-            for lo, hi, data, offsets in utf8_slices(batch.column(0)):
+            for lo, hi, data, offsets in utf8_slices(batch.column(0), _SLICE):
                 row, g = grams(data, offsets, buckets)
                 known, slot = np.unique(lang[lo:hi], return_inverse=True)
                 for at in range(0, len(known), 64):
@@ -251,7 +252,7 @@ def identify(df: DataFrame, model: LanguageModel, *, text_col: str = "text", kee
         step = max(1, _CELLS // max(1, len(languages)))  # texts
         for batch in batches:
             text = text_of(batch)
-            for lo, hi, data, offsets in utf8_slices(text):
+            for lo, hi, data, offsets in utf8_slices(text, _SLICE):
                 pred, value, names, parts = [], [], [], []
                 ascii_letters = np.add.reduceat(
                     np.append((_LETTER[data] != 32) & (data < 128), False), offsets[:-1]) * (np.diff(offsets) > 0)

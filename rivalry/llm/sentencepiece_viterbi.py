@@ -8,7 +8,7 @@ bytes is a double array: child ``base[s] + byte + 1`` of state ``s`` exists if
 at once, then fills the best score of every position, word ends last, again
 for all words at once; a character without a piece costs the lowest score less
 ten and becomes its byte pieces. As no piece reaches over the start of a word,
-a text is the sequence of its words, and each process segments a word once
+a text is the sequence of its words, and each task segments a word once
 (a bounded store keeps them).
 
 Scoring one row needs only its own text: encoding and decoding are narrow
@@ -17,7 +17,6 @@ passes; the trie (about a megabyte) is broadcast.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivalry.llm.common import release_memory, with_text
-from rivalry.llm.units import UnitStore, process_memo
+from rivalry.llm.units import UnitStore
 
 MARKER = "▁"
 
@@ -272,11 +271,11 @@ def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Seque
     extra = [T.StructField(decoded, T.StringType())] if decoded else []
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType())), *extra])
     shared = df.sparkSession.sparkContext.broadcast(pieces.parts())
-    name = zlib.crc32(b"\0".join(pieces.texts) + pieces.scores.tobytes())
     src, text_of = with_text(df, keep, text_col)
 
     def run(batches):
-        store = process_memo("pieces", name, lambda: UnitStore(lambda us: segment_all([b" " + u for u in us], shared.value), bound=60_000))
+        # one store per task: an idle worker keeps nothing for other stages to pay for
+        store = UnitStore(lambda us: segment_all([b" " + u for u in us], shared.value), bound=60_000)
         for batch in batches:
             text = text_of(batch)
             at = 0
@@ -296,6 +295,7 @@ def encode(df: DataFrame, pieces: Pieces, *, text_col: str = "text", keep: Seque
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=text.slice(first, at - first).is_null())
                 back = [_joined(lists, shared.value[0], shared.value[3])] if decoded else []
                 yield pa.RecordBatch.from_arrays([*[c.slice(first, at - first) for c in batch.columns[: len(keep)]], lists, *back], names=schema.names)
+        del store
         release_memory()
 
     return src.mapInArrow(run, schema)

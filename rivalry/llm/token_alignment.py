@@ -251,7 +251,7 @@ def highest(pairs: np.ndarray, counts: np.ndarray, n_a: int) -> np.ndarray:
 
 def align(
     df: DataFrame, *, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", digits: int = 256, fan_in: int = 128,
-    run_records: int = 2_000_000, with_groups: bool = False,
+    run_records: int = 1_000_000, with_groups: bool = False,
 ) -> Alignment:
     """Align the tokens of every text under two tokenizers.
 
@@ -273,7 +273,7 @@ def align(
 
     def load():
         both = Tokenizers(a_path, b_path)
-        return both, UnitTable(both.units, 200_000)
+        return both, UnitTable(both.units, 120_000)
 
     def batch_of(n: int, columns: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in out], schema=out)
@@ -297,7 +297,7 @@ def align(
         both, table = process_memo("two tokenizers", (a_path, b_path), load)
         run = _Run(digits, both.n_a)
         for batch in batches:
-            for lo, hi in text_runs(batch.column(1), 2 << 20):
+            for lo, hi in text_runs(batch.column(1), 1 << 20):
                 n = hi - lo
                 text = batch.column(1).slice(lo, n)
                 c = cut(text, first_spaced=True)

@@ -146,7 +146,7 @@ def read_file(source, size: int) -> Iterator[tuple]:
         start += int(counts[k])
 
 
-def batch_encoder(path: str, *, plain_specials: bool = False, bound: int = 600_000):
+def batch_encoder(path: str, *, plain_specials: bool = False, bound: int = 400_000):
     """A function from a string column to (ids per text, flat ids) under the
     tokenizers library's file at ``path``, for a byte-level vocabulary whose
     pre-tokens never reach over a single space after a visible character.
