@@ -106,6 +106,27 @@ def _size_mark(edges: DataFrame) -> tuple[int, int]:
     return r["n"], r["h"]
 
 
+_FEW_EDGES = 50_000
+
+
+def _union_find(batches):
+    root: dict[int, int] = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = top(a), top(b)
+            root[max(p, q)] = min(p, q)
+    ids = list(root)
+    for lo in range(0, len(ids), 10_000):
+        part = ids[lo: lo + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], names=["id", "component_id"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row ``(id, component_id)``
     per linked id, the component named by its smallest id.
@@ -115,12 +136,15 @@ def components(links: DataFrame) -> DataFrame:
     smallest id after a logarithmic number of rounds. Every step is a
     ``min`` with map-side combine and an equi-join; no component is ever
     gathered in one task, and hot ids are split by AQE's skew join. Each
-    round is written to the shared folder. Self links and repeated links are
-    ignored; an empty input gives an empty result."""
+    round is written to the shared folder. At most ``_FEW_EDGES`` links are
+    joined in one task instead. Self links and repeated links are ignored; an
+    empty input gives an empty result."""
     edges = cut_lineage(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     )
     mark = _size_mark(edges)
+    if mark[0] <= _FEW_EDGES:  # less than a megabyte: one task is done before another round could be planned
+        return edges.coalesce(1).mapInArrow(_union_find, "id long, component_id long")
     while mark[0]:
         # large star: the larger neighbours of u meet u's smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -286,14 +286,14 @@ def row_components(
     to_pivot = met.select(F.col("id_a").alias("pivot"), F.col("id_b").alias("id"), "inter", "extra", "mask")
     is_pivot = F.col("id") == F.col("pivot")
     blocks = member.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
-    body = member.join(blocks, "key").join(to_pivot, ["pivot", "id"], "left").join(sig, "id").select(
-        "key", "id", "comp", "n", "sig", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+    body = member.join(blocks, "key").join(to_pivot, ["pivot", "id"], "left").join(classes.select("id", "n", "sig", "bands"), "id").select(
+        "key", "id", "comp", "n", "sig", "blocks", F.slice("bands", F.lit(1), F.col("band")).alias("earlier"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
         F.when(is_pivot, F.col("n")).otherwise(F.col("inter")).alias("inter"),
         F.when(is_pivot, F.lit(0)).otherwise(F.col("extra")).alias("extra"),
         F.when(is_pivot, F.array(*[F.lit(0).cast("long")] * _MASK)).otherwise(F.col("mask")).alias("mask"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = body.select("*", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    tiles = dealt.select("key", "low", "high", "block", "id", "comp", "n", "inter", "extra", F.col("sig"), F.col("mask")).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    tiles = dealt.select("key", "low", "high", "block", "id", "comp", "n", "inter", "extra", "sig", "mask", "earlier").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     tiles = cut_lineage(tiles.mapInArrow(_tile_pairs(bits, perms, math.floor(least), round(similarity * 10_000)), "key long, low int, high int, id_a long, id_b long"))
     cross = tiles.filter("id_b is not null").select("id_a", "id_b").distinct()
     more = compared(cross, src, owners, width, similarity).filter("link").select("id_a", "id_b")
@@ -421,11 +421,13 @@ def _tile_pairs(bits: int, perms: int, least: int, need_10k: int):
             extra = np.array([x or 0 for x in t.column("extra").to_pylist()], np.int64)
             sig, mask = _flat(t.column("sig"), words).view(np.uint64), _flat(t.column("mask"), _MASK).view(np.uint64)
             hidden = extra - np.bitwise_count(mask).sum(axis=1)
+            earlier = np.array(t.column("earlier").to_pylist(), np.int64).reshape(len(ids), -1)
             left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
             found_a, found_b = [], []
             for i in left.tolist():
                 j = right[(right > i) if low == high else slice(None)]
                 j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 10_000 >= np.maximum(n[j], n[i]) * need_10k)]
+                j = j[~(earlier[j] == earlier[i]).any(axis=1)]  # the first bucket that two members share speaks for the others
                 d = sig[j] ^ sig[i]
                 folded = d.copy()
                 for k in range(1, bits):
