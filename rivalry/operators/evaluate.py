@@ -65,15 +65,15 @@ def regression_metrics(df: DataFrame, *, actual: str, predicted: str, exact_medi
     err = F.abs(F.col(actual) - F.col(predicted))
     stats = df.agg(
         F.sum((F.col(actual) - F.col(predicted)) ** 2).alias("ss_res"),
-        F.sum(F.col(actual) ** 2).alias("sy2"), F.sum(actual).alias("sy"), F.count(F.lit(1)).alias("n"),
+        # centred: the difference of two sums of squares has no digits left for values far from zero
+        (F.var_pop(actual) * F.count(actual)).alias("ss_tot"),
         F.avg(err).alias("mean_ae"),
         *([] if exact_median_ae else [F.percentile_approx(err, 0.5, 10000).cast("double").alias("median_ae")]),
     )
     if exact_median_ae:
         stats = stats.select("*", exact_median(df, err).select(F.col("median").alias("m")).scalar().alias("median_ae"))
-    ss_tot = F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n")
     return stats.select(
-        F.when(ss_tot > 0, 1 - F.col("ss_res") / ss_tot).otherwise(F.lit(None).cast("double")).alias("r2"),
+        F.when(F.col("ss_tot") > 0, 1 - F.col("ss_res") / F.col("ss_tot")).otherwise(F.lit(None).cast("double")).alias("r2"),
         "median_ae", "mean_ae",
     )
 

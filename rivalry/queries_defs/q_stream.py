@@ -1,6 +1,6 @@
-"""ST1 query: refresh one season of the results table from landed files, an old
-and a corrected one, in one batch and in one batch per file. Both tables must
-equal the batch refresh (U3) with the corrected file."""
+"""ST1 query: refresh one season of the results table from two deliveries of
+four files each, an old and a corrected one, in one batch and in one batch per file. Both tables must
+equal the batch refresh (U3) with the corrected delivery."""
 
 from __future__ import annotations
 
@@ -24,10 +24,10 @@ def st1(spark, sf):
     # the table before the refresh: the refreshed season is stale (goals zeroed)
     stale = m.withColumn("fthg", F.when(F.col("season") == REFRESH_SEASON, F.lit(0)).otherwise(F.col("fthg")))
     fresh = m.filter(F.col("season") == REFRESH_SEASON).select(*cols)
-    # landed files, the older with wrong results and fewer matches, then the corrected one (a file is one season)
+    # two deliveries of several files, the older with wrong results and fewer matches, then the corrected one
     old = fresh.filter(F.col("match_id") % 3 != 0).withColumn("ftag", F.col("ftag") + 1)
-    old.coalesce(1).write.option("header", True).csv(f"{base}/landing/a")
-    fresh.coalesce(1).write.option("header", True).csv(f"{base}/landing/b")
+    old.repartition(4).write.option("header", True).csv(f"{base}/landing/a")
+    fresh.repartition(4).write.option("header", True).csv(f"{base}/landing/b")
     out = None
     for arrival, most in (("together", None), ("one by one", 1)):
         table = f"{base}/{arrival.replace(' ', '_')}"
