@@ -1,5 +1,5 @@
 """ST1 query: refresh one season of the results table from two deliveries of
-four files each, an old and a corrected one, in one batch and in one batch per file. Both tables must
+two files each, an old and a corrected one, in one batch and in one batch per file. Both tables must
 equal the batch refresh (U3) with the corrected delivery."""
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ def st1(spark, sf):
     fresh = m.filter(F.col("season") == REFRESH_SEASON).select(*cols)
     # two deliveries of several files, the older with wrong results and fewer matches, then the corrected one
     old = fresh.filter(F.col("match_id") % 3 != 0).withColumn("ftag", F.col("ftag") + 1)
-    old.repartition(4).write.option("header", True).csv(f"{base}/landing/a")
-    fresh.repartition(4).write.option("header", True).csv(f"{base}/landing/b")
+    old.repartition(2).write.option("header", True).csv(f"{base}/landing/a")
+    fresh.repartition(2).write.option("header", True).csv(f"{base}/landing/b")
     out = None
     for arrival, most in (("together", None), ("one by one", 1)):
         table = f"{base}/{arrival.replace(' ', '_')}"
