@@ -42,7 +42,7 @@ def src1(spark, sf):
         F.col("fthg").alias("FTHG"), F.col("ftag").alias("FTAG"), F.col("ftr").alias("FTR"), code.alias("code"),
     )
     b = raw.filter(odd).select(
-        F.col("match_id").alias("Id"), F.col("ftr").alias("FTR"), F.lit("René").alias("Referee"),
+        F.col("match_id").alias("Id"), F.col("ftr").alias("FTR"), F.lit('René,\n"the whistle"').alias("Referee"),
         F.col("ftag").alias("FTAG"), F.col("fthg").alias("FTHG"), F.col("away_team").alias("AwayTeam"),
         F.col("home_team").alias("HomeTeam"), F.col("date_text").alias("Date"), code.alias("code"),
     )
@@ -61,6 +61,36 @@ def src1(spark, sf):
     )
 
 
+@query(
+    "src1_bad_records",
+    with_views(
+        """
+select season, problem, record from (
+  select season, case match_id % 7 when 0 then 'surplus cells' when 1 then 'missing cells' else '' end as problem,
+    case match_id % 7 when 0 then concat_ws(',', date_text, home_team, away_team, ftr, 'x') else concat_ws(',', date_text, home_team) end as record
+  from raw_matches where right(season, 2) not in ('98'))
+where problem <> ''
+union all select distinct season, 'no Date column', 'Day,HomeTeam,AwayTeam,FTR' from raw_matches where right(season, 2) = '98'""",
+        "raw_matches",
+    ),
+)
+def src1_bad(spark, sf):
+    """What the season scan leaves out: records that do not fit their header,
+    and files without the marker column, found by one pass over the files."""
+    raw = td.raw_matches(spark, sf).withColumn("code", F.concat(F.substring("season", 3, 2), F.substring("season", 6, 2)))
+    header = F.when(F.col("code").endswith("98"), "Day,HomeTeam,AwayTeam,FTR").otherwise("Date,HomeTeam,AwayTeam,FTR")
+    line = F.when(F.col("match_id") % 7 == 0, F.concat_ws(",", "date_text", "home_team", "away_team", "ftr", F.lit("x"))).when(
+        F.col("match_id") % 7 == 1, F.concat_ws(",", "date_text", "home_team")).otherwise(F.concat_ws(",", "date_text", "home_team", "away_team", "ftr"))
+    base = SRC.scratch_dir(spark, "seasons")
+    lines = raw.select("code", F.lit(1).alias("at"), line.alias("value")).unionByName(
+        raw.select("code", F.lit(0).alias("at"), header.alias("value")).distinct())
+    lines.repartition("code").sortWithinPartitions("code", "at").select("code", "value").write.partitionBy("code").text(base)
+    files = SRC.HeaderedFiles(spark, f"{base}/*/*.txt")
+    bad = files.bad_records(marker="Date").unionByName(files.skipped("Date").select(
+        "file", F.lit("no Date column").alias("problem"), F.col("first_line").alias("record")))
+    return bad.select(SRC.season_from_path(F.col("file"), r"code=(\d{4})").alias("season"), "problem", "record")
+
+
 @query(
     "src2_season_calendar",
     """select cast(y as bigint) as start_year,

@@ -1,21 +1,24 @@
 """Scans and sinks (SRC1-SRC9).
 
-Files with different header layouts are read by name: every line is read as
-text with its file path, one pass finds each file's first line and whether it
-decodes, and the cells of the other lines are named by their own file's
-header (a table of one row per file; AQE broadcasts it when it is small).
+Files with different header layouts are read by name: one pass over their
+lines finds each file's header, whether it decodes and whether a record of it
+can span lines; Spark's CSV source then reads the files of each layout.
 """
 
 from __future__ import annotations
 
+import urllib.parse
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivalry.session import cut_lineage, ensure_checkpoint_dir
+from rivalry.session import ensure_checkpoint_dir
 
 # split on commas outside double quotes
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -47,64 +50,122 @@ def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
     they are, so other encodings than UTF-8 are decoded here."""
     meta = F.col("_metadata")
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    value = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
+    value = F.col("value") if _is_utf8(encoding) else F.decode(F.col("value").cast("binary"), encoding)
     lines = lines.select(value.alias("value"), meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"))
     return lines.filter(F.length(F.trim("value")) > 0)
 
 
-def _layouts(lines: DataFrame, fallback: str | None) -> DataFrame:
-    """Per file its first line and header, and whether it is not valid UTF-8
-    (its header is then decoded as ``fallback``). The first block of a file is
-    read in order by one task, so the smallest running number there is the
-    first line."""
-    at = F.when(F.col("_block") == 0, F.monotonically_increasing_id())
-    per_file = lines.select("_file", "value", at.alias("_at")).groupBy("_file").agg(
-        F.min_by("value", "_at").alias("_first"), F.max(~F.is_valid_utf8("value")).alias("_broken"))
-    text = _decoded(F.col("_first"), fallback)
-    return cut_lineage(per_file.select("_file", text.alias("_first"), "_broken", F.transform(
-        F.split(F.regexp_replace(text, "^\ufeff", ""), _CSV_SPLIT), _unquote).alias("_header")))
-
-
-def _decoded(value: Column, fallback: str | None) -> Column:
-    return value if fallback is None else F.when(F.col("_broken"), F.decode(value.cast("binary"), fallback)).otherwise(value)
-
-
-def read_by_header(spark: SparkSession, paths, *, encoding: str = "UTF-8", fallback: str | None = "ISO-8859-1") -> DataFrame:
-    """Rows of delimited files whose headers may differ: ``_file``,
-    ``_header`` (array) and ``_rec`` (map from the file's own header names to
-    its cells). The header of a file is its first line; later lines equal to
-    it are dropped. Files in which a line is not valid UTF-8 are decoded as
-    ``fallback``. Cells beyond a file's header have no name and are not in the
-    map; of equal header names the first counts."""
-    lines = _lines(spark, paths, encoding)
-    layouts = _layouts(lines, fallback)
-    # data lines: Spark's CSV parser (linear, quote aware), as wide as the widest header
-    width = layouts.agg(F.max(F.size("_header"))).first()[0] or 1
-    parsed = F.from_csv(F.col("value"), ", ".join(f"c{i} string" for i in range(width)), {"escape": '"', "mode": "PERMISSIVE"})
-    # one row per file
-    data = lines.join(layouts, "_file").withColumn("value", _decoded(F.col("value"), fallback)).filter(F.col("value") != F.col("_first"))
-    cells = F.array(*[F.col(f"_p.c{i}") for i in range(width)])
-    return data.select("_file", "_header", parsed.alias("_p")).select(
-        "_file", "_header", F.map_from_entries(F.filter(
-            F.zip_with("_header", F.slice(cells, 1, F.size("_header")), lambda n, c: F.struct(n.alias("name"), c.alias("cell"))),
-            lambda e, k: F.array_position("_header", e["name"]) == k + 1)).alias("_rec"))
-
-
-def _cell(name: str) -> Column:
-    v = F.col("_rec").getItem(name)
-    return F.when(v != "", v)
+def _is_utf8(encoding: str) -> bool:
+    return encoding.upper() in ("UTF-8", "UTF8")
+
+
+class Layout(NamedTuple):
+    """Files with the same header and encoding. ``open_quotes``: one of their
+    lines has an odd number of quotes, so a record may go on in the next line."""
+
+    first_line: str
+    header: tuple[str, ...]
+    encoding: str
+    open_quotes: bool
+    files: tuple[str, ...]
+
+
+class HeaderedFiles:
+    """Delimited files whose headers may differ, grouped by layout.
+
+    One pass over the lines finds each file's header (its first line that is
+    not blank; it must not span lines), whether the file decodes as
+    ``encoding``, and whether a record of it can span lines: only a line with
+    an odd number of quotes can begin such a record. Every layout is then read
+    by Spark's CSV source. Files without such a line are split as any other;
+    the rest are read one file to a task, so that quoted line breaks are kept.
+    The driver holds one path per file, as it does for any file source.
+
+    Files in which a line is not valid UTF-8 are decoded as ``fallback``
+    (None: never). Of equal header names the first counts.
+    """
+
+    def __init__(self, spark: SparkSession, paths, *, encoding: str = "UTF-8", fallback: str | None = "ISO-8859-1"):
+        self.spark = spark
+        at = F.when(F.col("_block") == 0, F.monotonically_increasing_id())
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+        # the first block of a file is read in order by one task, so the smallest running number there is the first line
+        per_file = _lines(spark, paths, encoding).select("_file", "value", at.alias("_at")).groupBy("_file").agg(
+            F.min_by("value", "_at").alias("first"), F.max(~F.is_valid_utf8("value")).alias("broken"),
+            F.max(quotes % 2 == 1).alias("open_quotes"))
+        first = F.when(F.col("broken"), F.decode(F.col("first").cast("binary"), fallback)).otherwise(F.col("first")) if fallback else F.col("first")
+        first = F.regexp_replace(first, "^\ufeff", "")
+        header = F.transform(F.split(first, _CSV_SPLIT), _unquote)
+        layouts = per_file.select(first.alias("first"), header.alias("header"), "broken", "open_quotes", "_file").groupBy(
+            "first", "header", "broken", "open_quotes").agg(F.sort_array(F.collect_list("_file")).alias("files"))
+        self.layouts = sorted(
+            Layout(r.first, tuple(r.header), fallback if fallback and r.broken else encoding, r.open_quotes, tuple(r.files)) for r in layouts.collect())
+
+    def _read(self, layout: Layout, *, bad: bool = False) -> DataFrame:
+        """The layout's records, cells named c0, c1, ...; with ``bad`` also
+        ``_bad``, the text of a record with another number of cells."""
+        schema = ", ".join([*(f"c{i} string" for i in range(len(layout.header))), *(["_bad string"] if bad else [])])
+        # cells that a pruned scan leaves out cannot be counted
+        return self.spark.read.schema(schema).option("columnPruning", not bad).csv(
+            # file_path is a URI
+            [urllib.parse.unquote(f) for f in layout.files], header=True, escape='"', encoding=layout.encoding, multiLine=layout.open_quotes,
+            mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+
+    def rows(self, columns: Sequence[str], *, marker: str | None = None) -> DataFrame:
+        """``_file`` and ``columns``, taken by name as text (empty: NULL; NULL
+        where a file has no such column), of all records of the files whose
+        header has the ``marker`` column (None: all files). Cells beyond the
+        header are left out, missing ones are NULL: :meth:`bad_records` lists
+        both. Records that repeat the header in all of ``columns`` are dropped."""
+        parts = []
+        for layout in self.layouts:
+            if marker is None or marker in layout.header:
+                place = {c: F.col(f"c{layout.header.index(c)}") for c in columns if c in layout.header}
+                data = self._read(layout)
+                if place:
+                    data = data.filter(~F.coalesce(reduce(and_, [v == c for c, v in place.items()]), F.lit(False)))
+                parts.append(data.select(F.col("_metadata.file_path").alias("_file"), *[
+                    F.nullif(place[c], F.lit("")).alias(c) if c in place else F.lit(None).cast("string").alias(c) for c in columns]))
+        if not parts:
+            return self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in ["_file", *columns]))
+        return reduce(DataFrame.union, parts)
+
+    def skipped(self, marker: str) -> DataFrame:
+        """``file, first_line`` of the files whose header lacks ``marker``."""
+        rows = [(f, x.first_line) for x in self.layouts if marker not in x.header for f in x.files]
+        return self.spark.createDataFrame(rows, "file string, first_line string")
+
+    def bad_records(self, *, marker: str | None = None) -> DataFrame:
+        """``file, problem, record`` of the records with more cells than their
+        header (``surplus cells``) or fewer (``missing cells``), of the files
+        :meth:`rows` reads with this ``marker``."""
+        parts = []
+        for layout in self.layouts:
+            if marker is None or marker in layout.header:
+                # a record with a last cell has no cell missing; that cell may be empty
+                surplus = F.col(f"c{len(layout.header) - 1}").isNotNull() | (F.size(F.split(F.col("_bad"), _CSV_SPLIT)) > len(layout.header))
+                parts.append(self._read(layout, bad=True).filter(F.length(F.trim("_bad")) > 0).select(
+                    F.col("_metadata.file_path").alias("file"), F.when(surplus, "surplus cells").otherwise("missing cells").alias("problem"),
+                    F.col("_bad").alias("record")))
+        if not parts:
+            return self.spark.createDataFrame([], "file string, problem string, record string")
+        return reduce(DataFrame.union, parts)
+
+
+def _opened(spark: SparkSession, paths, **options) -> HeaderedFiles:
+    return paths if isinstance(paths, HeaderedFiles) else HeaderedFiles(spark, paths, **options)
 
 
 def skipped_files(spark: SparkSession, paths, *, marker: str, encoding: str = "UTF-8") -> DataFrame:
     """SRC1's error table: files whose header lacks the ``marker`` column,
-    with their first line."""
-    found = _layouts(_lines(spark, paths, encoding), "ISO-8859-1")
-    return found.filter(~F.array_contains("_header", marker)).select(F.col("_file").alias("file"), F.col("_first").alias("first_line"))
+    with their first line. ``paths`` may be the :class:`HeaderedFiles` that
+    the scan uses; the files are then looked through once."""
+    return _opened(spark, paths, encoding=encoding).skipped(marker)
 
 
 def scan_seasons(
     spark: SparkSession,
-    paths: Sequence[str] | str,
+    paths: HeaderedFiles | Sequence[str] | str,
     *,
     required: Sequence[str],
     marker: str | None = None,
@@ -117,15 +178,16 @@ def scan_seasons(
     as ``encoding`` or else ``fallback``), tag each row with the season coded
     in its path, keep ``required`` columns (by name) and drop rows with any
     NULL. Files without the ``marker`` column in their header contribute no
-    rows; :func:`skipped_files` lists them.
+    rows; :func:`skipped_files` lists them, and
+    :meth:`HeaderedFiles.bad_records` the records that do not fit their header.
 
     ``required`` may include ``season_col``; it is taken from the path. A
-    record must not span lines.
+    quoted cell may hold line breaks.
     """
-    marker = marker or next(c for c in required if c != season_col)
-    data = read_by_header(spark, paths, encoding=encoding, fallback=fallback).filter(F.array_contains("_header", marker))
+    cells = [c for c in required if c != season_col]
+    data = _opened(spark, paths, encoding=encoding, fallback=fallback).rows(cells, marker=marker or cells[0])
     return data.select(*[
-        season_from_path(F.col("_file"), season_pattern).alias(c) if c == season_col else _cell(c).alias(c) for c in required
+        season_from_path(F.col("_file"), season_pattern).alias(c) if c == season_col else F.col(c) for c in required
     ]).na.drop("any")
 
 
@@ -145,8 +207,8 @@ def scan_encoded(spark: SparkSession, paths, *, columns: Sequence[str], fallback
     ``fallback``; keep ``columns`` by name, whatever each file's order.
     ``schema`` ('name type, ...') casts them (else text)."""
     types = dict(f.strip().split(None, 1) for f in schema.split(",")) if schema else {}
-    data = read_by_header(spark, paths, fallback=fallback)
-    return data.select(*[_cell(c).cast(types.get(c, "string")).alias(c) for c in columns])
+    data = _opened(spark, paths, fallback=fallback).rows(columns)
+    return data.select(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in columns])
 
 
 FIXTURE_COLUMNS = (
@@ -166,13 +228,13 @@ def scan_fixtures(
     away_team. ``season_pattern`` adds ``season`` from the file's path (its
     first group). The emptiness probe stops at the first matching row."""
     def unplayed(p: str) -> DataFrame:
-        data = read_by_header(spark, p)
+        files = HeaderedFiles(spark, p)
         if schema:
             names = dict(f.strip().split(None, 1) for f in schema.split(","))
         else:
-            first = data.select("_header").first()
-            names = {c: "string" for c in (first[0] if first else ["result"])}
-        cells = {c: _cell(c).cast(t) for c, t in names.items()}
+            names = dict.fromkeys(min(files.layouts, key=lambda x: x.files).header if files.layouts else ["result"], "string")
+        data = files.rows(list(names))
+        cells = {c: F.col(c).cast(t) for c, t in names.items()}
         for c in ("home_team", "away_team"):
             if aliases and c in cells:
                 cells[c] = F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[cells[c]], cells[c])

@@ -355,3 +355,33 @@ def test_layouts_encodings_and_skipped_files(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("1995-96", "1/1/95", "Köln", "HomeTeam"), ("1996-97", "2/2/96", "Brest", "Åbo")]
     skipped = SRC.skipped_files(spark, paths, marker="Date").collect()
     assert [(r.file.split("/")[-2], r.first_line) for r in skipped] == [("9798", "nothing,here")]
+
+
+def test_records_over_two_lines_and_bad_records(spark, tmp_path):
+    for code in ("9596", "9697", "9798"):
+        (tmp_path / code).mkdir()
+    (tmp_path / "9596" / "E 0.csv").write_text(
+        'Date,HomeTeam,Note,Date\n\n1/1/95,Ajax,"two\nlines, ""so""",x\n2/1/95,Brest,,y\nDate,HomeTeam,Note,Date\n3/1/95,Celtic\n4/1/95,Derby,a,b,c\n')
+    (tmp_path / "9697" / "E 0.csv").write_bytes("Date,HomeTeam\n5/1/96,Köln\n6/1/96\n7/1/96,Lille,\n".encode("latin-1"))
+    (tmp_path / "9798" / "E 0.csv").write_text("nothing\n1\n")
+    files = SRC.HeaderedFiles(spark, f"{tmp_path}/*/E 0.csv")
+    assert [(x.open_quotes, x.encoding) for x in files.layouts if "Date" in x.header] == [(False, "ISO-8859-1"), (True, "UTF-8")]
+    got = SRC.scan_seasons(spark, files, required=["season", "Date", "HomeTeam"]).collect()
+    assert sorted(map(tuple, got)) == [("1995-96", "1/1/95", "Ajax"), ("1995-96", "2/1/95", "Brest"), ("1995-96", "3/1/95", "Celtic"),
+                                       ("1995-96", "4/1/95", "Derby"), ("1996-97", "5/1/96", "Köln"), ("1996-97", "7/1/96", "Lille")]
+    notes = SRC.scan_encoded(spark, files, columns=["HomeTeam", "Note"]).collect()
+    assert {r.HomeTeam: r.Note for r in notes if r.HomeTeam} == {
+        "Ajax": 'two\nlines, "so"', "Brest": None, "Celtic": None, "Derby": "a", "Köln": None, "Lille": None}
+    bad = files.bad_records(marker="Date").collect()
+    assert sorted((r.problem, r.record.strip()) for r in bad) == [
+        ("missing cells", "3/1/95,Celtic"), ("missing cells", "6/1/96"), ("surplus cells", "4/1/95,Derby,a,b,c"), ("surplus cells", "7/1/96,Lille,")]
+    assert [r.first_line for r in SRC.skipped_files(spark, files, marker="Date").collect()] == ["nothing"]
+
+
+def test_scan_of_one_line_records_is_pruned_and_split(spark, tmp_path):
+    (tmp_path / "9596").mkdir()
+    (tmp_path / "9596" / "E0.csv").write_text("Date,HomeTeam,Note\n1/1/95,Ajax,x\n")
+    got = SRC.scan_seasons(spark, f"{tmp_path}/*/E0.csv", required=["season", "HomeTeam"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c1:string>" in plan
+    assert not SRC.HeaderedFiles(spark, f"{tmp_path}/*/E0.csv").layouts[0].open_quotes
