@@ -5,18 +5,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import LinearRegressionModel
+from pyspark.ml.regression import GeneralizedLinearRegressionModel, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.operators.ordering import rank_average, top3_per_row
 
 
-def linear_attribution(df: DataFrame, model: LinearRegressionModel, features: Sequence[str], *,
+def linear_attribution(df: DataFrame, model: LinearRegressionModel | GeneralizedLinearRegressionModel, features: Sequence[str], *,
                        row: str) -> DataFrame:
     """XP1: per row and feature, coef * (x - mean(x)); exact additive
-    attributions for a linear model (they sum to prediction - mean
-    prediction). Means are one aggregate; the long table is an explode."""
+    attributions. For a linear model they sum to prediction - mean
+    prediction; for a generalised linear one, on the scale of its link, to
+    link(prediction) - :func:`attribution_base` (a multiplicative effect under
+    a log link). Means are one aggregate; the long table is an explode."""
     coefs = list(model.coefficients.toArray())
     means = df.agg(*[F.avg(c).alias(c) for c in features]).first()
     parts = [
@@ -27,6 +29,13 @@ def linear_attribution(df: DataFrame, model: LinearRegressionModel, features: Se
     return df.select(F.col(row).alias("row_id"), F.explode(F.array(*parts)).alias("a")).select("row_id", "a.*")
 
 
+def attribution_base(df: DataFrame, model: LinearRegressionModel | GeneralizedLinearRegressionModel, features: Sequence[str]) -> float:
+    """The linear predictor at the features' means, which the contributions
+    of :func:`linear_attribution` start from."""
+    means = df.agg(*[F.avg(c).alias(c) for c in features]).first()
+    return float(model.intercept) + sum(float(k) * float(means[c] or 0.0) for k, c in zip(model.coefficients.toArray(), features))
+
+
 def attribution_collapse(long: DataFrame, groups: Sequence[str], *, feature: str = "feature") -> DataFrame:
     """XP2: features whose name contains a group name are summed into one
     feature named after the group (first matching group wins); others stay.

@@ -66,33 +66,31 @@ def last5_both(upcoming: DataFrame, history: DataFrame, *, n: int = 5) -> DataFr
     Available'.
 
     ``history`` is the per-team game table over the team's whole history
-    (``team, g, match_date, home_team, away_team, ftr_code``). The upcoming
-    side is small (a report's fixtures), so both steps are hash joins on the
-    team with a range condition, each scanning the history once."""
+    (``team, g, match_date, home_team, away_team, ftr_code``, ``g`` counting a
+    team's games from 1). Fixtures and games are put in one order per team,
+    and the number of the last game before a fixture is filled forward by the
+    ordered scan, so that no fixture meets all earlier games of its teams. Its
+    ``n`` games are then looked up by (team, g): ``n`` rows a side."""
     sides = upcoming.select(
         "match_id", "fixture_date",
         F.explode(F.array(F.struct(F.lit("home").alias("side"), F.col("home_team").alias("team")),
                           F.struct(F.lit("away").alias("side"), F.col("away_team").alias("team")))).alias("s"),
-    ).select("match_id", "fixture_date", "s.side", "s.team")
-    # size check on the (report-sized) fixture side: broadcast it when it is
-    # under the bound, so the large history is streamed, never shuffled
-    small = upcoming.count() <= MAX_BROADCAST_FIXTURES
-    h = history.alias("h")
-    s = (F.broadcast(sides) if small else sides).alias("s")
-    # inner join: the small fixture side is the build side (broadcast), the
-    # history streams once; sides with no earlier match fall out here and
-    # show 'Not Available' below
-    before = s.join(h, (F.col("s.team") == F.col("h.team")) & (F.col("h.match_date") < F.col("s.fixture_date")),
-                    "inner")
-    last_g = before.groupBy("s.match_id", "s.side", "s.team").agg(F.max("h.g").alias("nb"))
-    lg = (F.broadcast(last_g) if small else last_g).alias("l")
-    picked = lg.join(
-        h, (F.col("l.team") == F.col("h.team")) & (F.col("h.g") > F.col("l.nb") - n) & (F.col("h.g") <= F.col("l.nb")),
-        "inner",
-    ).select(
-        F.col("l.match_id").alias("match_id"), F.col("l.side").alias("side"),
-        (F.col("h.g") - (F.col("l.nb") - F.least(F.col("l.nb"), F.lit(n)))).alias("position"),
-        result_phrase(F.col("l.team"), F.col("h.home_team"), F.col("h.away_team"), F.col("h.ftr_code")).alias("phrase"),
+    ).select("match_id", "fixture_date", "s.side", "s.team").filter(F.col("team").isNotNull() & F.col("fixture_date").isNotNull())
+    # a fixture stands before the games of its day
+    tagged = sides.select("team", F.col("fixture_date").alias("day"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("g"), "match_id", "side").unionByName(
+        history.filter(F.col("team").isNotNull() & F.col("match_date").isNotNull()).select(
+            "team", F.col("match_date").alias("day"), F.lit(1).alias("kind"), F.col("g").cast("long").alias("g"),
+            F.lit(None).cast(upcoming.schema["match_id"].dataType).alias("match_id"), F.lit(None).cast("string").alias("side")))
+    filled = ordered_scan(tagged, ["team"], ["day", "kind", "g", "match_id", "side"], row_number=None, ffill={"nb": "g"})
+    first = F.greatest(F.col("nb") - n + 1, F.lit(1))
+    wanted = filled.filter((F.col("kind") == 0) & F.col("nb").isNotNull()).select(
+        "match_id", "side", "team", F.posexplode(F.sequence(first, F.col("nb"))).alias("at", "g"))
+    if upcoming.count() <= MAX_BROADCAST_FIXTURES:
+        # 2n rows a fixture
+        wanted = F.broadcast(wanted)
+    picked = history.select("team", F.col("g").cast("long").alias("g"), "home_team", "away_team", "ftr_code").join(wanted, ["team", "g"]).select(
+        "match_id", "side", (F.col("at") + 1).cast("long").alias("position"),
+        result_phrase(F.col("team"), F.col("home_team"), F.col("away_team"), F.col("ftr_code")).alias("phrase"),
     )
     grid = upcoming.select("match_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("position"))
     home = picked.filter(F.col("side") == "home").select("match_id", "position", F.col("phrase").alias("home_result"))

@@ -99,11 +99,9 @@ def season_table(
         F.sum("ga").cast("long").alias("goals_against"),
         F.sum("pts").cast("long").alias("points"),
     ).withColumn("goal_diff", F.col("goals_for") - F.col("goals_against"))
-    # one row per team and group: the window holds the group's teams only
-    w = Window.partitionBy(*cols.keys).orderBy(
-        F.desc("points"), F.desc("goal_diff"), F.desc("goals_for"), F.asc("team")
-    )
-    return table.withColumn("position", F.row_number().over(w).cast("long"))
+    # a group may have any number of teams: its places are numbered by the scan
+    placed = table.select("*", (-F.col("points")).alias("_p"), (-F.col("goal_diff")).alias("_d"), (-F.col("goals_for")).alias("_f"))
+    return ordered_scan(placed, list(cols.keys), ["_p", "_d", "_f", "team"], row_number="position").drop("_p", "_d", "_f")
 
 
 def asof_positions(matches: DataFrame, scan: DataFrame, *, cols: MatchCols = DEFAULT) -> DataFrame:

@@ -171,6 +171,28 @@ def src6(spark, sf):
     return SRC.latest_versioned(td.artifacts(spark, sf)).select("prefix", "latest_path", "latest_date")
 
 
+@query(
+    "src6_latest_in_storage",
+    with_views(
+        f"""
+select replace(p.prefix, 'models/', '') as prefix, replace(b.path, 'models/', '') as latest_name, p.latest_date, p.n_artifacts
+from (select prefix, max(stamp) as latest_date, count(distinct path) as n_artifacts from ({_ART_SQL}) group by prefix) p
+left join (select prefix, path, row_number() over (partition by prefix order by stamp desc, path desc) as rn
+           from ({_ART_SQL}) where stamp is not null) b on b.prefix = p.prefix and b.rn = 1""",
+        "artifacts",
+    ),
+)
+def src6_storage(spark, sf):
+    """The newest of the artifact folders found in storage, by their names."""
+    root = SRC.scratch_dir(spark, "artifacts")
+    landed = td.artifacts(spark, sf).withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
+    # many small folders: a fixed number of tasks, which are not merged
+    landed.repartition(2 * spark.sparkContext.defaultParallelism, "name").write.partitionBy("name").json(root)
+    found = SRC.list_artifacts(spark, root, folders=True).withColumn("path", F.regexp_extract("path", "name=([^/]*)$", 1))
+    n = found.groupBy(F.regexp_extract("path", r"^(.*)_[^_/]*$", 1).alias("prefix")).agg(F.count(F.lit(1)).alias("n_artifacts"))
+    return SRC.latest_versioned(found).join(n, "prefix").select("prefix", F.col("latest_path").alias("latest_name"), "latest_date", "n_artifacts")
+
+
 @query(
     "src7_dated_path",
     with_views(
@@ -194,10 +216,13 @@ def _drift_rules(spark, sf):
     return generate_rules(profile(d.filter(F.col("part") == "reference")))
 
 
-def _drift_rules_sql() -> str:
+def _drift_rules_sql(numbered: bool = False) -> str:
     from rivalry.queries_defs.q_quality import REF, _rules_sql
 
-    return with_views(_rules_sql("drift_rows", REF), "drift_rows")
+    rules = _rules_sql("drift_rows", REF)
+    if numbered:
+        rules = f"select row_number() over (order by rule_id) as rule_id, * exclude (rule_id) from ({rules})"
+    return with_views(rules, "drift_rows")
 
 
 @query("src8_write_json", _drift_rules_sql())
@@ -212,6 +237,14 @@ def src9(spark, sf):
     return SRC.explode_rules_document(spark.read.json(path)).withColumn("value_set", F.array_join("value_set", ","))
 
 
+@query("src9_stored_suite", _drift_rules_sql(numbered=True))
+def src9_suite(spark, sf):
+    """Rules written as a stored suite document, read, written and read again."""
+    path = SRC.write_suite(_drift_rules(spark, sf), SRC.scratch_dir(spark, "suite"))
+    again = SRC.write_suite(SRC.read_suite(spark, path), SRC.scratch_dir(spark, "suite"))
+    return SRC.read_suite(spark, again).drop("suite", "kwargs", "meta").withColumn("value_set", F.array_join("value_set", ","))
+
+
 # ------------------------------------------------------------ projections
 @query(
     "prj1_select_required",

@@ -293,6 +293,20 @@ def latest_versioned(paths: DataFrame, *, path_col: str = "path") -> DataFrame:
     )
 
 
+def list_artifacts(spark: SparkSession, root: str, *, folders: bool = False) -> DataFrame:
+    """SRC6's listing: ``path, modified, size`` of the files under ``root``, at
+    any depth, without reading them. With ``folders`` an artifact is a folder
+    of files, as Spark's writers leave them: one row per folder that holds a
+    file, its newest time and total size. Names that begin with '_' or '.'
+    are not listed, as in any Spark source."""
+    # no content column: the files are not opened
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    if not folders:
+        return files
+    return files.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).agg(F.max("modified").alias("modified"), F.sum("size").alias("size"))
+
+
 def dated_path(prefix: Column, run_date: Column, ext: str) -> Column:
     """SRC7: '<prefix>_<YYYYMMDD>.<ext>' of a run date."""
     return F.concat(prefix, F.lit("_"), F.date_format(run_date, "yyyyMMdd"), F.lit(f".{ext}"))
@@ -336,3 +350,86 @@ def explode_rules_document(doc: DataFrame) -> DataFrame:
     return doc.select(F.explode("expectations").alias("e")).select(
         *[F.col(f"e.{f.name}").cast(f.dataType).alias(f.name) for f in RULE_SCHEMA.fields]
     )
+
+
+# fixed values: the stored form of each rule type, and of the column types
+SUITE_TYPES = {
+    "columns_match_set": "expect_table_columns_to_match_set",
+    "column_type": "expect_column_values_to_be_of_type",
+    "null_fraction": "expect_column_values_to_be_null",
+    "null_fraction_max": "expect_column_values_to_not_be_null",
+    "between": "expect_column_values_to_be_between",
+    "in_set": "expect_column_values_to_be_in_set",
+}
+SUITE_COLUMN_TYPES = {"int64": "bigint", "int32": "int", "float64": "double", "str": "string", "bool": "boolean", "datetime64[ns]": "timestamp"}
+_SUITE = ("data_asset_type string, expectation_suite_name string, "
+          "expectations array<struct<expectation_type string, kwargs variant, meta variant>>, ge_cloud_id variant, meta variant")
+
+
+def _mapped(c: Column, pairs: Mapping[str, str]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[c], c)
+
+
+def read_suite(spark: SparkSession, path: str, *, column_types: Mapping[str, str] = SUITE_COLUMN_TYPES) -> DataFrame:
+    """SRC9: stored rule suites (one JSON document per file, ``kwargs`` differing by
+    expectation type) as a rules table for :func:`rivalry.operators.quality.validate`.
+
+    Besides the rule columns each row has ``suite`` (the document without its
+    expectations), ``kwargs`` and ``meta`` (VARIANT, as stored), from which
+    :func:`write_suite` makes the same document again. ``rule_id`` is the place
+    in the document, from 1. An expectation of another type keeps its name as
+    ``rule_type`` (``validate`` raises on it). Text that is no such document raises."""
+    text = spark.read.text(path, wholetext=True)
+    doc = text.select(F.from_json("value", _SUITE, {"mode": "FAILFAST"}).alias("d"))
+    rows = doc.select(
+        F.struct("d.data_asset_type", "d.expectation_suite_name", "d.ge_cloud_id", "d.meta").alias("suite"),
+        F.posexplode("d.expectations").alias("pos", "e"))
+
+    def arg(name: str, kind: str) -> Column:
+        return F.try_variant_get(F.col("e.kwargs"), f"$.{name}", kind)
+
+    kind = _mapped(F.col("e.expectation_type"), {v: k for k, v in SUITE_TYPES.items()})
+    mostly = F.coalesce(arg("mostly", "double"), F.lit(1.0))
+    fields = {
+        "rule_id": F.col("pos") + 1, "rule_type": kind, "column": arg("column", "string"),
+        "type_name": _mapped(arg("type_", "string"), column_types),
+        # at least this share is not NULL: at most the rest is
+        "mostly": F.when(kind == "null_fraction", mostly).when(kind == "null_fraction_max", 1 - mostly),
+        "min_value": arg("min_value", "double"), "max_value": arg("max_value", "double"),
+        "value_set": F.coalesce(arg("value_set", "array<string>"), arg("column_set", "array<string>")),
+    }
+    return rows.select(*[fields[f.name].cast(f.dataType).alias(f.name) for f in RULE_SCHEMA.fields], "suite", F.col("e.kwargs").alias("kwargs"), F.col("e.meta").alias("meta"))
+
+
+def write_suite(rules: DataFrame, path: str, *, name: str = "default", column_types: Mapping[str, str] = SUITE_COLUMN_TYPES) -> str:
+    """SRC8: a rules table as one stored suite document (a text file of one
+    line under ``path``), rules by ``rule_id``. Rows of :func:`read_suite` are
+    written as they were stored; others get their ``kwargs`` from the rule's
+    columns. Object keys are in alphabetical order."""
+    spelled = {v: k for k, v in column_types.items()}
+    kind, present = F.col("rule_type"), set(rules.columns)
+    made = F.parse_json(F.to_json(F.struct(
+        "column",
+        F.when(kind == "columns_match_set", F.col("value_set")).alias("column_set"),
+        "max_value", "min_value",
+        F.when(kind == "null_fraction_max", 1 - F.col("mostly")).otherwise(F.col("mostly")).alias("mostly"),
+        _mapped(F.col("type_name"), spelled).alias("type_"),
+        F.when(kind == "in_set", F.col("value_set")).alias("value_set"))))
+    empty = F.parse_json(F.lit("{}"))
+    rows = rules.select(
+        "rule_id", _mapped(kind, SUITE_TYPES).alias("expectation_type"),
+        (F.coalesce("kwargs", made) if "kwargs" in present else made).alias("kwargs"),
+        (F.coalesce("meta", empty) if "meta" in present else empty).alias("meta"),
+        F.col("suite") if "suite" in present else F.lit(None).cast(
+            "struct<data_asset_type:string,expectation_suite_name:string,ge_cloud_id:variant,meta:variant>").alias("suite"))
+    # VARIANT has no order: the rule's place orders, its JSON text travels
+    entry = F.struct("rule_id", F.to_json(F.struct("expectation_type", "kwargs", "meta")).alias("text"))
+    doc = rows.agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.first("suite", ignorenulls=True).alias("suite"))
+    null = F.parse_json(F.lit("null"))
+    doc.select(F.to_json(F.struct(
+        F.coalesce("suite.data_asset_type", F.lit("Dataset")).alias("data_asset_type"),
+        F.coalesce("suite.expectation_suite_name", F.lit(name)).alias("expectation_suite_name"),
+        F.transform("entries", lambda e: F.parse_json(e["text"])).alias("expectations"),
+        F.coalesce("suite.ge_cloud_id", null).alias("ge_cloud_id"),
+        F.coalesce("suite.meta", empty).alias("meta"))).alias("value")).write.mode("overwrite").text(path)
+    return path
