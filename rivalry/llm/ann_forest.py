@@ -98,18 +98,17 @@ def _doubles(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def nearest(
-    df: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", trees: int = 6, leaves: int = 16,
-    sample: int = 16_384, share: float = 0.75, least: int = 2_000, block: int = 4096, query_block: int = 4096, seed: int = 5,
+    df: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", trees: int = 12, leaves: int = 32,
+    sample: int = 16_384, share: float = 0.7, block: int = 4096, query_block: int = 4096, seed: int = 5,
 ) -> DataFrame:
     """For every row that fulfils ``queries`` (a condition on ``df``'s
     columns) its ``k`` nearest other rows found: ``query_id, rank, vec_id,
     score``, by largest inner product in double precision, equal scores to the
     smaller id.
 
-    A query opens leaves until they cover ``share`` of the sample, and at
-    least ``least`` sample rows: tables up to that size are searched whole.
-    ``share`` trades work for recall; directions without any structure need
-    a large one. A query never finds rows with its own id; ids that repeat
+    A query opens leaves until they cover ``share`` of the sample, and the
+    ``k`` + 1 rows that an answer needs. ``share`` trades work for recall;
+    directions without any structure need a large one. A query never finds rows with its own id; ids that repeat
     appear once, with their best score. Vectors that are NULL, zero or hold
     NULL or non-finite components, rows without an id, and vectors of another
     length than the most frequent one take no part. Fewer than ``k``
@@ -140,7 +139,7 @@ def nearest(
     points = lifted(points)
     forest = [grow(points, leaves, rng) for _ in range(trees)]
     covers = [{i: node[1] for i, node in enumerate(nodes) if node[0] is None} for nodes in forest]
-    need = min(len(points), max(int(np.ceil(share * len(points))), least))
+    need = min(len(points), max(int(np.ceil(share * len(points))), k + 1))
     shared = spark.sparkContext.broadcast((forest, covers, len(points), need))
 
     def index(batches):

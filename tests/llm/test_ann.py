@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rivalry.llm import ann_forest, queries
@@ -30,28 +31,33 @@ def recall(got, want):
     return hit / max(1, sum(map(len, want.values())))
 
 
-def test_whole_small_table_is_exact(spark, sf_dir):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    got = gathered(queries.QUERIES["op8_ann_forest"](spark, sf_dir))
-    want = brute(rows, lambda i: i % 20 == 0, 20)
-    assert set(got) == set(want)
-    for i, w in want.items():
-        np.testing.assert_allclose([s for _, s in got[i]], [s for _, s in w], rtol=0, atol=1e-12)
-    assert recall(got, want) >= 0.999
-
-
-def test_recall_and_order_with_a_partial_search(spark):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = gathered(ann_forest.nearest(df, F.col("vec_id") % 20 == 0, least=0, block=100, query_block=7))
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_recall_of_the_registered_query(spark, table):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{table}/embeddings.parquet").collect()]
+    got = gathered(queries.QUERIES["op8_ann_forest"](spark, table))
     want = brute(rows, lambda i: i % 20 == 0, 20)
+    assert set(got) == set(want) and all(len(found) == 20 for found in got.values())
+    # the forest is searched, not the table
     assert 0.9 <= recall(got, want) < 1
     vec = dict(rows)
-    for i, found in list(got.items())[:20]:
+    for i, found in got.items():
         assert found == sorted(found, key=lambda p: (-p[1], p[0]))
         assert all(abs(s - np.dot(np.array(vec[i], float), np.array(vec[j], float))) < 1e-12 for j, s in found)
 
 
+def test_blocks_do_not_change_the_answer(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    one, many = (gathered(ann_forest.nearest(df, F.col("vec_id") % 20 == 0, **sizes)) for sizes in ({}, {"block": 30, "query_block": 7}))
+    assert {i: [j for j, _ in w] for i, w in one.items()} == {i: [j for j, _ in w] for i, w in many.items()}
+
+
+def test_whole_forest_is_exact(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()], lambda i: i % 20 == 0, 20)
+    got = gathered(ann_forest.nearest(df, F.col("vec_id") % 20 == 0, share=1.0))
+    assert {i: [j for j, _ in w] for i, w in got.items()} == {i: [j for j, _ in w] for i, w in want.items()}
+
+
 def test_norms_ties_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(c) for c in rng.normal(size=4) * (1 + i % 9)]) for i in range(300)]
@@ -60,7 +66,7 @@ def test_norms_ties_copies_and_unusable_vectors(spark):
              (520, [float("inf"), 0.0, 0.0, 0.0]), (40, rows[40][1]), (7, rows[9][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS query_id", "3 AS leaf")
     rows = [r for r in rows if r[0] != 500]
-    got = gathered(ann_forest.nearest(df, F.col("vec_id") % 20 == 0, k=5, block=16))
+    got = gathered(ann_forest.nearest(df, F.col("vec_id") % 20 == 0, k=5, block=16, share=1.0))
     want = brute(rows, lambda i: i % 20 == 0, 5)
     assert {i: [j for j, _ in w] for i, w in got.items()} == {i: [j for j, _ in w] for i, w in want.items()}
 
@@ -68,5 +74,8 @@ def test_norms_ties_copies_and_unusable_vectors(spark):
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     assert gathered(ann_forest.nearest(df, F.col("vec_id") == 0)) == {0: [(1, 0.5), (2, -1.0)]}
+    # fewer candidates than k: all of them
+    some = spark.range(15).selectExpr("id AS vec_id", "array(sin(id), cos(id), 1D) AS embedding")
+    assert all(len(found) == 14 for found in gathered(ann_forest.nearest(some, F.lit(True))).values())
     assert ann_forest.nearest(df.limit(0), F.lit(True)).collect() == []
     assert ann_forest.nearest(df.limit(1), F.lit(True)).collect() == []
