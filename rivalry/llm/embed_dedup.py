@@ -107,7 +107,7 @@ def _union(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 
 _TILE = T.StructType([
-    T.StructField("label", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("tile", T.LongType()),
+    T.StructField("label", T.StringType()), T.StructField("dim", T.IntegerType()), T.StructField("tile", T.LongType()),
     T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("mult", T.ArrayType(T.LongType())),
     T.StructField("x", T.BinaryType()), T.StructField("q", T.BinaryType()),
     T.StructField("scale", T.ArrayType(T.DoubleType())), T.StructField("err", T.ArrayType(T.DoubleType())),
@@ -151,11 +151,12 @@ def near_duplicates(
     """
     if not threshold > 0:
         raise ValueError("threshold must be positive")
-    lab = F.col(label).cast("long") if label is not None else F.lit(0).cast("long")
+    # labels of any type are told apart by their text
+    lab = F.col(label).cast("string") if label is not None else F.lit("")
     # components as they were stored: singles stay singles
     real = np.float32 if df.schema[vector].dataType.elementType == T.FloatType() else np.float64
     takes_part = usable("v") & F.col("label").isNotNull()
-    text = F.concat_ws(",", "label", F.transform("v", lambda x: x.cast("string")))
+    text = F.concat_ws(",", F.length("label").cast("string"), "label", F.transform("v", lambda x: x.cast("string")))
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), lab.alias("label"))
     # rows that take no part get keys of their own, which spreads them
     src = src.withColumn("good", takes_part).withColumn(

@@ -1,4 +1,5 @@
 import math
+from datetime import date
 
 import numpy as np
 import pytest
@@ -85,3 +86,13 @@ def test_bound_covers_the_quantisation_error():
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         embed_dedup.near_duplicates(spark.createDataFrame([(1, [1.0], 1)], "vec_id long, embedding array<double>, label int"), threshold=0)
+
+
+def test_labels_of_other_types(spark):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.001]
+    for kind, labels in (("string", ["a", "a", "b", "1,2", None]), ("double", [1.2, 1.2, 1.4, 1.0, None]), ("date", None)):
+        labels = labels or [date(2020, 1, 1), date(2020, 1, 1), date(2020, 1, 2), date(2021, 1, 1), None]
+        rows = [(i, lab, v if i % 2 else w) for i, lab in enumerate(labels)]
+        df = spark.createDataFrame(rows, f"vec_id long, label {kind}, embedding array<double>")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+        assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (0, 4)}
