@@ -81,15 +81,17 @@ def write_warc(
     Other columns are ignored.
     """
     src = marked(df, id_col=id_col, url_col=url_col, payload_col=payload_col, least_bytes=least_bytes, broadcast_rows=broadcast_rows)
-    pieces = F.when(F.col("first_id").isNotNull() | (F.col("size") == 0), F.array(F.lit(b""))).otherwise(F.transform(
-        F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk).cast("int")),
-        lambda k: F.substring(F.col("payload"), k * F.lit(chunk) + 1, F.lit(chunk))))
-    # rows of a record stay together and in order: exploding moves nothing
-    rows = src.select("page_id", "url", "size", "digest", "first_id", F.posexplode(pieces).alias("chunk_no", "data"))
+    own = F.col("first_id").isNull()
+    last = F.when(own & (F.col("size") > 0), F.floor((F.col("size") - 1) / chunk)).otherwise(0).cast("int")
+    # chunk numbers are exploded, and each row cuts its own chunk: no row holds a payload's chunks beside it.
+    # Rows of a record stay together and in order: exploding moves nothing
+    rows = src.select("page_id", "url", "size", "digest", "first_id", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).select(
+        "page_id", "url", "size", "digest", "first_id", "chunk_no",
+        F.when(own, F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b"")).alias("data"))
 
     def write(batches):
         fs, folder = file_system(path)
-        sink = name = packer = None
+        sink = name = packer = running = expected = None
         records = written = 0
 
         def put(raw: bytes) -> None:
@@ -97,6 +99,11 @@ def write_warc(
             sink.write(raw)
             written += len(raw)
 
+        def close() -> None:
+            if expected is not None and running.hexdigest() != expected:
+                raise ValueError(f"the chunks written are not the payload of digest {expected}")
+            put(packer.compress(b"\r\n\r\n") + packer.flush())
+
         for batch in batches:
             columns = [batch.column(k) for k in range(7)]
             for k in range(batch.num_rows):
@@ -107,13 +114,15 @@ def write_warc(
                     sink = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 if chunk_no == 0:
                     if packer is not None:
-                        put(packer.compress(b"\r\n\r\n") + packer.flush())
+                        close()
+                    running, expected = hashlib.sha256(), digest if first_id is None else None
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                     put(packer.compress(record_head(page_id, url, size, digest, first_id, date)))
                     records += 1
+                running.update(data)
                 put(packer.compress(data))
         if sink is not None:
-            put(packer.compress(b"\r\n\r\n") + packer.flush())
+            close()
             sink.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "records": records, "bytes": written}])
 
@@ -135,7 +144,7 @@ def _page(urn: str):
 
 def stream_records(source, chunk: int) -> Iterator[tuple]:
     """Chunk rows (as ``CHUNKS``) of an archive opened for reading; holds one
-    chunk."""
+    chunk. A response whose payload does not have its header's digest raises."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=source), 1 << 16)
     while version := stream.readline():
         if not version.startswith(b"WARC/"):
@@ -165,6 +174,8 @@ def stream_records(source, chunk: int) -> Iterator[tuple]:
                 raise ValueError("record ends in its payload")
         if stream.read(4) != b"\r\n\r\n":
             raise ValueError("record has no end")
+        if refers is None and running.hexdigest() != fixed[-1]:
+            raise ValueError(f"record {fixed[0]}: its payload has another digest than its header")
 
 
 def read_warc(manifest: DataFrame, path: str, *, chunk: int = 1 << 18) -> DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from rivalry.llm import queries, warc
@@ -67,3 +68,18 @@ def test_empty_table_and_join_without_broadcast(spark):
     path = scratch_path(spark, "test")
     got = warc.records(warc.read_warc(warc.write_warc(df, path, broadcast_rows=0), path))
     assert sorted(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == brute([(i, t) for i, _, t in rows])
+
+
+def test_an_altered_payload_raises(spark):
+    import io
+
+    payload = b"some payload of a page " * 50
+    digest = hashlib.sha256(payload).hexdigest()
+    def archive(body):
+        return io.BytesIO(gzip.compress(warc.record_head(1, "u", len(payload), digest, None, "2024-01-01T00:00:00Z") + body + b"\r\n\r\n"))
+    rows = list(warc.stream_records(archive(payload), 100))
+    assert b"".join(r[8] for r in rows) == payload and rows[-1][9] == digest
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.stream_records(archive(payload[:-1] + b"?"), 100))
+    with pytest.raises(ValueError):
+        list(warc.stream_records(archive(payload[:-1]), 100))
