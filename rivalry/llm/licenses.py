@@ -130,14 +130,17 @@ def scan(
     Words are runs of letters and digits, lowered. A template is found in a
     window that holds at least ``containment`` of its distinct five-word
     shingles. A NULL or empty text and one without a match give no row; rows
-    that repeat an id are scanned each and give one row per id and template.
+    that repeat an id are scanned each and give one row per id and template;
+    each row without an id gives its own (``doc_id`` NULL).
     Texts are read whole; other columns are ignored.
     """
     spark = docs.sparkSession
     keys = anchors(templates, containment)
     some = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(keys) + ")(?![\\p{L}\\p{N}])"
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(some))
-    src = src.select("doc_id", _word_list(F.col("text")).alias("w"))
+    # rows without an id are told apart by their place
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    src = docs.select(F.col(id_col).alias("doc_id"), place.alias("row"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(some))
+    src = src.select("doc_id", "row", _word_list(F.col("text")).alias("w"))
     anchor = F.array(*map(F.lit, keys))
     cut, known = [], []
     for m, names in sorted(groups(templates).items()):
@@ -147,11 +150,11 @@ def scan(
         last = F.greatest(F.size("w") - size + step - 1, F.lit(0))
         cut.append(_windows(F.sequence(F.lit(0), last, F.lit(step)), m, size, anchor))
     # only windows with an anchor leave the row of their text
-    windows = src.select("doc_id", F.size("w").alias("n_words"), F.explode(F.concat(*cut)).alias("x")).select("doc_id", "n_words", "x.*")
-    windows = windows.select("doc_id", "n_words", "m", "at", _shingle_list(F.col("w")).alias("s")).filter(F.size("s") > 0)
+    windows = src.select("doc_id", "row", F.size("w").alias("n_words"), F.explode(F.concat(*cut)).alias("x")).select("doc_id", "row", "n_words", "x.*")
+    windows = windows.select("doc_id", "row", "n_words", "m", "at", _shingle_list(F.col("w")).alias("s")).filter(F.size("s") > 0)
     known = spark.createDataFrame(known, "m int, license string, has array<string>").withColumn("key", F.explode(_minima(F.col("has"), bands)))
     hit = windows.select("*", F.explode(_minima(F.col("s"), bands)).alias("key")).join(F.broadcast(known), ["m", "key"])
     share = F.size(F.array_intersect("s", "has")) / F.size("has")
-    found = hit.select("doc_id", "n_words", "license", "at", share.alias("share")).filter(F.col("share") >= containment)
-    return found.groupBy("doc_id", "license").agg(
-        F.max("share").alias("containment"), F.min("at").cast("long").alias("first_word"), F.max("n_words").cast("long").alias("n_words"))
+    found = hit.select("doc_id", "row", "n_words", "license", "at", share.alias("share")).filter(F.col("share") >= containment)
+    return found.groupBy("doc_id", "row", "license").agg(
+        F.max("share").alias("containment"), F.min("at").cast("long").alias("first_word"), F.max("n_words").cast("long").alias("n_words")).drop("row")

@@ -74,3 +74,10 @@ def test_no_match_is_without_anchors_and_bands_suffice():
 def test_only_dataframe_functions(spark, sf_dir):
     plan = queries.QUERIES["op5_license_scan"](spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_rows_without_an_id_are_kept_apart(spark):
+    text = TEMPLATES["MIT"]
+    df = spark.createDataFrame([(None, text), (None, "lead " + text), (None, None), (5, text), (5, text)], "doc_id long, text string").selectExpr("*", "1 AS row")
+    got = sorted(((r.doc_id, r.first_word) for r in licenses.scan(df).filter("license = 'MIT'").collect()), key=str)
+    assert len(got) == 3 and [i for i, _ in got] == [5, None, None]
