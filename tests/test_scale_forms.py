@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from rivalry.operators import explain as X
 from rivalry.operators import ml as M
 from rivalry.operators import report as R
+from rivalry.operators import standings as S
 from rivalry.operators.standings import season_table
+from rivalry.operators.teamgames import team_games_scan
 
 
 @pytest.mark.parametrize("cell_rows", [65_536, 50, 0])
@@ -136,3 +138,78 @@ def test_generalised_linear_attribution(spark):
     for r in model.transform(ready).collect():
         assert parts[r.id, "x"] == pytest.approx(coef[0] * (r.x - means[0]))
         assert parts[r.id, "x"] + parts[r.id, "y"] == pytest.approx(math.log(r.prediction) - base)
+
+
+_GAMES = "season string, match_id long, match_date date, home_team string, away_team string, fthg long, ftag long, ftr string"
+
+
+def _games(seasons, teams, days, seed):
+    rnd, out = random.Random(seed), []
+    for season, n in zip(seasons, teams):
+        for d in range(days):
+            # a team may play twice a day, some days are missing, some goals too
+            for _ in range(rnd.randint(0, n)):
+                h, a = rnd.sample(range(n), 2)
+                hg, ag = rnd.choice([None, 0, 0, 1, 2]), rnd.randint(0, 2)
+                ftr = "D" if hg is None or hg == ag else "H" if hg > ag else "A"
+                day = None if rnd.random() < 0.02 else date(2020, 1, 1) + timedelta(days=d)
+                out.append((season, len(out), day, f"t{h:03d}", f"t{a:03d}", hg, ag, ftr))
+    return out
+
+
+def _places_by_hand(games):
+    """The table of every match day, built anew from all earlier games."""
+    want = {}
+    for season, mid, day, home, away, *_ in games:
+        if day is None:
+            want[mid] = (None, None)
+            continue
+        table = {}
+        for s, _, d, h, a, hg, ag, r in games:
+            if s != season:
+                continue
+            for team, gf, ga, wins in ((h, hg, ag, "H"), (a, ag, hg, "A")):
+                p, diff = table.get(team, (0, 0))
+                if d is None or d < day:
+                    p += 3 if r == wins else 1 if r == "D" else 0
+                    diff += (gf or 0) - (ga or 0)
+                table[team] = (p, diff)
+        order = sorted(table, key=lambda t: (-table[t][0], -table[t][1], t))
+        want[mid] = (order.index(home) + 1, order.index(away) + 1)
+    return want
+
+
+@pytest.mark.parametrize("seed, teams, days, block, grid", [
+    (1, (12, 3), 15, 128, False), (2, (2, 5), 9, 1, False), (3, (40, 4), 8, 4, False), (3, (40, 4), 8, 128, True)])
+def test_asof_positions_by_counts_and_grid(spark, monkeypatch, seed, teams, days, block, grid):
+    monkeypatch.setattr(S, "_BLOCK", block)  # few or many levels
+    monkeypatch.setattr(S, "_small_grid", lambda *a: grid)
+    games = _games(("a", "b"), teams, days, seed)
+    m = spark.createDataFrame(games, _GAMES).repartition(5)
+    got = S.asof_positions(m, team_games_scan(m)).collect()
+    want = _places_by_hand(games)
+    assert len(got) == len(games)
+    assert {r.match_id: (r.home_league_position, r.away_league_position) for r in got} == want
+
+
+def test_asof_positions_of_no_games(spark):
+    m = spark.createDataFrame([], _GAMES)
+    scan = team_games_scan(m)
+    assert S.asof_positions(m, scan).count() == 0
+    assert S._places(S._spans(scan, ["season"], "match_date"), ["season"], "match_date").count() == 0
+
+
+def test_asof_positions_build_no_grid(spark, monkeypatch):
+    # 1,200 teams that play once, on 300 days: a grid would hold 360,000 rows
+    games = [("a", i, date(2020, 1, 1) + timedelta(days=i // 2), f"t{2 * i:04d}", f"t{2 * i + 1:04d}", i % 3, i % 2, "H")
+             for i in range(600)]
+    m = spark.createDataFrame(games, _GAMES)
+    scan = team_games_scan(m)
+    seen, plain = [], S.ordered_scan
+    monkeypatch.setattr(S, "ordered_scan", lambda df, *a, **k: (seen.append(df.count()), plain(df, *a, **k))[1])
+    out = S.asof_positions(m, scan)
+    # two spans a team in 19 blocks of 128, two digits of three bits: (1 + 3) nodes, 301 days
+    assert seen[0] == 2 * 1200 and seen[1] <= 4 * 301
+    # windows are left in the scans' carries only, a row per slice: none numbers teams
+    assert "row_number" not in out._jdf.queryExecution().analyzed().toString()
+    assert out.count() == 600
