@@ -2,10 +2,10 @@
 summary (A7) and alerts (DQ9).
 
 The profile is two passes regardless of column count: one aggregate for
-row/null counts and numeric min/max, and one distinct count over the
-(column, value) pairs. Value sets are collected only for columns whose
-distinct count is already known to be small, so a high-cardinality column is
-never gathered into one group. A NaN counts as a missing value throughout.
+row/null counts, numeric min/max and a mergeable sketch of each column's
+distinct values, and one distinct count over the (column, value) pairs of the
+columns whose sketch is small. A high-cardinality column is neither shuffled
+by its values (unless exact counts are asked for) nor gathered into one group. A NaN counts as a missing value throughout.
 Value sets are arrays of text; on numeric columns they are compared as numbers.
 Validation checks all rules in one aggregate pass.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivalry.session import cut_lineage
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 RULE_ORDER = {"columns_match_set": 0, "column_type": 1, "null_fraction": 2, "between": 3, "in_set": 4,
@@ -32,14 +34,23 @@ def _present(f: T.StructField) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
 
 
-def profile(df: DataFrame, *, set_limit: int = 100) -> DataFrame:
+# registers of a distinct sketch as a power of two: a standard error of 1.6 %
+_SKETCH = 12
+
+
+def profile(df: DataFrame, *, set_limit: int = 100, exact: bool = False) -> DataFrame:
     """One row per column: ``column, position, type_name, is_numeric,
     n_rows, nulls (NaN included), null_frac (3 dp), non_null, min_value,
     max_value (numeric only), distinct_count (non-missing), value_set``
     (sorted distinct values as text, an array, when distinct_count <=
     ``set_limit``, else NULL). ``set_limit`` only bounds what the profile
     carries; which columns get a value-set rule is for
-    :func:`generate_rules` to say."""
+    :func:`generate_rules` to say.
+
+    ``distinct_count`` is exact for a column that may be within ``set_limit``
+    (its sketch estimates at most twice that) and the sketch's estimate for
+    others; ``exact`` counts every column exactly, which shuffles all its
+    values. Without ``exact`` the first pass runs when the profile is built."""
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
@@ -47,7 +58,15 @@ def profile(df: DataFrame, *, set_limit: int = 100) -> DataFrame:
         if _is_numeric(f.dataType):
             aggs.append(F.min(_present(f)).cast("double").alias(f"mn{i}"))
             aggs.append(F.max(_present(f)).cast("double").alias(f"mx{i}"))
+        if not exact:
+            sketch = F.hll_sketch_agg(_present(f).cast("string"), F.lit(_SKETCH))
+            aggs.append(F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).cast("long").alias(f"ds{i}"))
     one = df.agg(*aggs)
+    counted = fields
+    if not exact:
+        one = cut_lineage(one)
+        found = one.first()
+        counted = [f for i, f in enumerate(fields) if found[f"ds{i}"] <= 2 * set_limit]
     per_col = F.explode(
         F.array(
             *[
@@ -58,6 +77,8 @@ def profile(df: DataFrame, *, set_limit: int = 100) -> DataFrame:
                     F.col("n").alias("n_rows"), F.col(f"nl{i}").alias("nulls"),
                     (F.col(f"mn{i}") if _is_numeric(f.dataType) else F.lit(None).cast("double")).alias("min_value"),
                     (F.col(f"mx{i}") if _is_numeric(f.dataType) else F.lit(None).cast("double")).alias("max_value"),
+                    # a counted column without a count has no value
+                    (F.lit(0) if f in counted else F.col(f"ds{i}")).cast("long").alias("_estimate"),
                 )
                 for i, f in enumerate(fields)
             ]
@@ -67,19 +88,22 @@ def profile(df: DataFrame, *, set_limit: int = 100) -> DataFrame:
     base = base.withColumn("non_null", F.col("n_rows") - F.col("nulls")).withColumn(
         "null_frac", F.when(F.col("n_rows") > 0, F.round(F.col("nulls") / F.col("n_rows"), 3)).otherwise(0.0)
     )
-    pairs = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(f.name).alias("column"), _present(f).cast("string").alias("value"))
-                      for f in fields])
-        ).alias("p")
-    ).select("p.*").filter(F.col("value").isNotNull()).distinct()
-    counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    small = counts.filter(F.col("distinct_count") <= set_limit).select("column")
-    sets = pairs.join(small, "column").groupBy("column").agg(
-        F.array_sort(F.collect_list("value")).alias("value_set")
-    )
-    out = base.join(counts, "column", "left").join(sets, "column", "left")
-    return out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long"))
+    if counted:
+        pairs = df.select(
+            F.explode(
+                F.array(*[F.struct(F.lit(f.name).alias("column"), _present(f).cast("string").alias("value"))
+                          for f in counted])
+            ).alias("p")
+        ).select("p.*").filter(F.col("value").isNotNull()).distinct()
+        counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+        small = counts.filter(F.col("distinct_count") <= set_limit).select("column")
+        sets = pairs.join(small, "column").groupBy("column").agg(
+            F.array_sort(F.collect_list("value")).alias("value_set")
+        )
+        out = base.join(counts, "column", "left").join(sets, "column", "left")
+    else:
+        out = base.withColumn("distinct_count", F.lit(None).cast("long")).withColumn("value_set", F.lit(None).cast("array<string>"))
+    return out.withColumn("distinct_count", F.coalesce("distinct_count", "_estimate").cast("long")).drop("_estimate")
 
 
 def generate_rules(

@@ -60,6 +60,18 @@ def block_positions(
     )
 
 
+def block_ranking(placed: DataFrame, *, cols: MatchCols = DEFAULT) -> DataFrame:
+    """W10's table: ``keys, mw, team, position`` of every team that appears in
+    a block, one row each, from the output of :func:`block_positions`. Joined
+    back by J2 on keys, ``mw`` and team."""
+    sides = F.array(
+        F.struct(F.col(cols.home).alias("team"), F.col("home_league_position").alias("position")),
+        F.struct(F.col(cols.away).alias("team"), F.col("away_pos_raw").alias("position")),
+    )
+    rows = placed.select(*cols.keys, "mw", F.explode(sides).alias("_s")).select(*cols.keys, "mw", "_s.*")
+    return rows.filter(F.col("position").isNotNull()).groupBy(*cols.keys, "mw", "team").agg(F.min("position").alias("position"))
+
+
 def fill_away_position(df: DataFrame, *, cols: MatchCols = DEFAULT, order: str = "i") -> DataFrame:
     """Forward fill ``away_pos_raw`` within (keys, away team) in
     match order; leading NULL -> 0. Adds ``away_league_position`` and

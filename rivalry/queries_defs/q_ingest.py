@@ -11,7 +11,8 @@ from rivalry.operators import joins as J
 from rivalry.operators import ordering as O
 from rivalry.operators import projections as P
 from rivalry.operators import sets as U
-from rivalry.operators.standings import season_table
+from rivalry.operators.form import add_differences, add_form_cols
+from rivalry.operators.standings import block_positions, block_ranking, season_table
 from rivalry.operators.teamgames import team_games
 from rivalry.oracle_views import with_views
 from rivalry.plans.features import block_state
@@ -384,6 +385,22 @@ def j2(spark, sf):
     return out.select("match_id", "home_team", "away_team", "home_team_position", "away_team_position")
 
 
+@query(
+    "j2_round_ranking",
+    with_views(
+        "select m.match_id, m.mw, m.home_team, m.away_team, cast(h.pos as bigint) as home_team_position, "
+        "cast(a.pos as bigint) as away_team_position from bfeat2 m "
+        "left join brank h on h.season = m.season and h.mw = m.mw and h.team = m.home_team "
+        "left join brank a on a.season = m.season and a.mw = m.mw and a.team = m.away_team",
+        "bfeat2", "brank",
+    ),
+)
+def j2_round(spark, sf):
+    placed = block_positions(add_differences(add_form_cols(block_state(td.matches(spark, sf)))))
+    out = J.left_enrich(placed, block_ranking(placed), keys=["season", "mw"], team_cols=["home_team", "away_team"], value="position")
+    return out.select("match_id", "mw", "home_team", "away_team", "home_team_position", "away_team_position")
+
+
 @query(
     "j3_fixture_join",
     with_views(

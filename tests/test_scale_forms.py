@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rivalry.operators import explain as X
 from rivalry.operators import ml as M
+from rivalry.operators import quality as Q
 from rivalry.operators import report as R
 from rivalry.operators import standings as S
 from rivalry.operators.standings import season_table
@@ -213,3 +214,27 @@ def test_asof_positions_build_no_grid(spark, monkeypatch):
     # windows are left in the scans' carries only, a row per slice: none numbers teams
     assert "row_number" not in out._jdf.queryExecution().analyzed().toString()
     assert out.count() == 600
+
+
+def test_profile_counts_by_sketch_beyond_the_set_limit(spark):
+    df = spark.range(20_000).select(
+        F.col("id").alias("wide"), (F.col("id") % 100).alias("edge"), (F.col("id") % 101).alias("over"),
+        F.when(F.col("id") % 2 == 0, "x").alias("half"), F.lit(None).cast("double").alias("none"))
+    exact = {r.column: r for r in Q.profile(df, exact=True).collect()}
+    sketch = {r.column: r for r in Q.profile(df).collect()}
+    assert exact["wide"].distinct_count == 20_000 and abs(sketch["wide"].distinct_count - 20_000) < 2_000
+    for c in ("edge", "over", "half", "none"):
+        assert sketch[c] == exact[c]
+    assert len(sketch["edge"].value_set) == 100 and sketch["over"].value_set is None and sketch["over"].distinct_count == 101
+    # the values of a wide column are not shuffled
+    only_wide = df.select("wide")
+    assert "Deduplicate" in Q.profile(only_wide, exact=True)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" not in Q.profile(only_wide)._jdf.queryExecution().analyzed().toString()
+    assert Q.profile(only_wide).first().value_set is None
+
+
+def test_profile_of_no_rows(spark):
+    empty = spark.createDataFrame([], "a long, b string")
+    for exact in (True, False):
+        rows = Q.profile(empty, exact=exact).collect()
+        assert [(r.n_rows, r.distinct_count, r.value_set) for r in rows] == [(0, 0, None)] * 2
