@@ -144,9 +144,14 @@ def w10(spark, sf):
     return _positions(spark, sf).select("match_id", "mw", "home_league_position", "away_pos_raw")
 
 
+def _filled(spark, sf):
+    # the fill writes its rows: only what it and the queries need
+    return fill_away_position(_positions(spark, sf).select("season", "match_id", "away_team", "i", "home_league_position", "away_pos_raw"))
+
+
 @query("w11_position_ffill", with_views("select match_id, away_league_position from bfill", "bfill"))
 def w11(spark, sf):
-    return fill_away_position(_positions(spark, sf)).select("match_id", "away_league_position")
+    return _filled(spark, sf).select("match_id", "away_league_position")
 
 
 @query(
@@ -156,7 +161,7 @@ def w11(spark, sf):
     ),
 )
 def w12(spark, sf):
-    return fill_away_position(_positions(spark, sf)).select("match_id", "league_position_diff")
+    return _filled(spark, sf).select("match_id", "league_position_diff")
 
 
 @query("w13_all_rounds", with_views("select * from features_block", "features_block"))
