@@ -96,14 +96,15 @@ def _bucket(v: Column) -> Column:
     return F.least(F.floor(v * _BUCKETS * _BUCKETS), F.lit(_BUCKETS * _BUCKETS - 1)).cast("long")
 
 
-def _first_over(sums: DataFrame, need: DataFrame, bucket: str) -> DataFrame:
-    """Per source the bucket in which the running sum first passes ``left``,
-    and ``left`` at its beginning. At most ``_BUCKETS`` rows per source."""
-    w = Window.partitionBy("sid").orderBy(bucket)
-    run = sums.withColumn("run", F.sum("words").over(w)).join(need, "sid")
-    first = run.filter(F.col("run") > F.col("left")).groupBy("sid").agg(
-        F.min(F.struct(F.col(bucket).alias("at"), (F.col("left") - (F.col("run") - F.col("words"))).alias("left"))).alias("x"))
-    return first.select("sid", F.col("x.at").alias(bucket), F.col("x.left").alias("left"))
+def _first_over(sums: DataFrame, bucket: str) -> DataFrame:
+    """Per source all words (``able``), the bucket in which their running sum
+    first passes ``left``, and ``left`` at its beginning (both NULL if it never
+    does). ``sums`` has ``sid, left, words`` and the bucket, at most
+    ``_BUCKETS`` rows per source."""
+    run = sums.withColumn("run", F.sum("words").over(Window.partitionBy("sid").orderBy(bucket)))
+    over = F.struct(F.col(bucket).alias("at"), (F.col("left") - (F.col("run") - F.col("words"))).alias("left"))
+    first = run.groupBy("sid").agg(F.sum("words").alias("able"), F.min(F.when(F.col("run") > F.col("left"), over)).alias("x"))
+    return first.select("sid", "able", F.col("x.at").alias(bucket), F.col("x.left").alias("left"))
 
 
 def cuts(ranked: DataFrame, need: DataFrame, rounds: int) -> DataFrame:
@@ -118,22 +119,19 @@ def cuts(ranked: DataFrame, need: DataFrame, rounds: int) -> DataFrame:
         # behind the last cut and no larger than what is left
         behind = (F.col("b") > F.col("b0")) | ((F.col("b") == F.col("b0")) & (F.struct("v", "id") > F.struct("v0", "id0")))
         able = ranked.join(open_, "sid").filter(behind & (F.col("size") <= F.col("left"))).select("sid", "id", "size", "v", "b", "left")
-        left = open_.select("sid", "left")
         b1 = F.shiftright("b", 12)
-        per_b1 = cut_lineage(able.groupBy("sid", b1.alias("b1")).agg(F.sum("size").alias("words")))
-        all_able = per_b1.groupBy("sid").agg(F.sum("words").alias("able"))
-        at1 = _first_over(per_b1, left, "b1")
-        # a source whose able documents all fit has no cut: it takes them all
-        inner = able.drop("left").withColumn("b1", b1).join(at1, ["sid", "b1"])
-        at2 = _first_over(inner.groupBy("sid", "b").agg(F.sum("size").alias("words")), at1.select("sid", "left"), "b")
-        last = inner.select("sid", "id", "size", "v", "b").join(at2, ["sid", "b"])
+        # one row per source; one whose able documents all fit has no cut: it takes them all
+        at1 = cut_lineage(_first_over(able.groupBy("sid", "left", b1.alias("b1")).agg(F.sum("size").alias("words")), "b1"))
+        inner = cut_lineage(able.drop("left").withColumn("b1", b1).join(at1.drop("able"), ["sid", "b1"]))
+        at2 = _first_over(inner.groupBy("sid", "left", "b").agg(F.sum("size").alias("words")), "b")
+        last = inner.select("sid", "id", "size", "v", "b").join(at2.drop("able"), ["sid", "b"])
         w = Window.partitionBy("sid").orderBy("v", "id")  # equal ranks and ids go together
-        fits = last.withColumn("run", F.sum("size").over(w)).filter("run <= left").groupBy("sid").agg(
-            F.max(F.struct("v", "id")).alias("e"), F.max("run").alias("run"))
-        cut = at2.join(fits, "sid", "left").select(
-            "sid", "b", F.coalesce("e.v", F.lit(-1.0)).alias("v"), F.col("e.id").alias("id"),
-            (F.col("left") - F.coalesce("run", F.lit(0))).alias("rest"))
-        done = cut_lineage(open_.join(cut, "sid", "left").join(all_able, "sid", "left").select(
+        fits = F.col("run") <= F.col("left")
+        cut = last.withColumn("run", F.sum("size").over(w)).groupBy("sid").agg(
+            F.max("b").alias("b"), F.max(F.when(fits, F.struct("v", "id"))).alias("e"),
+            (F.max("left") - F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0))).alias("rest"),
+        ).select("sid", "b", F.coalesce("e.v", F.lit(-1.0)).alias("v"), F.col("e.id").alias("id"), "rest")
+        done = cut_lineage(open_.join(cut, "sid", "left").join(at1.select("sid", "able"), "sid", "left").select(
             "sid", F.lit(k).alias("round"), F.col("left").alias("max_size"), "b0", "v0", "id0",
             F.coalesce("b", F.lit(_BUCKETS * _BUCKETS)).cast("long").alias("b"), F.coalesce("v", F.lit(2.0)).alias("v"),
             F.coalesce("id", F.lit(-(1 << 63))).alias("id"),

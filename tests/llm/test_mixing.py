@@ -95,3 +95,15 @@ def test_inclusion_follows_the_odds(spark):
     for r in by.values():
         assert abs(r.taken / runs - r.target) < 0.06 * r.target
         assert r.varied > 0.5 * r.docs
+
+
+def test_a_round_takes_five_joins(spark, monkeypatch):
+    # every join is a broadcast that the driver plans, compiles and holds
+    rows = [(i, f"s{i % 4}", "w " * (1 + i % 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    calls, join = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, *a, **k: calls.append(1) or join(self, *a, **k))
+    mixing.mix(df, rounds=4)
+    few = len(calls)
+    mixing.mix(df, rounds=6)
+    assert len(calls) - few - few == 2 * 5
