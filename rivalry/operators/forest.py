@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,17 +81,20 @@ def thresholds(values: np.ndarray, bins: int) -> np.ndarray:
     return np.array(out)
 
 
-def blocks_of(df: DataFrame, *, bins: int, label: str = "label", seed: int = 42) -> Blocks:
-    """``df`` (label and assembled ``features``) binned and written. Candidate
+def blocks_of(df: DataFrame, ready: Callable[[DataFrame], DataFrame] = lambda df: df, *, bins: int, label: str = "label", seed: int = 42) -> Blocks:
+    """``ready(df)`` (label and assembled ``features``) binned and written. Candidate
     splits come from a sample, as in Spark's trees (about bins^2 rows, 10,000 at least)."""
-    src = df.select(F.col(label).cast("double").alias("label"), vector_to_array("features").alias("features"))
-    n, known, low, top = df.agg(F.count(F.lit(1)), F.count(label), F.min(label), F.max(label)).first()
-    if known < n or low < 0:
+    def pairs(df: DataFrame) -> DataFrame:
+        return ready(df).select(F.col(label).cast("double").alias("label"), vector_to_array("features").alias("features"))
+
+    c = F.col(label).cast("double")
+    n, codes, top = df.agg(F.count(F.lit(1)), F.count_if((c >= 0) & (c < 65_536) & (c == F.floor(c))), F.max(c)).first()
+    if codes < n:
         raise ValueError(f"{label}: classes must be codes 0, 1, ... and not NULL")
     wanted = max(bins * bins, 10_000)
-    some = src if n <= wanted else src.sample(wanted / n, seed)
-    sample = np.array(some.select("features").toPandas()["features"].tolist(), dtype=np.float64)
-    kinds = categories_of(df)
+    some = df if n <= wanted else df.sample(wanted / n, seed)
+    sample = np.array(pairs(some).select("features").toPandas()["features"].tolist(), dtype=np.float64)
+    kinds = categories_of(ready(df))
     width = sample.shape[1]
     # a feature with one category only is no category to Spark's trees either
     splits = [None if kinds.get(k, 0) > 1 else thresholds(sample[:, k], min(bins, n)) for k in range(width)]
@@ -115,7 +118,7 @@ def blocks_of(df: DataFrame, *, bins: int, label: str = "label", seed: int = 42)
             codes = np.empty(x.shape, code)
             for k, at in enumerate(splits):
                 codes[:, k] = x[:, k] if at is None else np.searchsorted(at, x[:, k])
-            held.append((batch.column("label").to_numpy().astype(np.uint8), codes))
+            held.append((batch.column("label").to_numpy().astype(np.uint16), codes))
             rows += len(batch)
             if rows >= BLOCK_ROWS:
                 yield block()
@@ -123,7 +126,7 @@ def blocks_of(df: DataFrame, *, bins: int, label: str = "label", seed: int = 42)
         if held:
             yield block()
 
-    out.df = cut_lineage(src.mapInArrow(cut, "block long, n int, label binary, codes binary"))
+    out.df = cut_lineage(pairs(df).mapInArrow(cut, "block long, n int, label binary, codes binary"))
     return out
 
 
@@ -219,6 +222,7 @@ def _level(blocks: Blocks, levels: list[Level], open_nodes: np.ndarray, *, share
     spark = blocks.df.sparkSession
     depth, width, bins, classes = len(levels), len(blocks.splits), blocks.bins, blocks.classes
     code = np.uint16 if blocks.wide else np.uint8
+    wide = np.uint8 if bins * classes <= 256 else np.uint32
     trees = [int(t) for t in np.flatnonzero(open_nodes.any(axis=1))]
     cells = share * bins * classes
     most = max(1, int(COUNTS_MB * 2**20 / (4 * cells * max(1, open_nodes.sum(axis=1).max()))))
@@ -228,41 +232,47 @@ def _level(blocks: Blocks, levels: list[Level], open_nodes: np.ndarray, *, share
     def count(some: list[int]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             above, is_open, _, _ = sent.value
-            slot = {t: np.cumsum(is_open[t]) - 1 for t in some}
-            ask = {t: _asked(seed, t, depth, width, share)[is_open[t]] for t in some}
+            slot = {t: np.where(is_open[t], np.cumsum(is_open[t]) - 1, -1) for t in some}
+            ask = {t: np.asfortranarray(_asked(seed, t, depth, width, share)[is_open[t]]) for t in some}
+            features = {t: [np.maximum(feature[t], 0).astype(np.int64) for feature, _ in above] for t in some}
+            below = {t: [np.where(feature[t][:, None] < 0, -1, 2 * np.arange(len(feature[t]))[:, None] + right[t]).reshape(-1)
+                         for feature, right in above] for t in some}
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for block, n, label, codes in zip(*(batch.column(c) for c in ("block", "n", "label", "codes")), strict=True):
                     block, n = block.as_py(), n.as_py()
-                    flat = np.frombuffer(codes.as_buffer(), code)
-                    labels = np.frombuffer(label.as_buffer(), np.uint8)
+                    values = np.frombuffer(codes.as_buffer(), code)
+                    labels = np.frombuffer(label.as_buffer(), np.uint16)
+                    # bin and class in one number
+                    cell = (values.reshape(n, width).astype(wide) * wide(classes) + labels[:, None].astype(wide)).reshape(-1)
                     for t in some:
                         if bootstrap:
                             drawn = bag(seed, block, t, n)
-                            row = np.flatnonzero(drawn).astype(np.int32)
+                            row = np.flatnonzero(drawn)
                         else:
-                            drawn, row = np.ones(n, np.uint8), np.arange(n, dtype=np.int32)
-                        at = np.zeros(len(row), np.int32)
-                        for feature, right in above:
-                            f = feature[t][at]
-                            inner = np.flatnonzero(f >= 0)
-                            if len(inner) < len(row):
-                                row, at, f = row[inner], at[inner], f[inner]
-                            at = 2 * at + right[t][at, flat[row * width + f]]
-                        inner = np.flatnonzero(is_open[t][at])
+                            drawn, row = np.ones(n, np.uint8), np.arange(n)
+                        at, begin = np.zeros(len(row), np.int64), row * width
+                        # a row's place on each level: below the left or the right side, or nowhere
+                        for feature, goes in zip(features[t], below[t], strict=True):
+                            at = goes.take(at * bins + values.take(begin + feature.take(at)))
+                            if len(goes) and goes.min() < 0:
+                                inner = np.flatnonzero(at >= 0)
+                                if len(inner) < len(row):
+                                    row, at, begin = row[inner], at[inner], begin[inner]
+                        at = slot[t].take(at)
+                        inner = np.flatnonzero(at >= 0)
                         if len(inner) < len(row):
-                            row, at = row[inner], at[inner]
+                            row, at, begin = row[inner], at[inner], begin[inner]
                         if not len(row):
                             continue
-                        at = slot[t][at]
                         size = len(ask[t]) * cells
                         if t not in sums:
                             sums[t] = np.zeros(size, np.int32)
-                        weight, kind = drawn[row].astype(np.float64), labels[row].astype(np.int64)
+                        weight, first = drawn.take(row).astype(np.float64), at * cells
                         for k in range(share):
-                            value = flat[row * width + ask[t][at, k].astype(np.int32)]
-                            place = ((at * share + k) * bins + value) * classes + kind
+                            place = first + cell.take(begin + ask[t][:, k].take(at))
                             sums[t] += np.bincount(place, weight, size).astype(np.int32)
+                            first += bins * classes
             for t, counts in sums.items():
                 yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
