@@ -265,14 +265,13 @@ def _level(blocks: Blocks, levels: list[Level], open_nodes: np.ndarray, *, share
                             row, at, begin = row[inner], at[inner], begin[inner]
                         if not len(row):
                             continue
-                        size = len(ask[t]) * cells
+                        size = len(ask[t]) * bins * classes
                         if t not in sums:
-                            sums[t] = np.zeros(size, np.int32)
-                        weight, first = drawn.take(row).astype(np.float64), at * cells
+                            sums[t] = np.zeros((share, size), np.int32)
+                        weight, first = drawn.take(row).astype(np.float64), at * (bins * classes)
                         for k in range(share):
                             place = first + cell.take(begin + ask[t][:, k].take(at))
-                            sums[t] += np.bincount(place, weight, size).astype(np.int32)
-                            first += bins * classes
+                            sums[t][k] += np.bincount(place, weight, size).astype(np.int32)
             for t, counts in sums.items():
                 yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
@@ -285,7 +284,7 @@ def _level(blocks: Blocks, levels: list[Level], open_nodes: np.ndarray, *, share
         hist = np.zeros(len(ask) * cells, np.int64)
         for part in parts["counts"]:
             hist += np.frombuffer(part, np.int32)
-        found = best_splits(hist.reshape(len(ask), share, bins, classes), ask, splits, arity, max_bins)
+        found = best_splits(hist.reshape(share, len(ask), bins, classes).swapaxes(0, 1), ask, splits, arity, max_bins)
         kinds = (np.int32, np.bool_, np.float64, np.int64, np.int64)
         return pd.DataFrame([[t, *(x.astype(kind).tobytes() for x, kind in zip(found, kinds, strict=True))]], columns=["tree", "feature", "right", "gain", "left", "total"])
 
