@@ -138,7 +138,9 @@ def nearest(
     rng = np.random.default_rng(seed)
     points = lifted(points)
     forest = [grow(points, leaves, rng) for _ in range(trees)]
-    covers = [{i: node[1] for i, node in enumerate(nodes) if node[0] is None} for nodes in forest]
+    # a sample row on a split may be routed to its other side: it counts where rows are looked up
+    placed = [leaf_of(nodes, points) for nodes in forest]
+    covers = [{i: np.flatnonzero(at == i) for i, node in enumerate(nodes) if node[0] is None} for nodes, at in zip(forest, placed, strict=True)]
     need = min(len(points), max(int(np.ceil(share * len(points))), k + 1))
     shared = spark.sparkContext.broadcast((forest, covers, len(points), need))
 
